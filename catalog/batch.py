@@ -1 +1,341 @@
-"""To come."""
+"""Pairing, sampling, memo, batch, corpus and sweep queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from catalog.registry import query, rounded, table
+from catalog.signals import FRAMES_SQL
+from catalog.text import BOTH_SQL, PAIRS_SQL, TURN, turn_preds
+from wavetally.functions.text import run_stamp
+from wavetally.operators.frames import onset_envelope
+from wavetally.operators.memo import HASH, memo_merge, memo_split, with_request_hash
+from wavetally.operators.ordering import index_range, index_within, seeded_sample
+from wavetally.operators.pairing import (
+    pair,
+    split_status,
+    union_runs,
+    validate_samples,
+    with_batch_metadata,
+    with_sample_metadata,
+)
+from wavetally.operators.similarity import sim_r
+from wavetally.plans.batch import ASR_METRICS, Evaluation, score_signals, score_transcripts
+from wavetally.plans.corpus import evaluate_corpus
+from wavetally.plans.sweep import evaluate_sweep, sweep_requests
+
+# ---- identity, sampling -------------------------------------------------
+
+
+@query(
+    "index_within",
+    """SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx FROM documents""",
+)
+def positions(spark: SparkSession, sf: str) -> DataFrame:
+    return index_within(table(spark, sf, "documents").select("source", "doc_id"), "source", "doc_id")
+
+
+@query(
+    "seeded_sample",
+    """SELECT doc_id, lang, n_chars FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 100""",
+)
+def sampled(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    return seeded_sample(docs, "doc_id", 100)
+
+
+@query("index_range", "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id >= 600 AND doc_id < 801")
+def ranged(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    return index_range(docs, "doc_id", 600, 801)
+
+
+# ---- pairing and metadata -----------------------------------------------
+
+
+@query(
+    "pair_status",
+    """SELECT coalesce(page_id, doc_id) AS sample_idx, url, CAST(quality AS BIGINT) AS quality,
+       CASE WHEN doc_id IS NULL THEN 'missing_prediction'
+            WHEN page_id IS NULL THEN 'missing_reference' ELSE 'ok' END AS status
+FROM pages FULL JOIN labels ON page_id = doc_id""",
+)
+def pair_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as references, labels as predictions: some keys on one side only."""
+    refs = table(spark, sf, "pages").select(F.col("page_id").alias("sample_idx"), "url")
+    preds = table(spark, sf, "labels").select(
+        F.col("doc_id").alias("sample_idx"), F.col("quality").cast("bigint").alias("quality")
+    )
+    return pair(refs, preds, "sample_idx")
+
+
+@query(
+    "rejected_samples",
+    """SELECT CASE WHEN doc_id IS NULL THEN 'missing_prediction' ELSE 'missing_reference' END AS status, count(*) AS samples
+FROM pages FULL JOIN labels ON page_id = doc_id WHERE doc_id IS NULL OR page_id IS NULL GROUP BY 1""",
+)
+def rejected_samples(spark: SparkSession, sf: str) -> DataFrame:
+    rejected = split_status(pair_status(spark, sf))[1]
+    return rejected.groupBy("status").agg(F.count(F.lit(1)).alias("samples"))
+
+
+@query(
+    "duplicate_keys",
+    "SELECT l_orderkey, count(*) AS copies FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1",
+)
+def duplicate_keys(spark: SparkSession, sf: str) -> DataFrame:
+    schema = T.StructType([T.StructField("l_orderkey", T.LongType())])
+    return validate_samples(table(spark, sf, "lineitem").select("l_orderkey"), schema, "l_orderkey")
+
+
+@query(
+    "metadata_join",
+    """SELECT d.doc_id, n_chars, CAST(quality AS BIGINT) AS quality, CAST(toxic AS BIGINT) AS toxic,
+       'corpus' AS dataset, 'test' AS subset
+FROM documents d LEFT JOIN labels l USING (doc_id)""",
+)
+def metadata_join(spark: SparkSession, sf: str) -> DataFrame:
+    scores = table(spark, sf, "documents").select("doc_id", "n_chars")
+    meta = table(spark, sf, "labels").select(
+        "doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("quality", "toxic")]
+    )
+    joined = with_sample_metadata(scores, meta, "doc_id")
+    return with_batch_metadata(joined, {"dataset": "corpus", "subset": "test"})
+
+
+@query(
+    "union_runs",
+    """SELECT 'conversations' AS run_id, conv_id, turn, role, CAST(NULL AS VARCHAR) AS lang FROM conversations
+UNION ALL SELECT 'documents', doc_id, NULL, NULL, lang FROM documents""",
+)
+def unioned(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("conv_id"), "lang")
+    return union_runs(conversations=turns, documents=docs)
+
+
+@query(
+    "run_stamps",
+    "SELECT strftime(ts, '%Y%m%d_%H%M%S') AS run_ts, count(*) AS events FROM events GROUP BY 1",
+)
+def run_stamps(spark: SparkSession, sf: str) -> DataFrame:
+    stamped = table(spark, sf, "events").select(run_stamp("ts").alias("run_ts"))
+    return stamped.groupBy("run_ts").agg(F.count(F.lit(1)).alias("events"))
+
+
+# ---- memo ---------------------------------------------------------------
+
+HASHED_SQL = """
+hashed AS (SELECT doc_id, md5('1' || lang || chr(1) || '1' || text) AS request_md5 FROM documents),
+memo AS (SELECT request_md5, 'doc_' || min(doc_id) AS result_path
+         FROM hashed WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY request_md5)"""
+
+
+def memo_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All documents as requests; the labelled ones have been answered."""
+    requests = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    answered = requests.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    memo = (
+        with_request_hash(answered, ["lang", "text"])
+        .groupBy(HASH)
+        .agg(F.concat(F.lit("doc_"), F.min("doc_id").cast("string")).alias("result_path"))
+    )
+    return requests, memo
+
+
+@query(
+    "memo_todo",
+    f"""WITH {HASHED_SQL}
+SELECT min(doc_id) AS doc_id, request_md5 FROM hashed
+WHERE request_md5 NOT IN (SELECT request_md5 FROM memo) GROUP BY request_md5""",
+)
+def todo(spark: SparkSession, sf: str) -> DataFrame:
+    requests, memo = memo_inputs(spark, sf)
+    return memo_split(requests, memo, ["lang", "text"], "doc_id")[0]
+
+
+@query(
+    "memo_hits",
+    f"WITH {HASHED_SQL} SELECT doc_id, request_md5, result_path FROM hashed JOIN memo USING (request_md5)",
+)
+def hits(spark: SparkSession, sf: str) -> DataFrame:
+    requests, memo = memo_inputs(spark, sf)
+    return memo_split(requests, memo, ["lang", "text"], "doc_id")[1].select("doc_id", HASH, "result_path")
+
+
+@query(
+    "memo_merge",
+    f"""WITH {HASHED_SQL},
+fresh AS (SELECT request_md5, 'new_' || min(doc_id) AS result_path FROM hashed GROUP BY request_md5)
+SELECT request_md5, coalesce(m.result_path, f.result_path) AS result_path
+FROM fresh f LEFT JOIN memo m USING (request_md5)""",
+)
+def merged(spark: SparkSession, sf: str) -> DataFrame:
+    """Results for every request arrive; those the memo already has keep theirs."""
+    requests, memo = memo_inputs(spark, sf)
+    fresh = (
+        with_request_hash(requests, ["lang", "text"])
+        .groupBy(HASH)
+        .agg(F.concat(F.lit("new_"), F.min("doc_id").cast("string")).alias("result_path"))
+    )
+    return memo_merge(memo, fresh)
+
+
+# ---- batch, corpus, sweep -----------------------------------------------
+
+
+def turn_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").select("conv_id", "turn", "text")
+
+
+@query(
+    "batch_eval",
+    f"""{BOTH_SQL}
+SELECT c.conv_id, c.turn, round(cer, 6) AS cer, round(wer, 6) AS wer,
+       CASE WHEN r.conv_id IS NULL THEN 'missing_prediction' ELSE 'ok' END AS status, 'next turn' AS experiment
+FROM conversations c LEFT JOIN rates r USING (conv_id, turn)""",
+)
+def batch_eval(spark: SparkSession, sf: str) -> DataFrame:
+    """A job from requests to transcriptions, scored as a batch."""
+
+    def infer(requests: DataFrame) -> DataFrame:
+        return turn_preds(spark, sf).join(requests.select(*TURN), TURN, "left_semi")
+
+    evaluation = Evaluation(score_transcripts)
+    evaluation.set_infer(infer)
+    scores = evaluation.batch(
+        turn_samples(spark, sf), key=TURN, batch_metadata={"experiment": "next turn"}
+    )
+    return scores.select(
+        *TURN, *[rounded(m).alias(m) for m in ASR_METRICS], "status", "experiment"
+    )
+
+
+@query(
+    "tts_scores",
+    """WITH s AS (
+  SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings),
+u AS (SELECT vec_id, label, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS v FROM s),
+p AS (SELECT a.vec_id, a.i, a.v AS r, b.v AS e FROM u a JOIN u b ON b.vec_id = a.vec_id + 1 AND b.i = a.i),
+sdr AS (
+  SELECT p.vec_id, 10 * log10(sum(a * r * a * r) / sum((e - a * r) * (e - a * r))) AS si_sdr
+  FROM p JOIN (SELECT vec_id, sum(r * e) / sum(r * r) AS a FROM p GROUP BY vec_id) q USING (vec_id) GROUP BY p.vec_id),
+d AS (SELECT vec_id, i, greatest(0, r - lag(r) OVER w) AS r, greatest(0, e - lag(e) OVER w) AS e
+      FROM p WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
+env AS (SELECT vec_id, i, CASE WHEN i = 1 THEN 0.0 ELSE r END AS r, CASE WHEN i = 1 THEN 0.0 ELSE e END AS e FROM d),
+rhythm AS (SELECT vec_id, covar_pop(r, e) / (stddev_pop(r) * stddev_pop(e)) AS sim_r FROM env GROUP BY vec_id)
+SELECT a.vec_id AS sample_idx, CAST(NULL AS DOUBLE) AS pesq, CAST(NULL AS DOUBLE) AS stoi,
+       CASE WHEN a.label % 2 = b.label % 2 THEN round(si_sdr, 6) + 0.0 END AS si_sdr,
+       CAST(NULL AS DOUBLE) AS sim_o, round(sim_r, 6) + 0.0 AS sim_r,
+       CASE WHEN b.vec_id IS NULL THEN 'missing_prediction'
+            WHEN a.label % 2 <> b.label % 2 THEN 'rate_mismatch' ELSE 'ok' END AS status
+FROM s a LEFT JOIN s b ON b.vec_id = a.vec_id + 1
+         LEFT JOIN sdr ON sdr.vec_id = a.vec_id LEFT JOIN rhythm ON rhythm.vec_id = a.vec_id""",
+)
+def tts_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Each vector against the next id; odd labels count as 24 kHz, even ones as 16 kHz.
+
+    Read as an envelope of 64 frames, a vector also has a rhythm.
+    """
+    x = F.col("embedding").cast("array<double>")
+    rate = (16000 + 8000 * (F.col("label") % 2)).cast("int")
+    vectors = table(spark, sf, "embeddings")
+    samples = vectors.select(
+        F.col("vec_id").alias("sample_idx"), F.lit(None).cast("string").alias("text"), x.alias("ref"), rate.alias("ref_sr")
+    )
+    ests = vectors.select((F.col("vec_id") - 1).alias("sample_idx"), x.alias("est"), rate.alias("est_sr"))
+
+    def decode(requests: DataFrame) -> DataFrame:
+        return ests.join(requests.select("sample_idx"), "sample_idx", "left_semi")
+
+    def envelope(df: DataFrame, signal: str) -> DataFrame:
+        steps = df.select("sample_idx", F.posexplode(signal).alias("frame", "v"))
+        return onset_envelope(steps.select("sample_idx", "frame", F.array("v").alias("values")), "sample_idx")
+
+    rhythm = sim_r(envelope(samples, "ref"), envelope(ests, "est"), "sample_idx")
+    evaluation = Evaluation(lambda pairs: score_signals(pairs, {"sim_r": rhythm}), decode=decode)
+    scores = evaluation.batch(samples)
+    return scores.select(
+        "sample_idx", "pesq", "stoi", rounded("si_sdr").alias("si_sdr"), "sim_o", rounded("sim_r").alias("sim_r"), "status"
+    )
+
+
+@query(
+    "corpus_eval",
+    f"""{BOTH_SQL},
+picked AS (SELECT conv_id, turn, role FROM conversations
+           ORDER BY md5('7:' || (conv_id * 1000 + turn)), conv_id * 1000 + turn LIMIT 200),
+scored AS (SELECT p.role, r.cer, r.wer, r.conv_id IS NOT NULL AS ok
+           FROM picked p LEFT JOIN rates r USING (conv_id, turn)),
+long AS (SELECT role, 'cer' AS metric, cer AS v, ok FROM scored UNION ALL SELECT role, 'wer', wer, ok FROM scored)
+SELECT role, metric, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, count(v) AS n,
+       CAST(0 AS BIGINT) AS n_nan, count(*) FILTER (WHERE ok) AS n_ok, count(*) FILTER (WHERE NOT ok) AS n_rejected
+FROM long GROUP BY role, metric""",
+)
+def corpus_eval(spark: SparkSession, sf: str) -> DataFrame:
+    """200 turns in seeded order, scored, joined with their role and summarised by it."""
+    idx = F.col("conv_id") * 1000 + F.col("turn")
+    turns = table(spark, sf, "conversations").withColumn("sample_idx", idx)
+    preds = turns.select((F.col("sample_idx") - 1).alias("sample_idx"), F.col("text").alias("hyp"))
+    _, summary = evaluate_corpus(
+        Evaluation(score_transcripts),
+        turns.select("sample_idx", "text"),
+        "sample_idx",
+        ASR_METRICS,
+        n=200,
+        seed=7,
+        meta=turns.select("sample_idx", "role"),
+        batch_metadata={"dataset": "conversations"},
+        predictions=preds,
+        by=["role"],
+    )
+    return summary.withColumns({c: rounded(c) for c in ("mean", "std")})
+
+
+CHECKPOINTS = ["ahead1", "ahead2", "ahead3", "silent"]
+
+SWEEP_SQL = BOTH_SQL.replace(
+    PAIRS_SQL,
+    """
+turn_pairs AS (
+  SELECT a.conv_id, a.turn, 'ahead' || k AS role, lower(a.text) AS r, lower(b.text) AS h
+  FROM conversations a JOIN range(1, 4) AS ks(k) ON true
+  JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + k)""",
+)
+
+
+@query(
+    "sweep_summary",
+    f"""{SWEEP_SQL},
+total AS (SELECT count(*) AS refs FROM conversations),
+long AS (SELECT role, 'cer' AS metric, cer AS v FROM rates UNION ALL SELECT role, 'wer', wer FROM rates
+         UNION ALL SELECT 'silent', 'cer', NULL UNION ALL SELECT 'silent', 'wer', NULL)
+SELECT role AS checkpoint, metric, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, count(v) AS n,
+       CAST(0 AS BIGINT) AS n_nan, count(v) AS n_ok, any_value(refs) - count(v) AS n_rejected
+FROM long, total GROUP BY role, metric""",
+)
+def sweep_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Checkpoints predict the turn one, two or three ahead; one predicts nothing."""
+    refs = turn_samples(spark, sf)
+    ahead = table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.col("text").alias("hyp"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k")
+    )
+    preds = ahead.select(
+        F.concat(F.lit("ahead"), F.col("k").cast("string")).alias("checkpoint"),
+        "conv_id",
+        (F.col("turn") - F.col("k")).alias("turn"),
+        "hyp",
+    ).where("turn >= 0")
+    _, comparison = evaluate_sweep(refs, preds, score_transcripts, TURN, ASR_METRICS, CHECKPOINTS)
+    return comparison.withColumns({c: rounded(c) for c in ("mean", "std")})
+
+
+@query(
+    "sweep_requests",
+    """SELECT conv_id, turn, role, checkpoint FROM conversations, unnest(['a', 'b', 'c']) AS t(checkpoint)""",
+)
+def requests_of_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role")
+    return sweep_requests(turns, ["b", "a", "c"])

@@ -34,7 +34,7 @@ char_edits AS (
 # one row of the word dynamic program per step; the prefix minimum carries insertions
 WORDS_SQL = """
 word_lists AS (
-  SELECT row_number() OVER (ORDER BY conv_id, turn) AS id, conv_id, turn, role,
+  SELECT row_number() OVER (ORDER BY conv_id, turn, role) AS id, conv_id, turn, role,
          list_filter(regexp_split_to_array(r, '\\s+'), lambda w: w <> '') AS rw,
          list_filter(regexp_split_to_array(h, '\\s+'), lambda w: w <> '') AS hw
   FROM turn_pairs),
@@ -61,7 +61,7 @@ rates AS (
   SELECT c.conv_id, c.turn, c.role, c.char_edits, c.ref_chars, w.word_edits, w.ref_words,
          c.char_edits / CAST(c.ref_chars AS DOUBLE) AS cer,
          w.word_edits / CAST(w.ref_words AS DOUBLE) AS wer
-  FROM char_edits c JOIN word_edits w USING (conv_id, turn))"""
+  FROM char_edits c JOIN word_edits w USING (conv_id, turn, role))"""
 
 
 def turn_refs(spark: SparkSession, sf: str) -> DataFrame:

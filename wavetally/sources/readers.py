@@ -10,7 +10,11 @@ UTTERANCE_LINE = r"^(\d+)-(\d+)-(\d+)\s+(.*)$"  # fixed format: speaker-chapter-
 
 
 def read_manifest(
-    spark: SparkSession, directory: str, sample_rate: int = 16000, suffix: str = ".flac"
+    spark: SparkSession,
+    directory: str,
+    sample_rate: int = 16000,
+    suffix: str = ".flac",
+    glob: str = "*.trans.txt",
 ) -> DataFrame:
     """Utterances of a corpus tree ``speaker/chapter/*.trans.txt``.
 
@@ -19,7 +23,7 @@ def read_manifest(
     """
     lines = (
         spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.trans.txt")
+        .option("pathGlobFilter", glob)
         .text(directory)
         .select("value", F.col("_metadata.file_path").alias("_file"))
         .where(F.col("value").rlike(UTTERANCE_LINE))
