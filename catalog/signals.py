@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalog.registry import query, rounded, table
 from wavetally.functions import vectors as V
 from wavetally.operators.ordering import index_within
-from wavetally.operators.pairing import pair, split_status
+from wavetally.operators.pairing import pair
 from wavetally.operators.signal import (
     align_pairs,
     first_channel,
@@ -52,7 +52,7 @@ def signal_pairs(spark: SparkSession, sf: str) -> DataFrame:
     rows = frames(spark, sf)
     refs = rows.select(*PAIR, F.col("values").alias("ref"))
     ests = rows.select("label", (F.col("frame") - 1).alias("frame"), F.col("values").alias("est"))
-    return split_status(pair(refs, ests, PAIR))[0]
+    return pair(refs, ests, PAIR, keep_unmatched=False)
 
 
 @query("si_sdr_pairs", PAIRED_SQL)
@@ -82,7 +82,7 @@ def si_sdr_of_segmented_signals(spark: SparkSession, sf: str) -> DataFrame:
     ests = rows.where("label >= 5").select(
         (F.col("label") - 5).alias("label"), "frame", F.col("values").alias("est")
     )
-    segments = split_status(pair(refs, ests, PAIR))[0]
+    segments = pair(refs, ests, PAIR, keep_unmatched=False)
     return si_sdr_segments(segments, "label", "frame").select("label", rounded("si_sdr").alias("si_sdr"))
 
 

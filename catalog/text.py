@@ -9,7 +9,7 @@ from catalog.registry import query, rounded, table
 from wavetally.functions.text import normalise
 from wavetally.operators.error_rates import cer, corpus_error_rate, error_rates, wer
 from wavetally.operators.memo import build_requests
-from wavetally.operators.pairing import fill_sentinels, pair, split_status
+from wavetally.operators.pairing import fill_sentinels, pair
 from wavetally.operators.summary import summarise
 
 TURN = ["conv_id", "turn"]
@@ -79,7 +79,7 @@ def all_turn_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def matched_turns(spark: SparkSession, sf: str) -> DataFrame:
-    return split_status(all_turn_pairs(spark, sf))[0]
+    return pair(turn_refs(spark, sf), turn_preds(spark, sf), TURN, keep_unmatched=False)
 
 
 @query(

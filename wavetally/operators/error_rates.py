@@ -7,43 +7,61 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavetally.functions.edits import long_edit_distance
 from wavetally.functions.text import normalise, words
 from wavetally.operators.pairing import MISSING_PREDICTION, MISSING_REFERENCE, as_list, flag
 
 EMPTY_REFERENCE = "empty_reference"
+BUILTIN_CELLS = 200_000
 COUNTS = ["char_edits", "ref_chars", "word_edits", "ref_words"]
 
 
 def edit_distance(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """Exact Levenshtein distance of two string columns.
+    """Exact Levenshtein distance of two string columns, of any length.
 
-    A band around the diagonal settles similar texts at a fraction of the
-    quadratic cost; only pairs further apart than the band are computed in full.
+    Up to ``BUILTIN_CELLS`` the built-in function is used: first within a band
+    around the diagonal, which settles similar texts at a fraction of the cost,
+    then in full. Longer pairs go to the bit-parallel helper, so that one of
+    them does not hold a task for minutes.
     """
+    short = F.length(a).cast("bigint") * F.length(b) <= BUILTIN_CELLS
     band = F.greatest(F.lit(16), F.greatest(F.length(a), F.length(b)) / F.lit(12)).cast("int")
     near = F.call_function("levenshtein", F.col(a), F.col(b), band)
     full = F.levenshtein(F.col(a), F.col(b))
     return (
-        df.withColumn("_near", near)
-        .withColumn(out, F.when(F.col("_near") < 0, full).otherwise(F.col("_near")).cast("bigint"))
-        .drop("_near")
+        df.withColumn("_long", long_edit_distance(F.when(~short, F.col(a)), F.when(~short, F.col(b))))
+        .withColumn("_near", F.when(short, near))
+        .withColumn(
+            out,
+            F.when(F.col("_near") >= 0, F.col("_near"))
+            .when(F.col("_near") < 0, full)
+            .otherwise(F.col("_long"))
+            .cast("bigint"),
+        )
+        .drop("_long", "_near")
     )
 
 
-def _one_character_per_word(word_array: str, vocabulary: str) -> Column:
+def _one_character_per_word(word_array: str, common: str) -> Column:
     """Each word becomes one code point, so text functions count words.
 
-    Code points start at 256 and jump over the surrogates, which leaves room
-    for 1.1 million different words in one pair; one more would raise an error.
-    The byte order mark in front keeps U+FEFF usable as a code.
+    A word is coded by its position among the words both sides have; all others
+    share U+0100, since they match nothing. Beyond 50,000 words codes jump over
+    the surrogates, which leaves room for 1.1 million; more raise an error. The
+    byte order mark in front keeps U+FEFF usable as a code.
     """
 
-    def code(w: Column) -> Column:
-        at = F.array_position(F.col(vocabulary), w) + 256
-        return F.lpad(F.hex(F.when(at >= 0xD800, at + 2048).otherwise(at)), 8, "0")
+    def position(w: Column) -> Column:
+        return F.array_position(F.col(common), w) + 0x100
 
-    codes = F.array_join(F.transform(F.col(word_array), code), "")
-    return F.decode(F.unhex(F.concat(F.lit("0000FEFF"), codes)), "UTF-32")
+    def past_surrogates(w: Column) -> Column:
+        return F.when(position(w) < 0xD800, position(w)).otherwise(position(w) + 0x800)
+
+    def coded(code) -> Column:
+        return F.transform(F.col(word_array), lambda w: F.lpad(F.hex(code(w)), 8, "0"))
+
+    codes = F.when(F.size(common) <= 50_000, coded(position)).otherwise(coded(past_surrogates))
+    return F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.array_join(codes, ""))), "UTF-32")
 
 
 def char_counts(df: DataFrame, ref: str = "ref", hyp: str = "hyp", fold: str = "lower") -> DataFrame:
@@ -60,17 +78,18 @@ def word_counts(df: DataFrame, ref: str = "ref", hyp: str = "hyp", fold: str = "
     """Add ``word_edits`` and ``ref_words``."""
     split = df.withColumns(
         {"_rw": words(normalise(ref, fold)), "_hw": words(normalise(hyp, fold))}
-    ).withColumn("_voc", F.array_distinct(F.concat("_rw", "_hw")))
+    ).withColumn("_common", F.array_intersect("_rw", "_hw"))
     coded = split.withColumns(
         {
-            "_r": _one_character_per_word("_rw", "_voc"),
-            "_h": _one_character_per_word("_hw", "_voc"),
+            "_r": _one_character_per_word("_rw", "_common"),
+            # unmatched words of the two sides must differ
+            "_h": F.translate(_one_character_per_word("_hw", "_common"), "\u0100", "\u00ff"),
         }
     )
     return (
         edit_distance(coded, "_r", "_h", "word_edits")
         .withColumn("ref_words", F.when(F.col("_rw").isNotNull(), F.size("_rw")).cast("bigint"))
-        .drop("_rw", "_hw", "_voc", "_r", "_h")
+        .drop("_rw", "_hw", "_common", "_r", "_h")
     )
 
 
@@ -80,9 +99,19 @@ def _rate(edits: str, length: str, as_percent: bool) -> Column:
 
 
 def _flag_unscorable(df: DataFrame, ref: str, hyp: str) -> DataFrame:
-    df = flag(df, F.col(ref).isNull(), MISSING_REFERENCE)
-    df = flag(df, F.col(hyp).isNull(), MISSING_PREDICTION)
-    return flag(df, ~F.col(ref).rlike(r"(?U)\S"), EMPTY_REFERENCE)
+    return flag(
+        df,
+        {
+            MISSING_REFERENCE: F.col(ref).isNull(),
+            MISSING_PREDICTION: F.col(hyp).isNull(),
+            EMPTY_REFERENCE: ~F.col(ref).rlike(r"(?U)\S"),
+        },
+    )
+
+
+def _with_rate(df: DataFrame, out: str, edits: str, length: str, as_percent: bool) -> DataFrame:
+    scorable = F.col("status") != EMPTY_REFERENCE
+    return df.withColumn(out, F.when(scorable, _rate(edits, length, as_percent)))
 
 
 def cer(
@@ -90,8 +119,7 @@ def cer(
 ) -> DataFrame:
     """Add the character error rate. Not capped at 1: insertions can exceed the reference."""
     counted = char_counts(_flag_unscorable(df, ref, hyp), ref, hyp, fold)
-    ok = F.col("status") != EMPTY_REFERENCE
-    return counted.withColumn("cer", F.when(ok, _rate("char_edits", "ref_chars", as_percent)))
+    return _with_rate(counted, "cer", "char_edits", "ref_chars", as_percent)
 
 
 def wer(
@@ -99,15 +127,16 @@ def wer(
 ) -> DataFrame:
     """Add the word error rate, see :func:`cer`."""
     counted = word_counts(_flag_unscorable(df, ref, hyp), ref, hyp, fold)
-    ok = F.col("status") != EMPTY_REFERENCE
-    return counted.withColumn("wer", F.when(ok, _rate("word_edits", "ref_words", as_percent)))
+    return _with_rate(counted, "wer", "word_edits", "ref_words", as_percent)
 
 
 def error_rates(
     df: DataFrame, ref: str = "ref", hyp: str = "hyp", fold: str = "lower", as_percent: bool = False
 ) -> DataFrame:
     """Both rates with their counts."""
-    return wer(cer(df, ref, hyp, fold, as_percent), ref, hyp, fold, as_percent)
+    counted = word_counts(char_counts(_flag_unscorable(df, ref, hyp), ref, hyp, fold), ref, hyp, fold)
+    rated = _with_rate(counted, "cer", "char_edits", "ref_chars", as_percent)
+    return _with_rate(rated, "wer", "word_edits", "ref_words", as_percent)
 
 
 def corpus_error_rate(

@@ -70,7 +70,8 @@ def frame_stats(
     """
     on = as_list(key)
     if isinstance(frames.schema[values].dataType, T.ArrayType):
-        rows = frames.select(*on, frame, F.explode(values).alias("_v"))
+        # the outer form, because explode would add a filter that computes the array again
+        rows = frames.select(*on, frame, F.explode_outer(values).alias("_v"))
     else:
         rows = frames.select(*on, frame, F.col(values).alias("_v"))
     return rows.groupBy(*on).agg(

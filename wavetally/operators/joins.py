@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from wavetally.operators.pairing import as_list
 
 
+MAX_HOT_KEYS = 10_000
+
+
 def chunk_of(position: str, span: int):
     """Number of the run of ``span`` consecutive positions a row belongs to."""
     return F.floor(F.col(position) / F.lit(span)).cast("bigint")
@@ -43,14 +46,18 @@ def hot_key_join(
     """Inner join of many rows to the single row of their key.
 
     A key with more than ``rows_per_copy`` rows is split into several sub-keys
-    and its partner repeated for each. There are at most
-    rows / ``rows_per_copy`` such keys, which bounds the broadcast list.
+    and its partner repeated for each. Keys are counted from the key column
+    alone. The broadcast list holds the ``MAX_HOT_KEYS`` most frequent of them;
+    a key below those owns less than one row in ``MAX_HOT_KEYS`` and needs no
+    splitting.
     """
     keys = as_list(on)
     hot = (
         many.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .where(F.col("_rows") > rows_per_copy)
+        .orderBy(F.desc("_rows"), *keys)
+        .limit(MAX_HOT_KEYS)
         .select(*keys, F.ceil(F.col("_rows") / F.lit(rows_per_copy)).cast("int").alias("_copies"))
     )
     copies = F.coalesce(F.col("_copies"), F.lit(1))

@@ -21,10 +21,10 @@ def _with_key_bucket(df: DataFrame, key: str, buckets: int) -> DataFrame:
         else []
     )
     if not inner:
-        return ranked.withColumn("_bucket", F.lit(0.0)).drop("_rank")
+        return ranked.withColumn("_bucket", F.lit(0)).drop("_rank")
     splits = [float("-inf"), *sorted(set(inner)), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="_rank", outputCol="_bucket")
-    return cut.transform(ranked).drop("_rank")
+    cut = Bucketizer(splits=splits, inputCol="_rank", outputCol="_cut", handleInvalid="keep")
+    return cut.transform(ranked).withColumn("_bucket", F.col("_cut").cast("int")).drop("_rank", "_cut")
 
 
 def index_within(
@@ -64,9 +64,19 @@ def sample_order(key: str, seed: int) -> Column:
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows in the order of a seeded hash of the key.
+    """The ``n`` rows that come first in the order of a seeded hash of ``key``.
 
-    The same rows come back for any partitioning, file order or retry. Spark
-    keeps the first ``n`` of each partition and merges those.
+    The same rows come back for any partitioning, file order or retry; ``key``
+    is unique. Only keys are ranked: counts per hash prefix (at most 65,536
+    rows) leave few candidates, whose n-th hash is the limit for the full rows.
+    Wide rows are filtered where they are read and never sorted.
     """
-    return df.orderBy(sample_order(key, seed), key).limit(n)
+    hashed = df.select(key, sample_order(key, seed).alias("_h"))
+    per_prefix = hashed.groupBy(F.left("_h", F.lit(4)).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    needed = per_prefix.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    last_prefix = needed.where(F.col("_before") < n).agg(F.max("_p"))
+    candidates = hashed.where(F.left("_h", F.lit(4)) <= last_prefix.scalar())
+    limit = candidates.orderBy("_h", key).limit(n).agg(F.max(F.struct("_h", key)))
+    own = F.struct(sample_order(key, seed).alias("_h"), F.col(key))
+    return df.where(own <= limit.scalar())

@@ -30,42 +30,47 @@ def pair(
     refs: DataFrame,
     preds: DataFrame,
     key: str | Sequence[str],
+    keep_unmatched: bool = True,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Full outer join on ``key`` with a ``status`` for each row.
+    """Join on ``key`` with a ``status`` for each row.
 
-    One shuffle of each side covers matched and unmatched keys. The partition
-    number is explicit, because scoring costs far more per byte than AQE's
-    size-based coalescing expects.
+    One shuffle of each side covers matched and unmatched keys; without
+    ``keep_unmatched`` only pairs remain. The partition number is explicit,
+    because scoring costs far more per byte than AQE's size-based coalescing
+    expects.
     """
     on = as_list(key)
     refuse_clash([c for c in refs.columns if c not in on], [c for c in preds.columns if c not in on])
     n = partitions or shuffle_partitions(refs.sparkSession)
-    left = refs.withColumn("_in_refs", F.lit(True)).repartition(n, *on)
-    right = preds.withColumn("_in_preds", F.lit(True)).repartition(n, *on)
+    left, right = refs.repartition(n, *on), preds.repartition(n, *on)
+    if not keep_unmatched:
+        return left.join(right, on).withColumn("status", F.lit(OK))
     status = (
         F.when(F.col("_in_preds").isNull(), F.lit(MISSING_PREDICTION))
         .when(F.col("_in_refs").isNull(), F.lit(MISSING_REFERENCE))
         .otherwise(F.lit(OK))
     )
     return (
-        left.join(right, on, "full_outer")
+        left.withColumn("_in_refs", F.lit(True))
+        .join(right.withColumn("_in_preds", F.lit(True)), on, "full_outer")
         .withColumn("status", status)
         .drop("_in_refs", "_in_preds")
     )
 
 
-def flag(df: DataFrame, condition: Column, reason: str) -> DataFrame:
-    """Give rows that are still ok and meet ``condition`` the status ``reason``."""
-    ok = F.col("status") == OK if "status" in df.columns else F.lit(True)
+def flag(df: DataFrame, reasons: Mapping[str, Column]) -> DataFrame:
+    """Give rows that are still ok the first reason whose condition they meet."""
     before = F.col("status") if "status" in df.columns else F.lit(OK)
-    hit = ok & F.coalesce(condition, F.lit(False))
-    return df.withColumn("status", F.when(hit, F.lit(reason)).otherwise(before))
+    status = F.when(before != OK, before)
+    for reason, condition in reasons.items():
+        status = status.when(condition, F.lit(reason))
+    return df.withColumn("status", status.otherwise(before))
 
 
 def flag_rate_mismatch(df: DataFrame, ref_sr: str = "ref_sr", est_sr: str = "est_sr") -> DataFrame:
     """Signals of unequal sampling rate are rejected, not compared sample by sample."""
-    return flag(df, F.col(ref_sr) != F.col(est_sr), RATE_MISMATCH)
+    return flag(df, {RATE_MISMATCH: F.col(ref_sr) != F.col(est_sr)})
 
 
 def split_status(df: DataFrame) -> tuple[DataFrame, DataFrame]:

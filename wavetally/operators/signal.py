@@ -59,9 +59,8 @@ def _segment_energies(df: DataFrame, ref: str, est: str) -> DataFrame:
 def _ratio(out: str, df: DataFrame) -> DataFrame:
     signal = F.col("_scale") * F.col("_scale") * F.col("_rr")
     value = F.when(F.col("_rr") > 0, V.decibel_ratio(signal, F.col("_noise")))
-    return flag(
-        df.withColumn(out, value), (F.col("_rr") == 0), SILENT_REFERENCE
-    ).drop("_rr", "_re", "_scale", "_noise")
+    scored = flag(df.withColumn(out, value), {SILENT_REFERENCE: F.col("_rr") == 0})
+    return scored.drop("_rr", "_re", "_scale", "_noise")
 
 
 def si_sdr(df: DataFrame, ref: str = "ref", est: str = "est", out: str = "si_sdr") -> DataFrame:

@@ -32,7 +32,7 @@ def audio_span(
     start, end = span_bounds(F.col(tokens), soa, eoa)
     length = (end - start).cast("int")
     found = F.when(length > 0, F.slice(tokens, start.cast("int") + 1, F.greatest(length, F.lit(0))))
-    return flag(df.withColumn(out, found), F.col(tokens).isNotNull() & (length <= 0), EMPTY_SPAN)
+    return flag(df.withColumn(out, found), {EMPTY_SPAN: length <= 0})
 
 
 def pad_frames(df: DataFrame, k: int, codes: str = "codes") -> DataFrame:

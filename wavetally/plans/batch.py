@@ -43,9 +43,8 @@ def score_signals(
     Metrics nobody supplied are NULL columns, so the schema is fixed.
     """
     on = as_list(key)
-    present = flag(pairs, F.col("ref").isNull(), MISSING_REFERENCE)
-    present = flag(present, F.col("est").isNull(), MISSING_PREDICTION)
-    flagged = flag_rate_mismatch(present)
+    present = {MISSING_REFERENCE: F.col("ref").isNull(), MISSING_PREDICTION: F.col("est").isNull()}
+    flagged = flag_rate_mismatch(flag(pairs, present))
     usable = F.col("status") == "ok"
     # a rejected pair keeps its row but not its signals
     blanked = flagged.withColumns({c: F.when(usable, F.col(c)) for c in ("ref", "est")})
