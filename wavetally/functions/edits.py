@@ -1,4 +1,4 @@
-"""Edit distance of long strings.
+"""Edit distance of long texts.
 
 The built-in ``levenshtein`` takes about 10 ns per cell of the table of both
 lengths: fine for a sentence, a minute for a pair of books. This helper keeps a
@@ -8,13 +8,18 @@ about 20 times faster there.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def bit_parallel_distance(a: str, b: str) -> int:
-    """Insertions, deletions and substitutions that turn ``a`` into ``b``."""
+def bit_parallel_distance(a: Sequence[str], b: Sequence[str]) -> int:
+    """Insertions, deletions and substitutions that turn ``a`` into ``b``.
+
+    The symbols are the characters of two texts or the words of two lists.
+    """
     if len(a) < len(b):
         a, b = b, a
     shared, positions, bit = set(b), {}, 1

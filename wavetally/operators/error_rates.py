@@ -6,62 +6,68 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wavetally.functions.edits import long_edit_distance
 from wavetally.functions.text import normalise, words
 from wavetally.operators.pairing import MISSING_PREDICTION, MISSING_REFERENCE, as_list, flag
 
 EMPTY_REFERENCE = "empty_reference"
-BUILTIN_CELLS = 200_000
+# table cells up to which the built-in distance is the faster one; coding words has a price
+SHORT_CHAR_CELLS = 200_000
+SHORT_WORD_CELLS = 20_000
 COUNTS = ["char_edits", "ref_chars", "word_edits", "ref_words"]
 
 
-def edit_distance(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """Exact Levenshtein distance of two string columns, of any length.
-
-    Up to ``BUILTIN_CELLS`` the built-in function is used: first within a band
-    around the diagonal, which settles similar texts at a fraction of the cost,
-    then in full. Longer pairs go to the bit-parallel helper, so that one of
-    them does not hold a task for minutes.
-    """
-    short = F.length(a).cast("bigint") * F.length(b) <= BUILTIN_CELLS
-    band = F.greatest(F.lit(16), F.greatest(F.length(a), F.length(b)) / F.lit(12)).cast("int")
-    near = F.call_function("levenshtein", F.col(a), F.col(b), band)
-    full = F.levenshtein(F.col(a), F.col(b))
-    return (
-        df.withColumn("_long", long_edit_distance(F.when(~short, F.col(a)), F.when(~short, F.col(b))))
-        .withColumn("_near", F.when(short, near))
-        .withColumn(
-            out,
-            F.when(F.col("_near") >= 0, F.col("_near"))
-            .when(F.col("_near") < 0, full)
-            .otherwise(F.col("_long"))
-            .cast("bigint"),
-        )
-        .drop("_long", "_near")
-    )
-
-
 def _one_character_per_word(word_array: str, common: str) -> Column:
-    """Each word becomes one code point, so text functions count words.
+    """Each word becomes one character, so text functions count words.
 
     A word is coded by its position among the words both sides have; all others
-    share U+0100, since they match nothing. Beyond 50,000 words codes jump over
-    the surrogates, which leaves room for 1.1 million; more raise an error. The
-    byte order mark in front keeps U+FEFF usable as a code.
+    share U+0100, since they match nothing.
     """
 
-    def position(w: Column) -> Column:
-        return F.array_position(F.col(common), w) + 0x100
+    def code(w: Column) -> Column:
+        return F.lpad(F.hex(F.array_position(F.col(common), w) + 0x100), 8, "0")
 
-    def past_surrogates(w: Column) -> Column:
-        return F.when(position(w) < 0xD800, position(w)).otherwise(position(w) + 0x800)
+    return F.decode(F.unhex(F.array_join(F.transform(F.col(word_array), code), "")), "UTF-32")
 
-    def coded(code) -> Column:
-        return F.transform(F.col(word_array), lambda w: F.lpad(F.hex(code(w)), 8, "0"))
 
-    codes = F.when(F.size(common) <= 50_000, coded(position)).otherwise(coded(past_surrogates))
-    return F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.array_join(codes, ""))), "UTF-32")
+def edit_distance(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """Add the exact Levenshtein distance of two texts or two word arrays.
+
+    Short pairs use the built-in function: first within a band around the
+    diagonal, which settles similar texts at a fraction of the cost, then in
+    full. Longer pairs go to the bit-parallel helper, so that one of them does
+    not hold a task for minutes.
+    """
+    by_word = isinstance(df.schema[a].dataType, T.ArrayType)
+    length = F.size if by_word else F.length
+    limit = SHORT_WORD_CELLS if by_word else SHORT_CHAR_CELLS
+    short = length(a).cast("bigint") * length(b) <= limit
+    far = df.withColumns(
+        {
+            "_long": long_edit_distance(F.when(~short, F.col(a)), F.when(~short, F.col(b))),
+            "_a": F.when(short, F.col(a)),
+            "_b": F.when(short, F.col(b)),
+        }
+    )
+    if by_word:
+        coded_b = _one_character_per_word("_b", "_common")
+        far = far.withColumn("_common", F.array_intersect("_a", "_b")).withColumns(
+            {
+                "_a": _one_character_per_word("_a", "_common"),
+                # unmatched words of the two sides must differ
+                "_b": F.translate(coded_b, "\u0100", "\u00ff"),
+            }
+        ).drop("_common")
+    band = F.greatest(F.lit(16), F.greatest(F.length("_a"), F.length("_b")) / F.lit(12)).cast("int")
+    near = far.withColumn("_near", F.call_function("levenshtein", F.col("_a"), F.col("_b"), band))
+    distance = (
+        F.when(F.col("_near") >= 0, F.col("_near"))
+        .when(F.col("_near") < 0, F.levenshtein("_a", "_b"))
+        .otherwise(F.col("_long"))
+    )
+    return near.withColumn(out, distance.cast("bigint")).drop("_long", "_a", "_b", "_near")
 
 
 def char_counts(df: DataFrame, ref: str = "ref", hyp: str = "hyp", fold: str = "lower") -> DataFrame:
@@ -76,20 +82,11 @@ def char_counts(df: DataFrame, ref: str = "ref", hyp: str = "hyp", fold: str = "
 
 def word_counts(df: DataFrame, ref: str = "ref", hyp: str = "hyp", fold: str = "lower") -> DataFrame:
     """Add ``word_edits`` and ``ref_words``."""
-    split = df.withColumns(
-        {"_rw": words(normalise(ref, fold)), "_hw": words(normalise(hyp, fold))}
-    ).withColumn("_common", F.array_intersect("_rw", "_hw"))
-    coded = split.withColumns(
-        {
-            "_r": _one_character_per_word("_rw", "_common"),
-            # unmatched words of the two sides must differ
-            "_h": F.translate(_one_character_per_word("_hw", "_common"), "\u0100", "\u00ff"),
-        }
-    )
+    split = df.withColumns({"_r": words(normalise(ref, fold)), "_h": words(normalise(hyp, fold))})
     return (
-        edit_distance(coded, "_r", "_h", "word_edits")
-        .withColumn("ref_words", F.when(F.col("_rw").isNotNull(), F.size("_rw")).cast("bigint"))
-        .drop("_rw", "_hw", "_common", "_r", "_h")
+        edit_distance(split, "_r", "_h", "word_edits")
+        .withColumn("ref_words", F.when(F.col("_r").isNotNull(), F.size("_r")).cast("bigint"))
+        .drop("_r", "_h")
     )
 
 

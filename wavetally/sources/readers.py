@@ -47,7 +47,7 @@ def read_manifest(
 
 
 def read_hashed_files(spark: SparkSession, directory: str, glob: str = "*") -> DataFrame:
-    """Path, length and md5 of each file's bytes."""
+    """Path, length and md5 of each file's bytes. Spark's scan passes over empty files."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
