@@ -46,10 +46,10 @@ def sampled(spark: SparkSession, sf: str) -> DataFrame:
     return seeded_sample(docs, "doc_id", 100)
 
 
-@query("index_range", "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id >= 600 AND doc_id < 801")
+@query("index_range", "SELECT event_id, user_id, event_type FROM events WHERE event_id >= 600 AND event_id < 801")
 def ranged(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
-    return index_range(docs, "doc_id", 600, 801)
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    return index_range(events, "event_id", 600, 801)
 
 
 # ---- pairing and metadata -----------------------------------------------
