@@ -144,6 +144,24 @@ def test_batch_with_predictions_and_failures(spark):
         evaluate_batch(samples, score_transcripts, predictions=preds.withColumn("sample_idx", F.col("sample_idx").cast("int")))
 
 
+def test_bucketed_tables_are_paired_without_a_shuffle(spark):
+    spark.range(100).select(F.col("id").alias("sample_idx"), F.lit("a b").alias("text")).write.bucketBy(
+        4, "sample_idx"
+    ).sortBy("sample_idx").mode("overwrite").saveAsTable("bucketed_refs")
+    spark.range(90).select(F.col("id").alias("sample_idx"), F.lit("a c").alias("hyp")).write.bucketBy(
+        4, "sample_idx"
+    ).sortBy("sample_idx").mode("overwrite").saveAsTable("bucketed_preds")
+    try:
+        scores = evaluate_batch(
+            spark.table("bucketed_refs"), score_transcripts, predictions=spark.table("bucketed_preds"), colocated=True
+        )
+        assert "Exchange" not in scores._jdf.queryExecution().executedPlan().toString()
+        assert scores.where("wer = 0.5").count() == 90 and scores.where("status = 'missing_prediction'").count() == 10
+    finally:
+        spark.sql("DROP TABLE bucketed_refs")
+        spark.sql("DROP TABLE bucketed_preds")
+
+
 def test_text_samples_are_inferred_and_others_decoded(spark):
     samples = spark.createDataFrame(
         [(1, "say it", [1.0, 2.0, -1.0], 16000), (2, None, [2.0, 1.0, 0.5], 16000)],

@@ -10,6 +10,11 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
 
 
+def energy(values: Column) -> Column:
+    """Sum of squares."""
+    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v * v)
+
+
 def dot(x: Column, y: Column) -> Column:
     return total(F.zip_with(x, y, lambda a, b: a * b))
 
@@ -18,17 +23,6 @@ def mean(values: Column) -> Column:
     return F.try_divide(total(values), F.size(values))
 
 
-def centred_dot(x: Column, mean_x: Column, y: Column, mean_y: Column) -> Column:
-    return total(F.zip_with(x, y, lambda a, b: (a - mean_x) * (b - mean_y)))
-
-
-def residual_energy(ref: Column, est: Column, scale: Column) -> Column:
-    """Sum of squares of ``est - scale * ref``."""
-    return total(
-        F.zip_with(ref, est, lambda r, e: (e - scale * r) * (e - scale * r))
-    )
-
-
 def decibel_ratio(signal: Column, noise: Column) -> Column:
     """10*log10(signal/noise) with IEEE results at zero: inf, -inf or NaN."""
     return (

@@ -12,6 +12,9 @@ from wavetally.operators.pairing import as_list
 from wavetally.session import shuffle_partitions
 
 
+MAX_BUCKETS = 4096  # bounds the list of ranges that reaches the driver
+
+
 def _with_key_bucket(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """Add ``_bucket``: equal-frequency ranges of a numeric key, in key order."""
     ranked = df.withColumn("_rank", F.col(key).cast("double"))
@@ -38,7 +41,7 @@ def index_within(
     ranges reads the key column once, when the plan is built.
     """
     on = as_list(group)
-    n = buckets or shuffle_partitions(df.sparkSession)
+    n = buckets or min(shuffle_partitions(df.sparkSession), MAX_BUCKETS)
     bucketed = _with_key_bucket(df, key, n)
     sizes = bucketed.groupBy(*on, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.partitionBy(*on).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

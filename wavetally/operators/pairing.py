@@ -32,18 +32,22 @@ def pair(
     key: str | Sequence[str],
     keep_unmatched: bool = True,
     partitions: int | None = None,
+    colocated: bool = False,
 ) -> DataFrame:
     """Join on ``key`` with a ``status`` for each row.
 
     One shuffle of each side covers matched and unmatched keys; without
     ``keep_unmatched`` only pairs remain. The partition number is explicit,
     because scoring costs far more per byte than AQE's size-based coalescing
-    expects.
+    expects. Tables bucketed by ``key`` are joined as they lie when
+    ``colocated`` is set: then nothing is shuffled.
     """
     on = as_list(key)
     refuse_clash([c for c in refs.columns if c not in on], [c for c in preds.columns if c not in on])
-    n = partitions or shuffle_partitions(refs.sparkSession)
-    left, right = refs.repartition(n, *on), preds.repartition(n, *on)
+    left, right = refs, preds
+    if not colocated:
+        n = partitions or shuffle_partitions(refs.sparkSession)
+        left, right = refs.repartition(n, *on), preds.repartition(n, *on)
     if not keep_unmatched:
         return left.join(right, on).withColumn("status", F.lit(OK))
     status = (

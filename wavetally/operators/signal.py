@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavetally.functions import vectors as V
+from wavetally.functions.energies import pair_energies
+from wavetally.functions.vectors import decibel_ratio
 from wavetally.operators.joins import hot_key_join, spread_join
 from wavetally.operators.pairing import as_list, flag, refuse_clash
 
@@ -40,7 +41,7 @@ def one_reference_many_estimates(
     ests: DataFrame,
     on: str | Sequence[str],
     est_key: str | Sequence[str],
-    rows_per_copy: int = 1_000_000,
+    rows_per_copy: int = 10_000,
 ) -> DataFrame:
     """Pair every estimate with the reference it shares; popular references are split."""
     return hot_key_join(ests, refs, on, est_key, rows_per_copy)
@@ -48,17 +49,19 @@ def one_reference_many_estimates(
 
 def _segment_energies(df: DataFrame, ref: str, est: str) -> DataFrame:
     """Energies of one row: reference, product, and residual at the row's own best scale."""
-    r, e = F.col(ref), F.col(est)
+    e = F.col("_energies")
     return (
-        df.withColumns({"_rr": V.dot(r, r), "_re": V.dot(r, e)})
-        .withColumn("_scale", F.coalesce(F.try_divide(F.col("_re"), F.col("_rr")), F.lit(0.0)))
-        .withColumn("_noise", V.residual_energy(r, e, F.col("_scale")))
+        df.withColumn("_energies", pair_energies(F.col(ref), F.col(est)))
+        .withColumns(
+            {"_rr": e["reference"], "_re": e["product"], "_scale": e["scale"], "_noise": e["residual"]}
+        )
+        .drop("_energies")
     )
 
 
 def _ratio(out: str, df: DataFrame) -> DataFrame:
     signal = F.col("_scale") * F.col("_scale") * F.col("_rr")
-    value = F.when(F.col("_rr") > 0, V.decibel_ratio(signal, F.col("_noise")))
+    value = F.when(F.col("_rr") > 0, decibel_ratio(signal, F.col("_noise")))
     scored = flag(df.withColumn(out, value), {SILENT_REFERENCE: F.col("_rr") == 0})
     return scored.drop("_rr", "_re", "_scale", "_noise")
 
@@ -66,7 +69,8 @@ def _ratio(out: str, df: DataFrame) -> DataFrame:
 def si_sdr(df: DataFrame, ref: str = "ref", est: str = "est", out: str = "si_sdr") -> DataFrame:
     """Scale-invariant signal-to-distortion ratio of each row, in dB.
 
-    Both signals are arrays of equal length. A projection: nothing is shuffled.
+    Both signals are arrays of equal length. Rows are scored where they are
+    read: nothing is shuffled.
     The residual is summed directly, since total minus projected energy loses
     all digits for a near-perfect estimate.
     """

@@ -33,19 +33,20 @@ def sim_o(
         .withColumn("_last", F.least("_last_r", "_last_e"))
         .drop("_last_r", "_last_e")
     )
-    r, e, fr, fe = F.col("ref"), F.col("est"), F.col("_fr"), F.col("_fe")
+    r, e, fr, fe, cr, ce = (F.col(c) for c in ("ref", "est", "_fr", "_fe", "_cr", "_ce"))
     moments = (
         align_frames(ref, est, on, frame, values)
         .withColumns({"_fr": V.mean(r), "_fe": V.mean(e)})
+        .withColumns({"_cr": F.transform(r, lambda v: v - fr), "_ce": F.transform(e, lambda v: v - fe)})
         .select(
             *on,
             frame,
             "_fr",
             "_fe",
             F.size("ref").alias("_n"),
-            V.centred_dot(r, fr, r, fr).alias("_rr"),
-            V.centred_dot(e, fe, e, fe).alias("_ee"),
-            V.centred_dot(r, fr, e, fe).alias("_re"),
+            V.energy(cr).alias("_rr"),
+            V.energy(ce).alias("_ee"),
+            V.dot(cr, ce).alias("_re"),
         )
     )
     dr, de, n = fr - F.col("_mr"), fe - F.col("_me"), F.col("_n")

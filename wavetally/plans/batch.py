@@ -67,13 +67,15 @@ def evaluate_batch(
     text: str = "text",
     prompt: str = "",
     batch_metadata: Mapping[str, object] | None = None,
+    colocated: bool = False,
 ) -> DataFrame:
     """Scores of all samples as one plan; rejected ones stay, with a status.
 
     Predictions are a table, or come from ``infer``: a job from samples (with a
     ``request`` column) to (key, prediction...), e.g. a ``mapInPandas`` around a
     model. ``decode`` does the same for samples without a text. ``score`` turns
-    pairs into metric columns.
+    pairs into metric columns. ``colocated`` says that both tables are bucketed
+    by ``key``.
     """
     on = as_list(key)
     if predictions is None:
@@ -86,7 +88,8 @@ def evaluate_batch(
     ]
     if differing:
         raise ValueError(f"predictions have other types for {differing}")
-    return with_batch_metadata(score(pair(samples, predictions, on)), batch_metadata or {})
+    pairs = pair(samples, predictions, on, colocated=colocated)
+    return with_batch_metadata(score(pairs), batch_metadata or {})
 
 
 def predict(

@@ -13,12 +13,16 @@ from wavetally.functions.text import run_stamp
 def write_scores(scores: DataFrame, directory: str, run_ts: datetime) -> None:
     """CSV below ``run_ts=<yyyyMMdd_HHmmss>``; an empty table leaves no folder.
 
+    Score rows are narrow next to what they were computed from, so they are
+    gathered into files of the advisory size instead of one per scoring task.
+
     The time is an argument: the same run writes to the same place again, and
     other runs stay untouched.
     """
     stamped = scores.withColumn("run_ts", run_stamp(F.lit(run_ts)))
     (
-        stamped.write.mode("overwrite")
+        stamped.hint("rebalance")
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("header", "true")
         .partitionBy("run_ts")
