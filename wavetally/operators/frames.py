@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavetally.functions import vectors as V
-from wavetally.operators.joins import chunk_of, spread_join
+from wavetally.operators.joins import by_chunk, chunk_of, spread_join
 from wavetally.operators.pairing import as_list
 
 STD_FLOOR = 1e-8  # fixed value: keeps z-scores and cosines finite
@@ -86,8 +86,9 @@ def znorm(
 
     ``values`` is an array per frame or a single number per frame.
     """
-    stats = frame_stats(frames, key, frame, values)
-    joined = spread_join(frames, stats, key, frame, "last_frame", span)
+    chunked = by_chunk(frames, key, frame, span)
+    stats = frame_stats(chunked, key, frame, values)
+    joined = spread_join(chunked, stats, key, frame, "last_frame", span)
     scale = F.col("std") + STD_FLOOR
     if isinstance(frames.schema[values].dataType, T.ArrayType):
         z = F.transform(values, lambda v: (v - F.col("mean")) / scale)

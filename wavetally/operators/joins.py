@@ -4,18 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavetally.operators.pairing import as_list
+from wavetally.session import shuffle_partitions
 
 
 MAX_HOT_KEYS = 10_000
 
 
-def chunk_of(position: str, span: int):
+def chunk_of(position: str, span: int) -> Column:
     """Number of the run of ``span`` consecutive positions a row belongs to."""
-    return F.floor(F.col(position) / F.lit(span)).cast("bigint")
+    return F.coalesce(F.floor(F.col(position) / F.lit(span)).cast("bigint"), F.lit(0))
+
+
+def with_keys(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows whose key is complete.
+
+    An inner join drops the others, but only in its own branch of the plan.
+    Leaving them out first keeps all branches alike, so they share a shuffle.
+    """
+    for k in key:
+        rows = rows.where(F.col(k).isNotNull())
+    return rows
+
+
+def by_chunk(rows: DataFrame, key: str | Sequence[str], position: str, span: int = 4096) -> DataFrame:
+    """Shuffle rows by key and chunk, adding ``_chunk``.
+
+    The result can feed both a per-key aggregate and :func:`spread_join` with
+    it. As long as both read the same columns, Spark runs the shuffle, and all
+    that lies before it, once.
+    """
+    on = as_list(key)
+    chunked = with_keys(rows, on).withColumn("_chunk", chunk_of(position, span))
+    return chunked.repartition(shuffle_partitions(rows.sparkSession), *on, "_chunk")
 
 
 def spread_join(
@@ -26,13 +50,13 @@ def spread_join(
     ``rows`` is split into chunks of ``span`` positions and ``per_key`` is
     repeated once per chunk (``last`` holds the largest position), so the join
     key never covers more than ``span`` rows and the repeated side stays
-    ``span`` times smaller than the rows it meets.
+    ``span`` times smaller than the rows it meets. ``rows`` may come from
+    :func:`by_chunk` with the same ``span``.
     """
     on = as_list(key)
-    spread = per_key.withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col(last) / span).cast("bigint")))
-    )
-    chunked = rows.withColumn("_chunk", chunk_of(position, span))
+    chunks = F.sequence(F.lit(0).cast("bigint"), F.floor(F.col(last) / span).cast("bigint"))
+    spread = per_key.withColumn("_chunk", F.explode(chunks))
+    chunked = rows if "_chunk" in rows.columns else rows.withColumn("_chunk", chunk_of(position, span))
     return chunked.join(spread, [*on, "_chunk"]).drop("_chunk", last)
 
 

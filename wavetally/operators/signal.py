@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from wavetally.functions.energies import pair_energies
 from wavetally.functions.vectors import decibel_ratio
-from wavetally.operators.joins import hot_key_join, spread_join
+from wavetally.operators.joins import by_chunk, hot_key_join, spread_join
 from wavetally.operators.pairing import as_list, flag, refuse_clash
 
 SILENT_REFERENCE = "silent_reference"
+SPAN = 4096
 
 
 def first_channel(channels: Column | str) -> Column:
@@ -93,21 +94,28 @@ def si_sdr_segments(
     without any cancellation.
     """
     on = as_list(key)
-    parts = _segment_energies(segments.select(*on, segment, ref, est), ref, est).select(
-        *on, segment, "_rr", "_re", "_scale", "_noise"
+    energies = pair_energies(F.col(ref), F.col(est))
+    # both uses below read the same columns, so they share the shuffle
+    packed = F.array(*[energies[name] for name in ("reference", "product", "scale", "residual")])
+    parts = by_chunk(segments.select(*on, segment, packed.alias("_parts")), on, segment, SPAN).drop(segment)
+    rr, re, own, rest = (F.col("_parts")[i] for i in range(4))
+    totals = (
+        parts.groupBy(*on)
+        .agg(
+            F.sum(rr).alias("_rr"),
+            F.sum(re).alias("_re"),
+            F.sum(rest).alias("_rest"),
+            (F.max("_chunk") * SPAN).alias("_last"),
+        )
+        .withColumn("_scale", F.coalesce(F.try_divide(F.col("_re"), F.col("_rr")), F.lit(0.0)))
     )
-    totals = parts.groupBy(*on).agg(
-        F.sum("_rr").alias("_all_rr"), F.sum("_re").alias("_all_re"), F.max(segment).alias("_last")
-    ).withColumn("_common", F.coalesce(F.try_divide(F.col("_all_re"), F.col("_all_rr")), F.lit(0.0)))
-    shift = F.col("_common") - F.col("_scale")
+    shift = F.col("_scale") - own
     merged = (
-        spread_join(parts, totals, on, segment, "_last")
+        spread_join(parts, totals, on, segment, "_last", SPAN)
         .groupBy(*on)
         .agg(
-            F.first("_all_rr").alias("_rr"),
-            F.first("_all_re").alias("_re"),
-            F.first("_common").alias("_scale"),
-            F.sum(F.col("_noise") + shift * shift * F.col("_rr")).alias("_noise"),
+            *[F.first(c).alias(c) for c in ("_rr", "_re", "_scale")],
+            (F.first("_rest") + F.sum(shift * shift * rr)).alias("_noise"),
         )
     )
     return _ratio(out, merged)

@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 
 from wavetally.functions import vectors as V
 from wavetally.operators.frames import STD_FLOOR, align_frames, frame_stats, with_previous_frames
-from wavetally.operators.joins import spread_join
+from wavetally.operators.joins import spread_join, with_keys
 from wavetally.operators.pairing import as_list
+from wavetally.session import shuffle_partitions
 
 
 def sim_o(
@@ -24,8 +25,14 @@ def sim_o(
     Mean and deviation cover each side's full length, before the longer side is
     cut. Aligned frames are reduced to their own means and centred products,
     from which the normalised cosine follows, so the arrays cross one shuffle.
+    The statistics are taken from that same shuffle.
     """
     on = as_list(key)
+    n_parts = shuffle_partitions(ref.sparkSession)
+    ref, est = (
+        with_keys(side.select(*on, frame, values), [*on, frame]).repartition(n_parts, *on, frame)
+        for side in (ref, est)
+    )
     r_stats = frame_stats(ref, on, frame, values).toDF(*on, "_mr", "_sr", "_last_r")
     e_stats = frame_stats(est, on, frame, values).toDF(*on, "_me", "_se", "_last_e")
     stats = (
