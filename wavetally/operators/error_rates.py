@@ -14,8 +14,8 @@ from wavetally.operators.pairing import MISSING_PREDICTION, MISSING_REFERENCE, a
 
 EMPTY_REFERENCE = "empty_reference"
 # table cells up to which the built-in distance is the faster one; coding words has a price
-SHORT_CHAR_CELLS = 200_000
-SHORT_WORD_CELLS = 20_000
+SHORT_CHAR_CELLS = 20_000
+SHORT_WORD_CELLS = 1_000
 COUNTS = ["char_edits", "ref_chars", "word_edits", "ref_words"]
 
 
