@@ -202,6 +202,23 @@ def test_corpus(spark, corpus):
     assert {r["metric"]: (r["mean"], r["n"]) for r in summary.collect()} == {"cer": (0.0, 2), "wer": (0.0, 2)}
 
 
+@pytest.mark.parametrize("limit", [0, 100_000])
+def test_corpus_sample_bounds_the_work(spark, monkeypatch, limit):
+    """Predictions outside the sample are dropped by a broadcast of its keys, or by a join beyond the limit."""
+    import wavetally.plans.corpus as corpus_plan
+
+    monkeypatch.setattr(corpus_plan, "BROADCAST_KEYS", limit)
+    table = spark.range(500).select(F.col("id").alias("sample_idx"), F.lit("a b").alias("text"))
+    preds = table.select("sample_idx", F.lit("a c").alias("hyp"))
+    scores, summary = evaluate_corpus(
+        Evaluation(score_transcripts), table, "sample_idx", ASR_METRICS, n=20, predictions=preds
+    )
+    assert scores.count() == 20 and scores.where("status = 'ok'").count() == 20
+    assert {r["metric"]: r["mean"] for r in summary.collect()}["wer"] == 0.5
+    hinted = "strategy=broadcast" in scores._jdf.queryExecution().logical().toString()
+    assert hinted == (limit > 0)
+
+
 def test_sweep(spark):
     refs = spark.createDataFrame([(1, "a b"), (2, "c d")], SAMPLES)
     preds = spark.createDataFrame(
