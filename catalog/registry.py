@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +24,16 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Its schema is inferred once; later reads start no job for it."""
+    path = f"{sf_dir}/{name}.parquet"
+    reader = spark.read.schema(_SCHEMAS[path]) if path in _SCHEMAS else spark.read
+    df = reader.parquet(path)
+    _SCHEMAS[path] = df.schema
+    return df
 
 
 def rounded(col: str | Column, digits: int = 6) -> Column:
