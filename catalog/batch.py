@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalog.registry import query, rounded, table
-from catalog.signals import FRAMES_SQL
 from catalog.text import BOTH_SQL, PAIRS_SQL, TURN, turn_preds
 from wavetally.functions.text import run_stamp
 from wavetally.operators.frames import onset_envelope

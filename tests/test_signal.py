@@ -93,6 +93,22 @@ def test_silent_reference_is_rejected(spark):
         assert got["si_sdr"] is None and got["status"] == "silent_reference"
 
 
+def test_missing_empty_and_unequal_signals(spark):
+    data = [
+        ("null", None, [1.0]),
+        ("both", None, None),
+        ("empty", [], []),
+        ("unequal", [1.0, 2.0], [1.0]),
+        ("good", [1.0, 2.0], [1.0, 2.5]),
+        ("hole", [1.0, None], [1.0, 2.0]),
+    ]
+    got = {r["id"]: (r["si_sdr"], r["status"]) for r in si_sdr(spark.createDataFrame(data, SIGNALS).coalesce(1)).collect()}
+    assert got["null"][0] is None and got["both"][0] is None and got["unequal"][0] is None
+    assert got["empty"] == (None, "silent_reference")
+    assert got["good"][0] == pytest.approx(10 * math.log10(7.2 / 0.05))
+    assert got["hole"][0] is None or math.isnan(got["hole"][0])
+
+
 def test_align_trims_to_the_shorter_and_to_the_time_limit(spark):
     df = spark.createDataFrame([("x", [float(i) for i in range(100)], [1.0] * 60)], SIGNALS)
     got = align_pairs(df).first()

@@ -36,7 +36,8 @@ def pair(
 ) -> DataFrame:
     """Join on ``key`` with a ``status`` for each row.
 
-    The key is unique on each side; :func:`validate_samples` finds repeats. One shuffle of each side covers matched and unmatched keys; without
+    The key is unique on each side; :func:`validate_samples` finds repeats. One
+    shuffle of each side covers matched and unmatched keys; without
     ``keep_unmatched`` only pairs remain. The partition number is explicit,
     because scoring costs far more per byte than AQE's size-based coalescing
     expects. Tables bucketed by ``key`` are joined as they lie when

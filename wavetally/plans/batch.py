@@ -34,7 +34,10 @@ def score_transcripts(pairs: DataFrame, ref: str = "text", hyp: str = "hyp", as_
 
 
 def score_signals(
-    pairs: DataFrame, extra: Mapping[str, DataFrame] | None = None, key: str | Sequence[str] = "sample_idx", max_seconds: float = 15
+    pairs: DataFrame,
+    extra: Mapping[str, DataFrame] | None = None,
+    key: str | Sequence[str] = "sample_idx",
+    max_seconds: float = 15,
 ) -> DataFrame:
     """Signal metrics of (key, text, ref, ref_sr, est, est_sr, status) rows.
 
