@@ -20,6 +20,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 LEAST_REVISIT = 100
 #: At most so many records share one file, so that a reader's task holds a bounded one.
 FILE_RECORDS = 10_000
+_PIECE = 16_384
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -154,12 +155,14 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
     """Content and end of the gzip member at ``at``, None unless its checksum and length hold."""
     if data[at : at + 3] != MEMBER:
         return None
-    inflater = zlib.decompressobj(31)
+    inflater, parts, end = zlib.decompressobj(31), [], at
     try:
-        content = inflater.decompress(memoryview(data)[at:])
+        while end < len(data) and not inflater.eof:  # by pieces, as what follows the member is handed back
+            parts.append(inflater.decompress(data[end : end + _PIECE]))
+            end = min(end + _PIECE, len(data))
     except zlib.error:
         return None
-    return (content, len(data) - len(inflater.unused_data)) if inflater.eof else None
+    return (b"".join(parts), end - len(inflater.unused_data)) if inflater.eof else None
 
 
 def salvage(data: bytes) -> Iterator[Record | tuple[int, int]]:
@@ -172,7 +175,7 @@ def salvage(data: bytes) -> Iterator[Record | tuple[int, int]]:
     if MEMBER not in data:
         yield from _plain(data)
         return
-    at, bad = 0, None
+    at, bad, version = 0, None, -1
     while at < len(data):
         member = _inflate(data, at)
         parsed = list(_plain(member[0])) if member else []
@@ -198,17 +201,15 @@ def salvage(data: bytes) -> Iterator[Record | tuple[int, int]]:
             at = member[1]
         else:
             bad = at if bad is None else bad
-            found = [x for x in (data.find(MEMBER, at + 1), _next_version(data, at + 1)) if x >= 0]
-            at = min(found, default=len(data))
+            next_member = data.find(MEMBER, at + 1)
+            if version <= at:
+                found = _VERSION_LINE.search(data, at + 1)
+                version = found.start() if found else len(data)
+            at = min(version, next_member if next_member >= 0 else len(data))
     if bad is not None:
         yield bad, len(data)
 
 
-def _next_version(data: bytes, at: int) -> int:
-    found = _VERSION_LINE.search(data, at)
-    return found.start() if found else -1
-
-
 READ_SCHEMA = (
     "file string, start bigint, end bigint, record_type string, record_id string, url string, refers_to string, "
     "payload_digest string, payload_bytes bigint, payload binary"
