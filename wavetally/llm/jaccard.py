@@ -8,6 +8,10 @@ one half of the two, of each part.
 
 Halves that are empty in both sets agree as well but say nothing. Bands have some parts to spare for them; a set with
 more empty halves than that has, besides, a signature for each element of its prefix, which any two such sets share.
+
+A signature may be shared by many sets that are not similar, as passages recur. So sets that meet in a bucket of more
+than ``HOT`` do not meet there, but by the elements of their prefixes in order of frequency: of similar sets those
+prefixes have an element in common, and it is a rare one unless the sets hold little else than what is frequent.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +33,10 @@ WORDS = 4
 PERCENT = 85
 #: How much longer the sets of a band get, from its first size to its last.
 GROWTH = 1.3
+#: The largest bucket in which sets meet by their signature alone.
+HOT = 16
+#: So many elements at most, the most frequent, count as frequent; they go to every worker (4 MB).
+FREQUENT = 250_000
 
 
 def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -74,7 +83,8 @@ class Bands:
         return out
 
 
-_BAND, _HALF, _PREFIX = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
+_BAND, _HALF = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+_PREFIX, _RARE = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
 
 
 def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
@@ -166,6 +176,38 @@ def _sets(words: int):
     return run
 
 
+def _prefixes(percent: int, frequent: Broadcast):
+    """A signature for each element of a set's prefix, rare elements first, with the set's size and its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, times = frequent.value
+        for batch in batches:
+            ids, sizes, places, found = [], [], [], []
+            for i, elements in zip(batch.column("id").to_pylist(), batch.column("elements")):
+                s = elements.values.to_numpy()
+                n = np.zeros(len(s), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    n = np.where(known[at] == s, times[at], 0)
+                prefix = len(s) - -(-len(s) * percent // 100) + 1
+                first = s[np.lexsort((s, n))[:prefix]].view(np.uint64)
+                ids += [i] * len(first)
+                sizes += [len(s)] * len(first)
+                places += range(len(first))
+                found.append(_signed(mix(first ^ _RARE)))
+            sigs = np.concatenate(found) if found else np.zeros(0, np.int64)
+            columns = [pa.array(sigs), *(pa.array(c, pa.int64()) for c in (ids, sizes, places))]
+            yield pa.RecordBatch.from_arrays(columns, names=["sig", "id", "size", "place"])
+
+    return run
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Signatures of more than one id, with the number of their rows."""
+    held = rows.groupBy("sig").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
+    return held.filter("first < last").select("sig", "n")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``id, component`` for every id on an edge ``a, b``: the smallest id that edges lead to.
 
@@ -219,7 +261,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     goes through further rounds with four times as many hubs each until nothing is left to compare. So no link between
     components is lost, and large groups of near copies cost a comparison each, not one for each pair.
     """
-    bands = Bands(percent)
+    spark, bands = docs.sparkSession, Bands(percent)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     schema = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint"
     own = saved(texts.mapInArrow(_identities(words), schema), "identities")
@@ -233,8 +275,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     distinct = texts.filter("doc_id is not null").join(small(copies), "doc_id", "left_anti")
 
     rows = distinct.mapInArrow(_signature_rows(words, bands), "sig bigint, id bigint")
-    shared = rows.groupBy("sig").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    buckets = saved(rows.join(shared.select("sig"), "sig", "left_semi").distinct(), "buckets")
+    buckets = saved(rows.join(_shared(rows), "sig").select("sig", "id", "n").distinct(), "buckets")
     sizes = members.filter("doc_id = rep").select(F.col("rep").alias("id"), "n_shingles").distinct()
     ids = saved(buckets.select("id").distinct().join(sizes, "id"), "candidates")
     wanted = ids.select(F.col("id").alias("doc_id")).distinct()
@@ -243,6 +284,22 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         "sets",
     )
 
+    hot = saved(buckets.filter(F.col("n") > HOT).select("id").distinct(), "hot")
+    buckets = (
+        buckets.filter(F.col("n") <= HOT)
+        .join(small(ids), "id")
+        .select("sig", "id", F.col("n_shingles").alias("size"), F.lit(0).cast("bigint").alias("place"))
+    )
+    if not hot.isEmpty():
+        hot_sets = sets.join(small(hot), "id", "left_semi")
+        often = hot_sets.select(F.explode("elements").alias("e")).groupBy("e").count().filter(F.col("count") > HOT)
+        often = often.orderBy(F.desc("count"), "e").limit(FREQUENT).toPandas().sort_values("e")
+        frequent = spark.sparkContext.broadcast((often["e"].to_numpy(np.int64), often["count"].to_numpy(np.int64)))
+        schema = "sig bigint, id bigint, size bigint, place bigint"
+        rare = saved(hot_sets.mapInArrow(_prefixes(percent, frequent), schema), "rare")
+        rare = rare.join(_shared(rare).select("sig"), "sig", "left_semi")
+        buckets = saved(buckets.unionByName(rare), "buckets")
+
     found = None  # id, component of ids that have links
     tested = None
     hubs_per_bucket = 1
@@ -251,39 +308,41 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         if found is not None:
             names = found.select("id", F.col("component").alias("root"))
             labelled = buckets.join(names, "id", "left").select(
-                "sig", "id", F.coalesce("root", "id").alias("component")
+                *buckets.columns, F.coalesce("root", "id").alias("component")
             )
-        open_ = labelled.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        left = saved(labelled.join(open_.filter("low < high").select("sig"), "sig", "left_semi"), "left")
+        open_ = labelled.groupBy("sig").agg(
+            F.min("component").alias("low"), F.max("component").alias("high"), F.min("size").alias("least")
+        )
+        # what two sets share follows the first element they share: from there on each must hold enough for the
+        # other's size; here for the smallest size that may be met
+        met = F.greatest("least", F.ceil(F.col("size") * percent / 100))
+        enough = (100 + percent) * (F.col("size") - F.col("place")) >= percent * (F.col("size") + met)
+        left = saved(labelled.join(open_.filter("low < high"), "sig").filter(enough).drop("low", "high", "least"), "left")
         if left.isEmpty():
             break
         slot = F.pmod(F.xxhash64("id"), F.lit(hubs_per_bucket))
-        hubs = left.groupBy("sig", slot.alias("slot")).agg(F.min_by(F.struct("id", "component"), "id").alias("hub"))
-        hubs = saved(hubs.select("sig", F.col("hub.id").alias("hub"), F.col("hub.component").alias("hub_component")), "hubs")
+        hub = F.struct("id", "component", "size", "place")
+        hubs = left.groupBy("sig", slot.alias("slot")).agg(F.min_by(hub, "id").alias("hub"))
+        hubs = saved(hubs.select("sig", "hub"), "hubs")
+        rest = F.least(F.col("size") - F.col("place"), F.col("hub.size") - F.col("hub.place"))
         pairs = (
             left.join(hubs, "sig")
-            .filter("component <> hub_component")
-            .select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
+            .filter(F.col("component") != F.col("hub.component"))
+            .filter((100 + percent) * rest >= percent * (F.col("size") + F.col("hub.size")))
+            .select(F.least("hub.id", "id").alias("a"), F.greatest("hub.id", "id").alias("b"))
             .distinct()
         )
-        near = sizes.withColumnRenamed("n_shingles", "n")
-        pairs = (
-            pairs.join(near.select(F.col("id").alias("a"), F.col("n").alias("na")), "a")
-            .join(near.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-            .filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-            .select("a", "b")
-        )
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")
         links = saved(_verified(pairs, sets, percent), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        if found is not None:
-            # what is known already, and new links between its components
-            links = links.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b")))
-        found = components(links)
-        buckets = left.select("sig", "id").join(
-            hubs.select("sig", F.col("hub").alias("id")), ["sig", "id"], "left_anti"
+        if not links.isEmpty():
+            if found is not None:  # what is known already, and new links between its components
+                links = links.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b")))
+            found = components(links)
+        buckets = left.drop("component").join(
+            hubs.select("sig", F.col("hub.id").alias("id")), ["sig", "id"], "left_anti"
         )
         hubs_per_bucket *= 4
 
