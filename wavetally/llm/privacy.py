@@ -97,24 +97,30 @@ def _found(text: str, pattern: str, where: Column) -> tuple[Column, Column]:
 def _spans(matches: str, gaps: str) -> Column:
     """``start, end, value, left, right`` of each match; places are code points, the end exclusive."""
     ahead = F.zip_with(gaps, matches, lambda g, m: F.length(g) + F.coalesce(F.length(m), F.lit(0)))
-    before = _sums_before(ahead)
     g, m = F.col(gaps), F.col(matches)
+    # zipped, so that the sums are built once and not anew for every match
+    parts = F.arrays_zip(
+        m.alias("value"),
+        F.slice(_sums_before(ahead), 1, F.size(m)).alias("before"),
+        F.slice(g, 1, F.size(m)).alias("left"),
+        F.slice(g, 2, F.size(m)).alias("right"),
+    )
 
-    def span(i: Column) -> Column:
-        start = before[i] + F.length(g[i])
-        left, right = g[i], g[i + 1]
+    def span(z: Column) -> Column:
+        value, left, right = z["value"], z["left"], z["right"]
+        start = z["before"] + F.length(left)
         # words cut by the edge of the context are left out
         near_left = F.when(F.length(left) > REACH, F.regexp_replace(F.right(left, F.lit(REACH)), r"^\p{L}+", ""))
         near_right = F.when(F.length(right) > REACH, F.regexp_replace(F.left(right, F.lit(REACH)), r"\p{L}+$", ""))
         return F.struct(
             start.alias("start"),
-            (start + F.length(m[i])).alias("end"),
-            m[i].alias("value"),
+            (start + F.length(value)).alias("end"),
+            value.alias("value"),
             F.coalesce(near_left, left).alias("left"),
             F.coalesce(near_right, right).alias("right"),
         )
 
-    each = F.transform(F.sequence(F.lit(0), F.size(m) - 1), span)
+    each = F.transform(parts, span)
     return F.when(F.size(m) > 0, each).otherwise(
         F.array().cast("array<struct<start:bigint,end:bigint,value:string,left:string,right:string>>")
     )
