@@ -1,0 +1,294 @@
+"""Operators for training data against brute-force versions on small tables with odd rows."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+from itertools import combinations
+
+import numpy as np
+import pytest
+
+from wavetally.llm import decontamination, jaccard, linededup, pieces, privacy, quality, sharding, topk, urls, warc
+from wavetally.llm.words import space_words
+
+LONG = " ".join(f"w{i % 977}x{i}" for i in range(20_000))
+BASE = " ".join(f"b{i}" for i in range(120))
+TEXTS = [
+    None, "", " \n ", "one", BASE, BASE, BASE.replace("b60", "zz"), BASE + " tail", BASE.upper(),
+    "a shared line of seven words here\nown words of this one only", "a shared line of seven words here\nmore",
+    "mail bob@evil.org or +1 (017) 555-7713, 1.2.3.400, 4111 1111 1111 1111", LONG,
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "clash", 0) for i, t in enumerate(TEXTS)] + [(None, BASE, "clash", 0), (4, BASE, "clash", 0)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, dropped string, keep int").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.filter("false")
+
+
+def test_urls(spark):
+    given = ["http://A.Example.org/es/1?x", "https://x.com/fr/", "http://com/de/#a", "no", None, "http://b.net", "http://evilorg/"]
+    pages = spark.createDataFrame(list(enumerate(given)), "page_id bigint, url string")
+    rows = {r.page_id: r for r in urls.judge_urls(pages).collect()}
+    assert [(rows[i].host, rows[i].path, rows[i].rule) for i in range(7)] == [
+        ("a.example.org", "/es/1", "example.org/es/"), ("x.com", "/fr/", "com/fr/"), ("com", "/de/", "com/de/"),
+        ("", "", None), ("", "", None), ("b.net", "", None), ("evilorg", "/", None),
+    ]
+    assert [rows[i].verdict for i in range(3)] == ["block", "allow", "block"]
+    assert {r.verdict for r in rows.values()} <= {"allow", "block"}
+    assert urls.judge_urls(pages.filter("false")).count() == 0
+
+
+def test_urls_held_out(spark):
+    known = [(f"h{i % 7}.com", f"/{'bad' if i % 3 else 'good'}/{i}", "block" if i % 3 else "allow") for i in range(300)]
+    model = urls.fit_urls(spark.createDataFrame(known, "host string, path string, verdict string"))
+    p = model.blocked(["new.com", "new.com"], ["/bad/9999", "/good/9999"])
+    assert p[0] > 0.5 > p[1]
+
+
+def test_topk(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(-3, 4, (700, 5)) / 4
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0, None, 0.0, 0.0, 0.0]), (None, [1.0] * 5)]
+    rows += [(902, [float("nan")] * 5)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)
+    vectors = table.select("vec_id", topk.scaled("embedding").alias("vector"))
+    got = topk.exact_top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5).collect()
+    v = np.floor(256 * x).astype(int)
+    want = set()
+    for q in range(0, 700, 50):
+        best = sorted((-int(v[q] @ v[i]), i) for i in range(700) if i != q)[:5]
+        want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best)}
+    assert {tuple(r) for r in got} == want
+    assert topk.exact_top_k(vectors.filter("false"), vectors.filter("false"), 5).count() == 0
+
+
+def test_topk_tree_prunes_exactly():
+    rng = np.random.default_rng(4)
+    points = rng.integers(-50, 50, (2000, 3))
+    trees = [topk.Tree(np.arange(a, a + 1000), points[a : a + 1000], leaf=16).ready() for a in (0, 1000)]
+    for q in range(0, 2000, 97):
+        want = sorted((-int(points[q] @ points[i]), i) for i in range(2000) if i != q)[:4]
+        assert sorted((-s, i) for s, i in topk.search(trees, q, points[q], 4, None)) == want
+
+
+def test_quality(spark, docs, empty):
+    good = [(i, f"plain words number {i} are fine here", 2) for i in range(60)]
+    bad = [(100 + i, f"awful words number {i} are fine here", 1) for i in range(60)]
+    junk = [(200 + i, f"BUY!! NOW!! %%% {i}", 0) for i in range(60)]
+    rated = spark.createDataFrame(good + bad + junk, "doc_id bigint, text string, grade int")
+    model = quality.fit_quality(rated.filter("doc_id % 3 > 0"), rated)
+    held = quality.graded(rated.filter("doc_id % 3 = 0"), model).collect()
+    assert all(r["keep"] == (r.grade == 2) for r in held)
+    assert model.thresholds[0] < model.thresholds[1]
+    assert quality.graded(docs, model, ("g", "t", "k")).count() == 15
+    assert quality.fit_quality(empty, rated) is None
+    assert {r.k for r in quality.graded(docs, None, ("g", "t", "k")).collect()} == {True}
+
+
+def test_pieces_against_brute_force():
+    names = ["<unk>", *[f"<0x{b:02X}>" for b in range(256)], "▁", "a", "b", "ab", "▁a", "aba", "▁▁", "é"]
+    scores = [0.0] * 257 + [-3.0, -2.0, -2.5, -3.2, -3.1, -4.0, -9.0, -6.0]
+    model = pieces.Model(names, scores, list(range(1, 257)), list(range(257, len(names))))
+    values = {n: s for n, s in zip(names[257:], scores[257:])}
+
+    def best(text):
+        ways = [0.0]
+        for end in range(1, len(text) + 1):
+            one = ways[end - 1] + model.byte_score
+            ways.append(max([one] + [ways[a] + values[text[a:end]] for a in range(end) if text[a:end] in values]))
+        return ways[-1]
+
+    def cost(ids):
+        n, i = 0.0, 0
+        while i < len(ids):
+            if ids[i] > 256:
+                n, i = n + model.scores[ids[i]], i + 1
+                continue
+            lead = ids[i] - 1  # the bytes of a character cost once
+            n, i = n + model.byte_score, i + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
+        return n
+
+    for text in ["abab ab", "  a", "aéb\n中 ab", "ab" * 60, "▁", "😀b "]:
+        ids = pieces.Encoder(model).encode([text])[0].tolist()
+        assert pieces.decode(model, ids) == text
+        if "▁" not in text:
+            assert abs(cost(ids) - best("▁" + text.replace(" ", "▁"))) < 1e-9
+
+
+def test_pieces_round_trip(docs, empty):
+    model = pieces.read_model()
+    rows = pieces.encode_texts(docs, model).collect()
+    assert len(rows) == 15 and all(r.round_trip for r in rows)
+    assert [r.ids for r in rows if r.doc_id == 0] == [None] and [r.ids for r in rows if r.doc_id == 1] == [[]]
+    assert pieces.encode_texts(empty, model).count() == 0
+    back = pieces.decode_ids(pieces.encode_texts(docs, model), model).collect()
+    assert sorted(map(repr, back)) == sorted(map(repr, docs.select("doc_id", "text").collect()))
+
+
+def test_line_dedup(docs, empty):
+    first, lines = {}, []
+    for r in docs.filter("doc_id is not null").collect():
+        for i, line in enumerate((r.text or "").encode().split(b"\n")):
+            for t in linededup.line_templates(linededup.line_tokens(line)):
+                lines.append((r.doc_id, i, t))
+                first[t] = min(first.get(t, r.doc_id), r.doc_id)
+    gone = {(d, i) for d, i, t in lines if first[t] < d}
+    want = {d: sorted({i for e, i in gone if e == d}) for d in {d for d, _ in gone}}
+    assert {r.doc_id: r.lines for r in linededup.recurring_lines(docs).collect()} == want
+    out = linededup.drop_recurring(docs)
+    assert out.columns[-1] == "_dropped" and out.count() == 15
+    text = {r.doc_id: r.text for r in out.collect()}
+    assert text[10] == "more" and text[9] == TEXTS[9] and text[4] == BASE and text[5] == "" and text[0] is None
+    assert text[6] == ""  # one variable stretch
+    assert linededup.drop_recurring(empty).count() == 0
+
+
+def _links(rows):
+    sets = {}
+    for d, t in rows:
+        w = space_words((t or "").encode())
+        sets[d] = {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
+    root = {d: d for d in sets}
+    for _ in sets:
+        for a, b in combinations(sorted(sets), 2):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 85 * len(sets[a] | sets[b]):
+                root[a] = root[b] = min(root[a], root[b])
+    return {d: (len(sets[d]), root[d]) for d in sets}
+
+
+def test_jaccard(spark, docs, empty):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(240):  # families of near copies around a few bases, some long and some short
+        family = i % 6
+        words = [f"f{family}w{k}" for k in range((6, 12, 30, 60, 150, 400)[family])]
+        for _ in range(rng.integers(0, 5)):
+            words[rng.integers(len(words))] = f"new{rng.integers(50)}"
+        rows.append((1000 - i, " ".join(words)))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(table).collect()}
+    assert got == _links(rows)
+    result = jaccard.jaccard_components(docs).collect()
+    want = _links([(r.doc_id, r.text) for r in docs.filter("doc_id is not null").collect()])
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in result if r.doc_id is not None} == want
+    assert len(result) == 15 and jaccard.jaccard_components(empty).count() == 0
+    kept = [r.doc_id for r in jaccard.drop_similar(docs).collect()]
+    assert kept.count(4) == 1 and not {5, 7, 8} & set(kept) and {0, 1, 2, 3, 12} <= set(kept)
+
+
+def test_decontamination(spark, docs, empty):
+    items = [(1, " ".join(f"B{i}" for i in range(30, 45))), (2, None), (3, "one"), (4, "never in here " * 5)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for words in (1_000_000, 10):
+        rows = {r.doc_id: r for r in decontamination.contamination(docs, bench, pass_words=words).collect()}
+        assert (rows[4].n_words, rows[4].n_hit, rows[4].n_items) == (120, 15, 1)
+        assert rows[4].items_sha256 == hashlib.sha256(b"1").hexdigest() and rows[3].n_hit == 1
+        assert rows[0].n_words == 0 and not rows[0].contaminated and not rows[12].contaminated
+    kept = [r.doc_id for r in decontamination.drop_contaminated(docs, bench).collect()]
+    assert not {3, 4, 5, 6, 7, 8, 9} & set(kept) and {0, 1, 2, 10, 11, 12} <= set(kept)  # 9 holds "one"
+    cut = {r.doc_id: r.text for r in decontamination.cut_contaminated(docs, bench).collect()}
+    assert "b29" in cut[4] and "b30" not in cut[4] and "b45" in cut[4]
+    assert decontamination.contamination(empty, bench).count() == 0
+    assert decontamination.contamination(docs, bench.filter("false")).filter("contaminated").count() == 0
+
+
+def test_salvage():
+    def record(i):
+        html = (f"page {i} " * (50 * i)).encode() + b"\r\n\r\nWARC/1.1\r\n"
+        return warc._record(i, f"http://a/{i}", html, hashlib.sha256(html).hexdigest(), None)
+
+    for wrap in (warc._gzip, bytes):
+        parts = [wrap(record(i)) for i in range(12)]
+        parts[3] = parts[3][: len(parts[3]) // 2]
+        broken = bytearray(parts[6])
+        broken[len(broken) // 2] ^= 0x55
+        parts[6] = bytes(broken)
+        parts.insert(9, b"noise \x1f\x8b\x08 WARC/1.1\r\n")
+        data = b"".join(parts)
+        found = list(warc.salvage(data))
+        whole = [r for r in found if isinstance(r, warc.Record)]
+        assert [int(r.headers["warc-record-id"][10:-1]) for r in whole] == [i for i in range(12) if i not in (3, 6)]
+        gaps = [r for r in found if not isinstance(r, warc.Record)]
+        assert sum(b - a for a, b in gaps) + sum(r.end - r.start for r in whole) == len(data)
+    assert list(warc.salvage(b"")) == [] and list(warc.salvage(b"junk")) == [(0, 4)]
+
+
+def test_warc(spark, tmp_path):
+    rows = [(3, "http://a\n/", "x" * 200), (1, None, "x" * 200), (2, "u", "short"), (4, "u", "short"), (5, "u", None)]
+    rows += [(1, None, "x" * 200), (6, "u", "é" * 100_000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "w"))
+    got = sorted(map(tuple, warc.page_records(warc.read_archives(spark, str(tmp_path / "w"))).collect()), key=repr)
+
+    def want(i, html, kind, to=None):
+        data = (html or "").encode()
+        return i, len(data), hashlib.sha256(data).hexdigest(), kind, to
+
+    expected = [want(i, h, "revisit" if i == 3 else "response", 1 if i == 3 else None) for i, _, h in rows]
+    assert got == sorted(expected, key=repr)
+
+
+def test_sharding(docs, empty):
+    rows = sharding.assign_shards(docs, 4).collect()
+    line = sorted(
+        (-1 if r.doc_id is None else r.doc_id, zlib.crc32((r.text or "").encode()), len((r.text or "").encode()) + 8)
+        for r in docs.collect()
+    )
+    total, at, want = sum(s for _, _, s in line), 0, []
+    for d, crc, s in line:
+        want.append((d, s, crc, (2 * at + s) * 4 // (2 * total)))
+        at += s
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.size, r.text_crc32, r.shard) for r in rows) == sorted(want)
+    for shard in {r.shard for r in rows}:
+        slots = sorted(r.slot for r in rows if r.shard == shard)
+        assert slots == list(range(len(slots)))
+    assert sharding.assign_shards(empty, 4).count() == 0
+
+
+KINDS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _valid(kind, value):
+    d = re.sub("[^0-9]", "", value)
+    luhn = sum(x - 9 * (x > 9) for x in (int(c) * (1 + i % 2) for i, c in enumerate(reversed(d)))) % 10 == 0
+    ip = kind != "ip" or all(int(x) <= 255 for x in value.split("."))
+    return {"email": True, "ip": ip, "card": 16 <= len(d) <= 19 and luhn, "phone": 8 <= len(d) <= 15}[kind]
+
+
+def test_privacy(spark, docs, empty):
+    texts = TEXTS + ["a@b.com.@c.de x@y@z.org .@1.2", "1.2.3.4.5.6.7.8 001.02.3.255", "4111-1111-1111-11112 12  34",
+                     "é😀 a@b.cd 4785380592391138", "a" * 3000 + "@b.c " + "1" * 3000]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in privacy.span_digest(privacy.sanitised(table)).collect():
+        text = texts[r.doc_id] or ""
+        base = [f"{k}:{m.start()}:{m.end()}" for k, p in KINDS.items() for m in re.finditer(p, text) if _valid(k, m[0])]
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest(), text[:80]
+        assert r.n_email + r.n_ip + r.n_card + r.n_phone == len(base)
+    rows = [(i, f"note {i} by Zorblat {'x' * (i + 3)} mail bob@evil.org the end") for i in range(5)]
+    rows += [(100 + i, f"the mail and note {i} end by x") for i in range(60)] + [(200, "Zorblat")]
+    out = {r.doc_id: r for r in privacy.sanitised(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert "Zorblat" not in out[0].text and "[email]" in out[0].text and out[200].text != "Zorblat"
+    assert out[100].text == rows[5][1]
+    assert privacy.sanitised(empty).count() == 0 and privacy.sanitised(docs).count() == 15
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as pipeline
+
+    rows = pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    ids = [r.doc_id for r in rows]
+    assert rows and len(set(ids)) == len(ids) and all(r.round_trip for r in rows)
