@@ -227,7 +227,8 @@ env AS (SELECT vec_id, i, CASE WHEN i = 1 THEN 0.0 ELSE r END AS r, CASE WHEN i
 rhythm AS (SELECT vec_id, covar_pop(r, e) / (stddev_pop(r) * stddev_pop(e)) AS sim_r FROM env GROUP BY vec_id)
 SELECT a.vec_id AS sample_idx, CAST(NULL AS DOUBLE) AS pesq, CAST(NULL AS DOUBLE) AS stoi,
        CASE WHEN a.label % 2 = b.label % 2 THEN round(si_sdr, 6) + 0.0 END AS si_sdr,
-       CAST(NULL AS DOUBLE) AS sim_o, round(sim_r, 6) + 0.0 AS sim_r,
+       CAST(NULL AS DOUBLE) AS sim_o,
+       CASE WHEN a.label % 2 = b.label % 2 THEN round(sim_r, 6) + 0.0 END AS sim_r,
        CASE WHEN b.vec_id IS NULL THEN 'missing_prediction'
             WHEN a.label % 2 <> b.label % 2 THEN 'rate_mismatch' ELSE 'ok' END AS status
 FROM s a LEFT JOIN s b ON b.vec_id = a.vec_id + 1

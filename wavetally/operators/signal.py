@@ -27,9 +27,9 @@ def align_pairs(
     ref: str = "ref",
     est: str = "est",
     rate: Column | str | None = None,
-    max_seconds: float | None = 15,
+    max_seconds: float | None = None,
 ) -> DataFrame:
-    """Trim both signals to the shorter one and, with a rate, to ``max_seconds``."""
+    """Trim both signals to the shorter one and, with a rate, to ``max_seconds`` if that is given."""
     n = F.least(F.size(ref), F.size(est))
     if rate is not None and max_seconds is not None:
         r = F.col(rate) if isinstance(rate, str) else rate

@@ -13,7 +13,8 @@ from wavetally.operators.pairing import as_list
 def summarise(scores: DataFrame, metrics: Sequence[str], by: str | Sequence[str] = ()) -> DataFrame:
     """One row per group and metric: mean, sample deviation and counts.
 
-    NaN counts as missing and is reported; infinities stay in the mean. All
+    Only rows with status ``ok`` count towards a metric. NaN counts as missing
+    and is reported; infinities stay in the mean. All
     metrics are reduced in one pass and turned into rows afterwards, so the
     rows are not multiplied before the aggregation.
     """
@@ -22,12 +23,12 @@ def summarise(scores: DataFrame, metrics: Sequence[str], by: str | Sequence[str]
     aggs = [F.count(F.lit(1)).alias("_rows"), F.count_if(scored).alias("_ok")]
     for m in metrics:
         value = F.col(m).cast("double")
-        real = F.when(~F.isnan(value), value)
+        real = F.when(scored & ~F.isnan(value), value)
         aggs += [
             F.avg(real).alias(f"_mean_{m}"),
             F.stddev_samp(real).alias(f"_std_{m}"),
             F.count(real).alias(f"_n_{m}"),
-            F.count_if(F.isnan(value)).alias(f"_nan_{m}"),
+            F.count_if(scored & F.isnan(value)).alias(f"_nan_{m}"),
         ]
     rows = [
         F.struct(

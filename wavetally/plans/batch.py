@@ -37,13 +37,14 @@ def score_signals(
     pairs: DataFrame,
     extra: Mapping[str, DataFrame] | None = None,
     key: str | Sequence[str] = "sample_idx",
-    max_seconds: float = 15,
+    max_seconds: float | None = None,
 ) -> DataFrame:
     """Signal metrics of (key, text, ref, ref_sr, est, est_sr, status) rows.
 
     SI-SDR is computed here. ``extra`` maps a metric name to a table
     (key, <metric>): frame-based similarities, or scores made elsewhere.
-    Metrics nobody supplied are NULL columns, so the schema is fixed.
+    Metrics nobody supplied are NULL columns, so the schema is fixed; those of
+    rejected rows are NULL. Whole signals are scored unless ``max_seconds`` cuts.
     """
     on = as_list(key)
     present = {MISSING_REFERENCE: F.col("ref").isNull(), MISSING_PREDICTION: F.col("est").isNull()}
@@ -53,7 +54,8 @@ def score_signals(
     blanked = flagged.withColumns({c: F.when(usable, F.col(c)) for c in ("ref", "est")})
     scored = si_sdr(align_pairs(blanked, rate="ref_sr", max_seconds=max_seconds)).drop("ref", "est", "ref_sr", "est_sr")
     for metric, table in (extra or {}).items():
-        scored = scored.join(table.select(*on, metric), on, "left")
+        value = F.when(F.col("status") == "ok", F.col(metric))
+        scored = scored.join(table.select(*on, metric), on, "left").withColumn(metric, value)
     missing = [m for m in TTS_METRICS if m not in scored.columns]
     scored = scored.withColumns({m: F.lit(None).cast("double") for m in missing})
     others = [c for c in scored.columns if c not in [*on, *TTS_METRICS]]

@@ -7,8 +7,6 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavetally.functions.text import run_stamp
-
 
 def write_scores(scores: DataFrame, directory: str, run_ts: datetime) -> None:
     """CSV below ``run_ts=<yyyyMMdd_HHmmss>``; an empty table leaves no folder.
@@ -19,7 +17,8 @@ def write_scores(scores: DataFrame, directory: str, run_ts: datetime) -> None:
     The time is an argument: the same run writes to the same place again, and
     other runs stay untouched.
     """
-    stamped = scores.withColumn("run_ts", run_stamp(F.lit(run_ts)))
+    # formatted here: a literal timestamp would pass through the zones of machine and session
+    stamped = scores.withColumn("run_ts", F.lit(run_ts.strftime("%Y%m%d_%H%M%S")))
     (
         stamped.hint("rebalance")
         .write.mode("overwrite")

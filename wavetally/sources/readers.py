@@ -69,7 +69,12 @@ def read_predictions(spark: SparkSession, directory: str, schema: T.StructType |
     df = reader.parquet(directory)
     if "checkpoint" not in df.columns:
         raise ValueError(f"no checkpoint=<name> folders below {directory}")
-    return df.withColumn("checkpoint", F.col("checkpoint").cast("string"))
+    if df.schema["checkpoint"].dataType == T.StringType():
+        return df
+    # folder names that look like numbers: read as text from the start, as 0010 and 10 differ
+    fields = [f for f in df.schema if f.name != "checkpoint"]
+    text = T.StructType([*fields, T.StructField("checkpoint", T.StringType())])
+    return spark.read.schema(text).parquet(directory)
 
 
 def checkpoints(predictions: DataFrame) -> DataFrame:
