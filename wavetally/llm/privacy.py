@@ -167,10 +167,10 @@ def disclosing_terms(
     contexts = some.select("doc_id", F.explode(F.concat(*kinds)).alias("c")).select(
         "doc_id", F.col("c.entity").alias("entity"), F.col("c.context").alias("context")
     )
-    n_entity = contexts.groupBy("entity").agg(F.countDistinct("doc_id").alias("n_entity"))
+    n_entity = contexts.groupBy("entity").agg(F.countDistinct(F.struct("doc_id")).alias("n_entity"))
     near = contexts.select("doc_id", "entity", F.xxhash64("context").alias("context"), F.explode(_terms(F.col("context"))).alias("term"))
     pairs = near.groupBy("entity", "term").agg(
-        F.countDistinct("doc_id").alias("n_both"), F.countDistinct("context").alias("contexts")
+        F.countDistinct(F.struct("doc_id")).alias("n_both"), F.countDistinct("context").alias("contexts")
     )
     pairs = saved(pairs.filter(F.col("contexts") >= least).join(n_entity, "entity"), "pairs")
     spark = docs.sparkSession
@@ -178,8 +178,16 @@ def disclosing_terms(
         return spark.createDataFrame([], "term string, disclosed double")
     terms = saved(pairs.select("term").distinct(), "terms")
     words = docs.select("doc_id", F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term"))
-    n_term = words.join(small(terms), "term").groupBy("term").agg(F.countDistinct("doc_id").alias("n_term"))
-    n = F.lit(docs.select("doc_id").distinct().count()).cast("double")
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    repeated = saved(ids.filter("rows > 1").select("doc_id"), "repeated")
+    # counted by rows, which combine before they are shuffled, less the further rows of an id
+    n_rows = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_rows"))
+    again = words.join(small(repeated).withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    further = again.groupBy("doc_id", "term").agg((F.count(F.lit(1)) - 1).alias("n")).groupBy("term").agg(F.sum("n").alias("further"))
+    n_term = n_rows.join(small(terms), "term").join(further, "term", "left").select(
+        "term", (F.col("n_rows") - F.coalesce("further", F.lit(0))).alias("n_term")
+    )
+    n = F.lit(ids.count()).cast("double")
     pmi = F.log2(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     # an entity in every document holds no information
     share = F.when(F.col("n_entity") < n, pmi / F.log2(n / F.col("n_entity"))).otherwise(F.lit(0.0))
