@@ -292,3 +292,12 @@ def test_pipeline(spark):
     rows = pipeline.run(spark, "/root/testdata/sf0.001").collect()
     ids = [r.doc_id for r in rows]
     assert rows and len(set(ids)) == len(ids) and all(r.round_trip for r in rows)
+
+
+def test_privacy_counts_ids(spark):
+    """A repeated row counts once: the term is in 5 documents of 8, the entity in 4, both in 4."""
+    near = [(i, f"{'abcd'[i] * 5} zorblat wrote to bob@evil.org") for i in range(4)]
+    rows = near + near[:1] * 3 + [(4, "zorblat alone"), (4, "zorblat alone"), (5, "x"), (6, None), (None, "")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    told = privacy.disclosing_terms(table, privacy.entities(table), disclose=0.0)
+    assert {r.term: r.disclosed for r in told.collect()}["zorblat"] == pytest.approx(np.log2(8 * 4 / (5 * 4)))
