@@ -10,6 +10,7 @@ from wavetally.operators.signal import align_pairs
 from wavetally.operators.summary import summarise
 from wavetally.sinks.writers import write_scores
 from wavetally.sources.readers import read_predictions
+from wavetally.operators.ordering import index_within
 
 
 def test_rejected_rows_stay_out_of_means(spark):
@@ -32,3 +33,10 @@ def test_checkpoints_stay_text(spark, tmp_path):
 def test_stamp_has_no_zone(spark, tmp_path):
     write_scores(spark.createDataFrame([(1, 0.5)], "k int, cer double"), str(tmp_path / "s"), datetime(2025, 1, 31, 23, 59, 59))
     assert (tmp_path / "s" / "run_ts=20250131_235959").is_dir()
+
+
+def test_null_key_is_numbered_first(spark):
+    rows = spark.createDataFrame([("a", i) for i in range(8)] + [("a", None)], "g string, k int")
+    for buckets in (1, 4, 64):
+        got = {r.k: r.idx for r in index_within(rows, "g", "k", buckets=buckets).collect()}
+        assert got == {None: 0, **{i: i + 1 for i in range(8)}}

@@ -16,7 +16,7 @@ MAX_BUCKETS = 4096  # bounds the list of ranges that reaches the driver
 
 
 def _with_key_bucket(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    """Add ``_bucket``: equal-frequency ranges of a numeric key, in key order."""
+    """Add ``_bucket``: equal-frequency ranges of a numeric key, in key order, null keys first."""
     ranked = df.withColumn("_rank", F.col(key).cast("double"))
     inner = (
         ranked.approxQuantile("_rank", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))
@@ -27,7 +27,7 @@ def _with_key_bucket(df: DataFrame, key: str, buckets: int) -> DataFrame:
         return ranked.withColumn("_bucket", F.lit(0)).drop("_rank")
     splits = [float("-inf"), *sorted(set(inner)), float("inf")]
     cut = Bucketizer(splits=splits, inputCol="_rank", outputCol="_cut", handleInvalid="keep")
-    return cut.transform(ranked).withColumn("_bucket", F.col("_cut").cast("int")).drop("_rank", "_cut")
+    return cut.transform(ranked).withColumn("_bucket", F.coalesce(F.col("_cut").cast("int"), F.lit(-1))).drop("_rank", "_cut")
 
 
 def index_within(
