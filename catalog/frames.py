@@ -109,7 +109,7 @@ z AS (SELECT cep.label, frame, k, (c - m) / (sd + 1e-8) AS c FROM cep JOIN s USI
 cosine AS (
   SELECT r.label, r.frame, sum(r.c * e.c) / (sqrt(sum(r.c * r.c)) * sqrt(sum(e.c * e.c)) + 1e-8) AS v
   FROM z r JOIN z e ON e.label = r.label + 5 AND e.frame = r.frame AND e.k = r.k GROUP BY r.label, r.frame)
-SELECT label, count(*) AS frames, round(avg(v), 6) + 0.0 AS sim_o FROM cosine GROUP BY label""",
+SELECT label, count(*) AS frames, round(avg(v), 6) + 0.0 AS sim_o, 'ok' AS status FROM cosine GROUP BY label""",
 )
 def spectral_similarity(spark: SparkSession, sf: str) -> DataFrame:
     ref, est = sides(cepstra(frames(spark, sf)))
@@ -122,7 +122,7 @@ def spectral_similarity(spark: SparkSession, sf: str) -> DataFrame:
 s AS (SELECT label, avg(value) AS m, stddev_pop(value) AS sd FROM env GROUP BY label),
 z AS (SELECT env.label, frame, (value - m) / (sd + 1e-8) AS v FROM env JOIN s USING (label))
 SELECT r.label, count(*) AS frames,
-       round(covar_pop(r.v, e.v) / (stddev_pop(r.v) * stddev_pop(e.v)), 6) + 0.0 AS sim_r
+       round(covar_pop(r.v, e.v) / (stddev_pop(r.v) * stddev_pop(e.v)), 6) + 0.0 AS sim_r, 'ok' AS status
 FROM z r JOIN z e ON e.label = r.label + 5 AND e.frame = r.frame GROUP BY r.label""",
 )
 def rhythm_similarity(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,7 +143,7 @@ rho AS (SELECT seg.label, seg.i, seg.last,
                covar_pop(x, least(a * y, x * (1 + pow(10, 0.75)))) / nullif(
                  stddev_pop(x) * stddev_pop(least(a * y, x * (1 + pow(10, 0.75)))), 0) AS r
         FROM seg JOIN scale USING (label, i, last) GROUP BY seg.label, seg.i, seg.last)
-SELECT label, count(r) AS segments, round(avg(r), 6) + 0.0 AS intelligibility FROM rho GROUP BY label""",
+SELECT label, count(r) AS segments, round(avg(r), 6) + 0.0 AS intelligibility, 'ok' AS status FROM rho GROUP BY label""",
 )
 def intelligibility(spark: SparkSession, sf: str) -> DataFrame:
     """The magnitudes of all 64 values serve as band amplitudes."""

@@ -126,15 +126,19 @@ long AS (SELECT role, 'cer' AS metric, cer AS v FROM rates UNION ALL SELECT role
 last_turns AS (
   SELECT role, count(*) AS n_rejected FROM conversations a
   WHERE NOT EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn = a.turn + 1)
-  GROUP BY role)
+  GROUP BY role),
+first_turns AS (
+  SELECT count(*) AS n_rejected FROM conversations a
+  WHERE NOT EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn = a.turn - 1))
 SELECT role, metric, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, count(v) AS n,
        CAST(0 AS BIGINT) AS n_nan, count(v) AS n_ok, CAST(coalesce(any_value(n_rejected), 0) AS BIGINT) AS n_rejected
-FROM long LEFT JOIN last_turns USING (role) GROUP BY role, metric""",
+FROM long LEFT JOIN last_turns USING (role) GROUP BY role, metric
+UNION ALL
+SELECT NULL, metric, NULL, NULL, 0, 0, 0, n_rejected FROM first_turns, (VALUES ('cer'), ('wer')) AS m(metric)""",
 )
 def wer_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns without a successor stay in as rejected samples of their role."""
-    pairs = all_turn_pairs(spark, sf).where(F.col("role").isNotNull())
-    summary = summarise(error_rates(pairs), ["cer", "wer"], "role")
+    """Turns without a successor are rejected samples of their role, first turns are predictions without a reference."""
+    summary = summarise(error_rates(all_turn_pairs(spark, sf)), ["cer", "wer"], "role")
     return summary.withColumns({c: rounded(c) for c in ("mean", "std")})
 
 
@@ -144,11 +148,13 @@ def wer_summary(spark: SparkSession, sf: str) -> DataFrame:
 SELECT c.conv_id, c.turn,
        round(coalesce(w.word_edits / CAST(w.ref_words AS DOUBLE), -1.0), 6) AS wer,
        CASE WHEN w.conv_id IS NULL THEN 'missing_prediction' ELSE 'ok' END AS status
-FROM conversations c LEFT JOIN word_edits w USING (conv_id, turn)""",
+FROM conversations c LEFT JOIN word_edits w USING (conv_id, turn)
+UNION ALL
+SELECT conv_id, turn - 1, -1.0, 'missing_reference' FROM conversations a
+WHERE NOT EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn = a.turn - 1)""",
 )
 def sentinel_scores(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = all_turn_pairs(spark, sf).where(F.col("role").isNotNull())
-    filled = fill_sentinels(wer(pairs), ["wer"])
+    filled = fill_sentinels(wer(all_turn_pairs(spark, sf)), ["wer"])
     return filled.select(*TURN, rounded("wer").alias("wer"), "status")
 
 

@@ -10,12 +10,12 @@ from pyspark.sql import types as T
 
 from wavetally.functions.edits import long_edit_distance
 from wavetally.functions.text import normalise, words
-from wavetally.operators.pairing import MISSING_PREDICTION, MISSING_REFERENCE, as_list, flag
+from wavetally.operators.pairing import MISSING_PREDICTION, MISSING_REFERENCE, OK, as_list, flag
 
 EMPTY_REFERENCE = "empty_reference"
-# table cells up to which the built-in distance is the faster one; coding words has a price
+# table cells up to which the built-in distance is the faster one
 SHORT_CHAR_CELLS = 20_000
-SHORT_WORD_CELLS = 1_000
+SHORT_WORD_CELLS = 250_000
 COUNTS = ["char_edits", "ref_chars", "word_edits", "ref_words"]
 
 
@@ -107,7 +107,7 @@ def _flag_unscorable(df: DataFrame, ref: str, hyp: str) -> DataFrame:
 
 
 def _with_rate(df: DataFrame, out: str, edits: str, length: str, as_percent: bool) -> DataFrame:
-    scorable = F.col("status") != EMPTY_REFERENCE
+    scorable = F.col("status") == OK
     return df.withColumn(out, F.when(scorable, _rate(edits, length, as_percent)))
 
 

@@ -11,8 +11,6 @@ from wavetally.operators.pairing import as_list
 from wavetally.session import shuffle_partitions
 
 
-MAX_HOT_KEYS = 10_000
-
 
 def chunk_of(position: str, span: int) -> Column:
     """Number of the run of ``span`` consecutive positions a row belongs to."""
@@ -43,21 +41,24 @@ def by_chunk(rows: DataFrame, key: str | Sequence[str], position: str, span: int
 
 
 def spread_join(
-    rows: DataFrame, per_key: DataFrame, key: str | Sequence[str], position: str, last: str, span: int = 4096
+    rows: DataFrame, per_key: DataFrame, key: str | Sequence[str], position: str, last: str, span: int = 4096,
+    first: str | None = None,
 ) -> DataFrame:
     """Attach one row per key to the ordered rows of that key.
 
     ``rows`` is split into chunks of ``span`` positions and ``per_key`` is
-    repeated once per chunk (``last`` holds the largest position), so the join
+    repeated once per chunk (``last`` holds the largest position, ``first`` the
+    smallest where positions do not start from 0), so the join
     key never covers more than ``span`` rows and the repeated side stays
     ``span`` times smaller than the rows it meets. ``rows`` may come from
     :func:`by_chunk` with the same ``span``.
     """
     on = as_list(key)
-    chunks = F.sequence(F.lit(0).cast("bigint"), F.floor(F.col(last) / span).cast("bigint"))
+    start = F.lit(0) if first is None else F.floor(F.col(first) / span)
+    chunks = F.sequence(start.cast("bigint"), F.floor(F.col(last) / span).cast("bigint"))
     spread = per_key.withColumn("_chunk", F.explode(chunks))
     chunked = rows if "_chunk" in rows.columns else rows.withColumn("_chunk", chunk_of(position, span))
-    return chunked.join(spread, [*on, "_chunk"]).drop("_chunk", last)
+    return chunked.join(spread, [*on, "_chunk"]).drop("_chunk", last, *([first] if first else []))
 
 
 def hot_key_join(
@@ -71,24 +72,22 @@ def hot_key_join(
 
     A key with more than ``rows_per_copy`` rows is split into several sub-keys
     and its partner repeated for each. Keys are counted from the key column
-    alone. The broadcast list holds the ``MAX_HOT_KEYS`` most frequent of them;
-    a key below those owns less than one row in ``MAX_HOT_KEYS`` and needs no
-    splitting.
+    alone. The list of such keys has a row for ``rows_per_copy`` rows of
+    ``many`` at most; Spark broadcasts it if it is small, and splits skewed
+    partitions of ``many`` if not.
     """
     keys = as_list(on)
     hot = (
         many.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .where(F.col("_rows") > rows_per_copy)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(MAX_HOT_KEYS)
         .select(*keys, F.ceil(F.col("_rows") / F.lit(rows_per_copy)).cast("int").alias("_copies"))
     )
     copies = F.coalesce(F.col("_copies"), F.lit(1))
-    salted = many.join(F.broadcast(hot), keys, "left").withColumn(
+    salted = many.join(hot, keys, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(*as_list(spread_by)), copies).cast("int")
     )
-    repeated = one.join(F.broadcast(hot), keys, "left").withColumn(
+    repeated = one.join(hot, keys, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), copies - 1))
     )
     return salted.drop("_copies").join(repeated.drop("_copies"), [*keys, "_salt"]).drop("_salt")

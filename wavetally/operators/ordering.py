@@ -70,16 +70,19 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """The ``n`` rows that come first in the order of a seeded hash of ``key``.
 
     The same rows come back for any partitioning, file order or retry; ``key``
-    is unique. Only keys are ranked: counts per hash prefix (at most 65,536
-    rows) leave few candidates, whose n-th hash is the limit for the full rows.
-    Wide rows are filtered where they are read and never sorted.
+    is unique. Only keys are ranked, and only those of one hash prefix: counts
+    per prefix (at most 65,536 rows) tell in which the n-th hash lies, the limit
+    for the full rows. Wide rows are filtered where they are read and never
+    sorted.
     """
     hashed = df.select(key, sample_order(key, seed).alias("_h"))
     per_prefix = hashed.groupBy(F.left("_h", F.lit(4)).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     needed = per_prefix.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    last_prefix = needed.where(F.col("_before") < n).agg(F.max("_p"))
-    candidates = hashed.where(F.left("_h", F.lit(4)) <= last_prefix.scalar())
-    limit = candidates.orderBy("_h", key).limit(n).agg(F.max(F.struct("_h", key)))
+    wanted = needed.where(F.col("_before") < n)
+    last_prefix, before = wanted.agg(F.max("_p")).scalar(), wanted.agg(F.max("_before")).scalar()
+    place = F.row_number().over(Window.partitionBy(F.left("_h", F.lit(4))).orderBy("_h", key))
+    candidates = hashed.where(F.left("_h", F.lit(4)) == last_prefix).withColumn("_place", place)
+    limit = candidates.where(F.col("_place") <= F.lit(n) - before).agg(F.max(F.struct("_h", key)))
     own = F.struct(sample_order(key, seed).alias("_h"), F.col(key))
     return df.where(own <= limit.scalar())

@@ -8,12 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavetally.session import shuffle_partitions
-
 OK = "ok"
 MISSING_PREDICTION = "missing_prediction"
 MISSING_REFERENCE = "missing_reference"
 RATE_MISMATCH = "rate_mismatch"
+DUPLICATE_KEY = "duplicate_key"
 
 
 def as_list(cols: str | Sequence[str]) -> list[str]:
@@ -31,37 +30,48 @@ def pair(
     preds: DataFrame,
     key: str | Sequence[str],
     keep_unmatched: bool = True,
-    partitions: int | None = None,
-    colocated: bool = False,
+    flag_duplicates: bool = False,
 ) -> DataFrame:
     """Join on ``key`` with a ``status`` for each row.
 
-    The key is unique on each side; :func:`validate_samples` finds repeats. One
-    shuffle of each side covers matched and unmatched keys; without
-    ``keep_unmatched`` only pairs remain. The partition number is explicit,
-    because scoring costs far more per byte than AQE's size-based coalescing
-    expects. Tables bucketed by ``key`` are joined as they lie when
-    ``colocated`` is set: then nothing is shuffled.
+    The key is unique on each side. With ``flag_duplicates``, rows of a key that
+    a side holds more than once are rejected as such; keys are counted apart
+    from their payload. Without ``keep_unmatched`` only pairs remain. How the
+    sides meet is Spark's choice: a small one is broadcast, skewed partitions
+    of an inner join are split, and tables bucketed by ``key`` are joined as
+    they lie. With ``keep_unmatched`` one join covers matched and unmatched keys.
     """
     on = as_list(key)
     refuse_clash([c for c in refs.columns if c not in on], [c for c in preds.columns if c not in on])
     left, right = refs, preds
-    if not colocated:
-        n = partitions or shuffle_partitions(refs.sparkSession)
-        left, right = refs.repartition(n, *on), preds.repartition(n, *on)
+    if flag_duplicates:
+        left, right = _mark_repeated(refs, on, "_ref_again"), _mark_repeated(preds, on, "_pred_again")
     if not keep_unmatched:
-        return left.join(right, on).withColumn("status", F.lit(OK))
+        return _flag_repeated(left.join(right, on).withColumn("status", F.lit(OK)))
     status = (
         F.when(F.col("_in_preds").isNull(), F.lit(MISSING_PREDICTION))
         .when(F.col("_in_refs").isNull(), F.lit(MISSING_REFERENCE))
         .otherwise(F.lit(OK))
     )
-    return (
+    joined = (
         left.withColumn("_in_refs", F.lit(True))
         .join(right.withColumn("_in_preds", F.lit(True)), on, "full_outer")
         .withColumn("status", status)
         .drop("_in_refs", "_in_preds")
     )
+    return _flag_repeated(joined)
+
+
+def _mark_repeated(side: DataFrame, on: Sequence[str], out: str) -> DataFrame:
+    repeated = side.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return side.join(repeated.select(*on, F.lit(True).alias(out)), on, "left")
+
+
+def _flag_repeated(pairs: DataFrame) -> DataFrame:
+    if "_ref_again" not in pairs.columns:
+        return pairs
+    again = F.coalesce("_ref_again", "_pred_again", F.lit(False))
+    return flag(pairs, {DUPLICATE_KEY: again}).drop("_ref_again", "_pred_again")
 
 
 def flag(df: DataFrame, reasons: Mapping[str, Column]) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from wavetally.functions.energies import pair_energies
 from wavetally.functions.vectors import decibel_ratio
 from wavetally.operators.joins import by_chunk, hot_key_join, spread_join
-from wavetally.operators.pairing import as_list, flag, refuse_clash
+from wavetally.operators.pairing import MISSING_PREDICTION, MISSING_REFERENCE, as_list, flag, refuse_clash
 
 SILENT_REFERENCE = "silent_reference"
+LENGTH_MISMATCH = "length_mismatch"
 SPAN = 4096
 
 
@@ -62,20 +63,23 @@ def _segment_energies(df: DataFrame, ref: str, est: str) -> DataFrame:
 
 def _ratio(out: str, df: DataFrame) -> DataFrame:
     signal = F.col("_scale") * F.col("_scale") * F.col("_rr")
-    value = F.when(F.col("_rr") > 0, decibel_ratio(signal, F.col("_noise")))
-    scored = flag(df.withColumn(out, value), {SILENT_REFERENCE: F.col("_rr") == 0})
-    return scored.drop("_rr", "_re", "_scale", "_noise")
+    value = F.when((F.col("_rr") > 0) & ~F.col("_broken"), decibel_ratio(signal, F.col("_noise")))
+    scored = flag(df.withColumn(out, value), {LENGTH_MISMATCH: F.col("_broken"), SILENT_REFERENCE: F.col("_rr") == 0})
+    return scored.drop("_rr", "_re", "_scale", "_noise", "_broken")
 
 
 def si_sdr(df: DataFrame, ref: str = "ref", est: str = "est", out: str = "si_sdr") -> DataFrame:
     """Scale-invariant signal-to-distortion ratio of each row, in dB.
 
-    Both signals are arrays of equal length. Rows are scored where they are
-    read: nothing is shuffled.
+    Both signals are arrays of equal length; where lengths differ or a side is
+    missing, ``status`` says so. Rows are scored where they are read: nothing
+    is shuffled.
     The residual is summed directly, since total minus projected energy loses
     all digits for a near-perfect estimate.
     """
-    return _ratio(out, _segment_energies(df, ref, est))
+    present = flag(df, {MISSING_REFERENCE: F.col(ref).isNull(), MISSING_PREDICTION: F.col(est).isNull()})
+    differ = F.coalesce(F.size(ref) != F.size(est), F.lit(False))
+    return _ratio(out, _segment_energies(present, ref, est).withColumn("_broken", differ))
 
 
 def si_sdr_segments(
@@ -91,12 +95,14 @@ def si_sdr_segments(
     Each segment is reduced where it is read. What moves between tasks is a
     few numbers per segment: the segment's residual at its own scale plus
     (scale - own scale)^2 * energy adds up to the residual at the common scale,
-    without any cancellation.
+    without any cancellation. A pair with a segment whose sides differ in
+    length, or that lacks one, is rejected as a whole.
     """
     on = as_list(key)
     energies = pair_energies(F.col(ref), F.col(est))
     # both uses below read the same columns, so they share the shuffle
-    packed = F.array(*[energies[name] for name in ("reference", "product", "scale", "residual")])
+    broken = F.when(F.size(ref) == F.size(est), F.lit(0.0)).otherwise(F.lit(1.0))
+    packed = F.array(*[energies[name] for name in ("reference", "product", "scale", "residual")], broken)
     parts = by_chunk(segments.select(*on, segment, packed.alias("_parts")), on, segment, SPAN).drop(segment)
     rr, re, own, rest = (F.col("_parts")[i] for i in range(4))
     totals = (
@@ -105,16 +111,18 @@ def si_sdr_segments(
             F.sum(rr).alias("_rr"),
             F.sum(re).alias("_re"),
             F.sum(rest).alias("_rest"),
+            (F.max(F.col("_parts")[4]) > 0).alias("_broken"),
+            (F.min("_chunk") * SPAN).alias("_first"),
             (F.max("_chunk") * SPAN).alias("_last"),
         )
         .withColumn("_scale", F.coalesce(F.try_divide(F.col("_re"), F.col("_rr")), F.lit(0.0)))
     )
     shift = F.col("_scale") - own
     merged = (
-        spread_join(parts, totals, on, segment, "_last", SPAN)
+        spread_join(parts, totals, on, segment, "_last", SPAN, "_first")
         .groupBy(*on)
         .agg(
-            *[F.first(c).alias(c) for c in ("_rr", "_re", "_scale")],
+            *[F.first(c).alias(c) for c in ("_rr", "_re", "_scale", "_broken")],
             (F.first("_rest") + F.sum(shift * shift * rr)).alias("_noise"),
         )
     )

@@ -13,10 +13,34 @@ from pyspark.sql import types as T
 from wavetally.functions import vectors as V
 from wavetally.operators.frames import STD_FLOOR, align_frames, frame_stats, with_previous_frames
 from wavetally.operators.joins import spread_join, with_keys
-from wavetally.operators.pairing import as_list
+from wavetally.operators.pairing import MISSING_PREDICTION, MISSING_REFERENCE, OK, as_list
 from wavetally.session import shuffle_partitions
 
 
+NO_COMMON_FRAMES = "no_common_frames"
+
+
+def with_status(scored: DataFrame, ref: DataFrame, est: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Add ``status``, and rows for samples that only one side has or that share no frame.
+
+    Only keys are gathered for it, and they are made distinct before they move.
+    """
+    held = (
+        ref.select(*on, F.lit(True).alias("_in_ref"), F.lit(None).cast("boolean").alias("_in_est"))
+        .unionByName(est.select(*on, F.lit(None).cast("boolean").alias("_in_ref"), F.lit(True).alias("_in_est")))
+        .groupBy(*on)
+        .agg(F.max("_in_ref").alias("_in_ref"), F.max("_in_est").alias("_in_est"))
+    )
+    status = (
+        F.when(F.col("_in_est").isNull(), F.lit(MISSING_PREDICTION))
+        .when(F.col("_in_ref").isNull(), F.lit(MISSING_REFERENCE))
+        .when(F.col("_scored").isNull(), F.lit(NO_COMMON_FRAMES))
+        .otherwise(F.lit(OK))
+    )
+    joined = held.join(scored.withColumn("_scored", F.lit(True)), on, "left")
+    return joined.withColumn("status", status).select(*scored.columns, "status")
+
+
 def sim_o(
     ref: DataFrame, est: DataFrame, key: str | Sequence[str], frame: str = "frame", values: str = "values", span: int = 4096
 ) -> DataFrame:
@@ -25,9 +49,11 @@ def sim_o(
     Mean and deviation cover each side's full length, before the longer side is
     cut. Aligned frames are reduced to their own means and centred products,
     from which the normalised cosine follows, so the arrays cross one shuffle.
-    The statistics are taken from that same shuffle.
+    The statistics are taken from that same shuffle. Every sample of either
+    side has a row, see :func:`with_status`.
     """
     on = as_list(key)
+    sides = ref, est
     n_parts = shuffle_partitions(ref.sparkSession)
     ref, est = (
         with_keys(side.select(*on, frame, values), [*on, frame]).repartition(n_parts, *on, frame)
@@ -60,11 +86,12 @@ def sim_o(
     scale_r, scale_e = F.col("_sr") + STD_FLOOR, F.col("_se") + STD_FLOOR
     norms = F.sqrt(F.col("_rr") + n * dr * dr) / scale_r * F.sqrt(F.col("_ee") + n * de * de) / scale_e
     cosine = (F.col("_re") + n * dr * de) / scale_r / scale_e / (norms + STD_FLOOR)
-    return (
+    scored = (
         spread_join(moments, stats, on, frame, "_last", span)
         .groupBy(*on)
         .agg(F.count(F.lit(1)).alias("frames"), F.avg(cosine).alias("sim_o"))
     )
+    return with_status(scored, *sides, on)
 
 
 def sim_r(
@@ -74,11 +101,11 @@ def sim_r(
 
     Correlation does not change when a side is shifted or scaled, so the
     z-normalisation of the envelopes is not carried out. A constant envelope
-    gives NULL.
+    gives NULL. Every sample of either side has a row, see :func:`with_status`.
     """
     on = as_list(key)
     x, y = F.col("ref"), F.col("est")
-    return (
+    scored = (
         align_frames(ref, est, on, frame, value)
         .groupBy(*on)
         .agg(
@@ -86,6 +113,7 @@ def sim_r(
             F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("sim_r"),
         )
     )
+    return with_status(scored, ref, est, on)
 
 
 def _segment_correlations(x: np.ndarray, y: np.ndarray, length: int, clip: float) -> np.ndarray:
@@ -118,7 +146,9 @@ def band_intelligibility(
 
     Runs overlap, so expanding them to rows would multiply the data by
     ``segment``. Spark shuffles each frame once into chunks of at most
-    ``span + segment`` frames, and NumPy reduces a chunk to one row.
+    ``span + segment`` frames, and NumPy reduces a chunk to one row. A run
+    never spans a gap in the frame numbers. Every sample of either side has a
+    row, see :func:`with_status`.
     """
     on = as_list(key)
     clip = 1 + 10 ** (clip_db / 20)
@@ -131,19 +161,22 @@ def band_intelligibility(
 
     def reduce_chunk(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         n, total = 0, 0.0
-        if len(rows) >= segment:
-            rows = rows.sort_values(frame)
-            rho = _segment_correlations(
-                np.stack(rows["ref"].to_numpy()), np.stack(rows["est"].to_numpy()), segment, clip
-            )
+        rows = rows.sort_values(frame)
+        gaps = np.flatnonzero(np.diff(rows[frame].to_numpy()) != 1) + 1
+        for start, end in zip([0, *gaps], [*gaps, len(rows)]):
+            if end - start < segment:
+                continue
+            run = rows.iloc[start:end]
+            rho = _segment_correlations(np.stack(run["ref"].to_numpy()), np.stack(run["est"].to_numpy()), segment, clip)
             valid = np.isfinite(rho)
-            n, total = int(valid.sum()), float(rho[valid].sum())
+            n, total = n + int(valid.sum()), total + float(rho[valid].sum())
         return pd.DataFrame([[*group[:-1], n, total]], columns=partial_schema.names)
 
-    return (
+    scored = (
         chunks.groupBy(*on, "_chunk")
         .applyInPandas(reduce_chunk, partial_schema)
         .groupBy(*on)
         .agg(F.sum("_n").alias("segments"), F.sum("_sum").alias("_total"))
         .select(*on, "segments", F.try_divide(F.col("_total"), F.col("segments")).alias("intelligibility"))
     )
+    return with_status(scored, ref, est, on)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavetally.operators.error_rates import error_rates
+from wavetally.operators.frames import cepstra, onset_envelope
 from wavetally.operators.memo import build_requests
 from wavetally.operators.pairing import (
     MISSING_PREDICTION,
@@ -21,6 +22,7 @@ from wavetally.operators.pairing import (
     with_sample_metadata,
 )
 from wavetally.operators.signal import align_pairs, si_sdr
+from wavetally.operators.similarity import band_intelligibility, sim_o, sim_r
 
 Job = Callable[[DataFrame], DataFrame]
 
@@ -62,6 +64,25 @@ def score_signals(
     return scored.select(*on, *TTS_METRICS, *others)
 
 
+def frame_metrics(
+    ref: DataFrame,
+    est: DataFrame,
+    key: str | Sequence[str] = "sample_idx",
+    frame: str = "frame",
+    values: str = "values",
+    coefficients: int = 13,
+) -> dict[str, DataFrame]:
+    """``extra`` of :func:`score_signals` from band amplitudes of both sides: stoi, sim_o and sim_r."""
+    on = as_list(key)
+    ref, est = (side.select(*on, frame, values) for side in (ref, est))
+    stoi = band_intelligibility(ref, est, on, frame, values)
+    return {
+        "stoi": stoi.withColumnRenamed("intelligibility", "stoi"),
+        "sim_o": sim_o(cepstra(ref, coefficients, values), cepstra(est, coefficients, values), on, frame, values),
+        "sim_r": sim_r(onset_envelope(ref, on, frame, values), onset_envelope(est, on, frame, values), on, frame),
+    }
+
+
 def evaluate_batch(
     samples: DataFrame,
     score: Job,
@@ -72,15 +93,14 @@ def evaluate_batch(
     text: str = "text",
     prompt: str = "",
     batch_metadata: Mapping[str, object] | None = None,
-    colocated: bool = False,
 ) -> DataFrame:
     """Scores of all samples as one plan; rejected ones stay, with a status.
 
     Predictions are a table, or come from ``infer``: a job from samples (with a
     ``request`` column) to (key, prediction...), e.g. a ``mapInPandas`` around a
     model. ``decode`` does the same for samples without a text. ``score`` turns
-    pairs into metric columns. ``colocated`` says that both tables are bucketed
-    by ``key``.
+    pairs into metric columns. A sample with several predictions, or several
+    samples of one key, are rejected as ``duplicate_key``.
     """
     on = as_list(key)
     if predictions is None:
@@ -93,7 +113,7 @@ def evaluate_batch(
     ]
     if differing:
         raise ValueError(f"predictions have other types for {differing}")
-    pairs = pair(samples, predictions, on, colocated=colocated)
+    pairs = pair(samples, predictions, on, flag_duplicates=True)
     return with_batch_metadata(score(pairs), batch_metadata or {})
 
 

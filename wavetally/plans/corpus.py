@@ -5,14 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from wavetally.operators.ordering import seeded_sample
 from wavetally.operators.summary import summarise
 from wavetally.plans.batch import Evaluation, enrich
 
-BROADCAST_KEYS = 100_000
-
 
 def evaluate_corpus(
     evaluation: Evaluation,
@@ -30,12 +27,10 @@ def evaluate_corpus(
     """(scores with ids and batch metadata, summary).
 
     Predictions and metadata are reduced to the sample before anything is
-    shuffled: its ``n`` keys are broadcast, unless there are too many of them.
+    shuffled, if its keys are few enough for Spark to broadcast them.
     """
     sample = seeded_sample(corpus, key, n, seed)
     keys = sample.select(key)
-    if n <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
     if predictions is not None:
         predictions = predictions.join(keys, key, "left_semi")
     if meta is not None:

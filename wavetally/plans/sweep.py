@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from wavetally.operators.pairing import MISSING_PREDICTION, MISSING_REFERENCE, OK, as_list
 from wavetally.operators.summary import compare_checkpoints
 from wavetally.plans.batch import Job
-from wavetally.session import shuffle_partitions
 
 
 def sweep_requests(samples: DataFrame, checkpoints: Sequence[str]) -> DataFrame:
@@ -26,19 +25,23 @@ def pair_sweep(
 
     References travel once, not once per checkpoint. With the list of
     ``checkpoints``, a (checkpoint, sample) without a prediction gets a row;
-    these are found from keys alone.
+    these are found from keys alone, which are multiplied for what is missing
+    only.
     """
     on = as_list(key)
-    n = shuffle_partitions(refs.sparkSession)
-    found = refs.withColumn("_in_refs", F.lit(True)).repartition(n, *on).join(
-        preds.repartition(n, *on), on, "right"
-    )
+    found = refs.withColumn("_in_refs", F.lit(True)).join(preds, on, "right")
     status = F.when(F.col("_in_refs").isNull(), F.lit(MISSING_REFERENCE)).otherwise(F.lit(OK))
     paired = found.withColumn("status", status).drop("_in_refs")
     if checkpoints is None:
         return paired
-    missing = sweep_requests(refs.select(*on), checkpoints).join(
-        preds.select(*on, "checkpoint"), [*on, "checkpoint"], "left_anti"
+    names = F.array(*[F.lit(c) for c in sorted(set(checkpoints))]).cast("array<string>")
+    # at most one entry per checkpoint
+    answered = preds.groupBy(*on).agg(F.collect_set("checkpoint").alias("_answered"))
+    none = F.array().cast("array<string>")
+    missing = (
+        refs.select(*on)
+        .join(answered, on, "left")
+        .select(*on, F.explode(F.array_except(names, F.coalesce("_answered", none))).alias("checkpoint"))
     )
     return paired.unionByName(
         missing.withColumn("status", F.lit(MISSING_PREDICTION)), allowMissingColumns=True

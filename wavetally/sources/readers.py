@@ -19,15 +19,10 @@ def read_manifest(
     """Utterances of a corpus tree ``speaker/chapter/*.trans.txt``.
 
     One row per line; ``path`` is where the audio of the utterance lies,
-    relative to its transcript's folder.
+    relative to its transcript's folder. :func:`rejected_lines` returns the
+    lines that have no row here.
     """
-    lines = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .text(directory)
-        .select("value", F.col("_metadata.file_path").alias("_file"))
-        .where(F.col("value").rlike(UTTERANCE_LINE))
-    )
+    lines = _transcript_lines(spark, directory, glob).where(F.col("value").rlike(UTTERANCE_LINE))
 
     def part(i: int):
         return F.regexp_extract("value", UTTERANCE_LINE, i)
@@ -46,6 +41,25 @@ def read_manifest(
     )
 
 
+def _transcript_lines(spark: SparkSession, directory: str, glob: str) -> DataFrame:
+    return (
+        spark.read.option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", glob)
+        .text(directory)
+        .select("value", F.col("_metadata.file_path").alias("_file"))
+    )
+
+
+def rejected_lines(spark: SparkSession, directory: str, glob: str = "*.trans.txt") -> DataFrame:
+    """(file, line) of transcript lines that are no utterance: another form, or an id without a text.
+
+    Blank lines are left out.
+    """
+    lines = _transcript_lines(spark, directory, glob)
+    kept = ~F.col("value").rlike(UTTERANCE_LINE) & F.col("value").rlike(r"\S")
+    return lines.where(kept).select(F.col("_file").alias("file"), F.col("value").alias("line"))
+
+
 def read_hashed_files(spark: SparkSession, directory: str, glob: str = "*") -> DataFrame:
     """Path, length and md5 of each file's bytes. Spark's scan passes over empty files."""
     return (
