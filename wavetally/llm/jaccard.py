@@ -176,6 +176,24 @@ def _sets(words: int):
     return run
 
 
+def _element_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets hold an element, combined within the task for a million elements at a time."""
+    held, size = [], 0
+
+    def rows():
+        e, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(e), pa.array(n.astype(np.int64))], names=["e", "n"])
+
+    for batch in batches:
+        held.append(batch.column("elements").flatten().to_numpy())
+        size += len(held[-1])
+        if size > 1_000_000:
+            yield rows()
+            held, size = [], 0
+    if held:
+        yield rows()
+
+
 def _prefixes(percent: int, frequent: Broadcast):
     """A signature for each element of a set's prefix, rare elements first, with the set's size and its place."""
 
@@ -292,7 +310,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     )
     if not hot.isEmpty():
         hot_sets = sets.join(small(hot), "id", "left_semi")
-        often = hot_sets.select(F.explode("elements").alias("e")).groupBy("e").count().filter(F.col("count") > HOT)
+        parts = hot_sets.select("elements").mapInArrow(_element_counts, "e bigint, n bigint")
+        often = parts.groupBy("e").agg(F.sum("n").alias("count")).filter(F.col("count") > HOT)
         often = often.orderBy(F.desc("count"), "e").limit(FREQUENT).toPandas().sort_values("e")
         frequent = spark.sparkContext.broadcast((often["e"].to_numpy(np.int64), often["count"].to_numpy(np.int64)))
         schema = "sig bigint, id bigint, size bigint, place bigint"
