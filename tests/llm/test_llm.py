@@ -301,3 +301,28 @@ def test_privacy_counts_ids(spark):
     table = spark.createDataFrame(rows, "doc_id bigint, text string")
     told = privacy.disclosing_terms(table, privacy.entities(table), disclose=0.0)
     assert {r.term: r.disclosed for r in told.collect()}["zorblat"] == pytest.approx(np.log2(8 * 4 / (5 * 4)))
+
+
+def test_privacy_entities_seen_once(spark):
+    """Pairs over whole documents against brute force; an entity seen once gives its terms away."""
+    rows = [(i, f"the plain words of note {i} {'odd' if i % 3 else 'even'} end here") for i in range(400)]
+    rows += [(500, "Zorblat wrote " + "the plain words of note " * 30 + "bob@evil.org"), (501, "the plain Zorblat")]
+    rows += [(600 + i, f"quuxly the note +1 (017) 555-7713{' ann@b.org' * (i % 2)}") for i in range(4)] + [(None, "quuxly")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    told = {r.term: r.disclosed for r in privacy.disclosing_terms(table, privacy.entities(table)).collect()}
+    ent = lambda t: {m[0] for p in (KINDS["email"], KINDS["phone"]) for m in re.finditer(p, t)}
+    seen = [(set(re.findall(r"[^\W\d_]{3,}", t.lower())), ent(t)) for _, t in rows]
+    want, n = {}, len(rows)
+    for e in set().union(*[es for _, es in seen]):
+        n_e = sum(e in es for _, es in seen)
+        for w in set().union(*[ws for ws, es in seen if e in es]):
+            n_w, both = sum(w in ws for ws, _ in seen), sum(w in ws and e in es for ws, es in seen)
+            share = np.log2(n * both / (n_w * n_e)) / np.log2(n / n_e)
+            if share >= privacy.DISCLOSE:
+                want[w] = max(want.get(w, 0), share)
+    assert {"zorblat", "quuxly", "wrote"} <= want.keys() and told == pytest.approx(want)
+    clean = {r.doc_id: r.text for r in privacy.sanitised(table).collect()}
+    assert "Zorblat" not in clean[500] and "plain words" in clean[500] and clean[501] == "the plain [term]"
+    assert clean[3] == rows[3][1] and "quuxly" not in clean[None]
+    two = table.filter("doc_id in (3, 500)")  # by chance: one document of two
+    assert privacy.disclosing_terms(two, privacy.entities(two)).count() == 0

@@ -1,14 +1,18 @@
 """Personal data and the terms that give it away, with DataFrame functions alone.
 
-Entities (email and IP addresses, card and phone numbers) are found by pattern. A term near an entity tells who is
-meant as far as it occurs there and nowhere else: over documents, with N of them,
+Entities (email and IP addresses, card and phone numbers) are found by pattern. A term tells who is meant as far as
+it occurs in documents with the entity and nowhere else: over documents, with N of them,
 
     PMI(term; entity) = log2(N n(term, entity) / (n(term) n(entity))),   IC(entity) = log2(N / n(entity)),
 
 and a term that always comes with the entity discloses all of its information (PMI = IC). Terms that disclose at
 least ``DISCLOSE`` of an entity's information are generalised to a label, those above ``REMOVE`` removed, wherever
-they stand, provided that they were seen in ``LEAST_CONTEXTS`` different contexts of the entity (copies of a text are
-one context).
+they stand, provided that so many common documents are unlikely by chance: for documents dealt at random the expected
+number of choices of j out of the common ones bounds the probability of n(term, entity) of them or more, for every j
+
+    P <= C(n(term), j) C(n(entity), j) / (C(N, j) C(n(term, entity), j)),
+
+and the least of these bounds is at most ``CHANCE``. That holds for entities seen once as well: there P <= n(term) / N.
 """
 
 from __future__ import annotations
@@ -19,9 +23,9 @@ from pyspark.sql import functions as F
 from wavetally.llm.tables import saved, small
 
 DISCLOSE, REMOVE = 0.8, 0.95
-LEAST_CONTEXTS = 3
-#: Code points on either side of an entity that are its context.
-REACH = 80
+CHANCE = 0.1
+#: The largest j of the bounds; each is valid, so more of them only make the least one smaller.
+_CHOICES = 64
 
 # Each starts where the plain pattern's leftmost match would, but looks at a run of characters once: at its beginning,
 # or (\G) right after the match before.
@@ -95,7 +99,7 @@ def _found(text: str, pattern: str, where: Column) -> tuple[Column, Column]:
 
 
 def _spans(matches: str, gaps: str) -> Column:
-    """``start, end, value, left, right`` of each match; places are code points, the end exclusive."""
+    """``start, end, value`` of each match; places are code points, the end exclusive."""
     ahead = F.zip_with(gaps, matches, lambda g, m: F.length(g) + F.coalesce(F.length(m), F.lit(0)))
     g, m = F.col(gaps), F.col(matches)
     # zipped, so that the sums are built once and not anew for every match
@@ -103,31 +107,20 @@ def _spans(matches: str, gaps: str) -> Column:
         m.alias("value"),
         F.slice(_sums_before(ahead), 1, F.size(m)).alias("before"),
         F.slice(g, 1, F.size(m)).alias("left"),
-        F.slice(g, 2, F.size(m)).alias("right"),
     )
 
     def span(z: Column) -> Column:
-        value, left, right = z["value"], z["left"], z["right"]
-        start = z["before"] + F.length(left)
-        # words cut by the edge of the context are left out
-        near_left = F.when(F.length(left) > REACH, F.regexp_replace(F.right(left, F.lit(REACH)), r"^\p{L}+", ""))
-        near_right = F.when(F.length(right) > REACH, F.regexp_replace(F.left(right, F.lit(REACH)), r"\p{L}+$", ""))
-        return F.struct(
-            start.alias("start"),
-            (start + F.length(value)).alias("end"),
-            value.alias("value"),
-            F.coalesce(near_left, left).alias("left"),
-            F.coalesce(near_right, right).alias("right"),
-        )
+        start = z["before"] + F.length(z["left"])
+        return F.struct(start.alias("start"), (start + F.length(z["value"])).alias("end"), z["value"].alias("value"))
 
     each = F.transform(parts, span)
     return F.when(F.size(m) > 0, each).otherwise(
-        F.array().cast("array<struct<start:bigint,end:bigint,value:string,left:string,right:string>>")
+        F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
     )
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """``doc_id, text`` and, for each kind of entity, an array of ``start, end, value, left, right``.
+    """``doc_id, text`` and, for each kind of entity, an array of ``start, end, value``.
 
     Matches are leftmost and do not overlap; those that fail their kind's test are dropped without another try.
     A null text is an empty one.
@@ -147,55 +140,63 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def disclosing_terms(
-    docs: DataFrame, found: DataFrame, disclose: float = DISCLOSE, least: int = LEAST_CONTEXTS
-) -> DataFrame:
-    """``term, disclosed``: the terms and the largest share of an entity's information that each gives away.
+def _chance(n: Column, n_both: Column, n_term: Column, n_entity: Column) -> Column:
+    """A bound of the probability that as many documents hold term and entity by chance."""
+    start = F.struct(F.lit(1.0).alias("bound"), F.lit(1.0).alias("least"))
 
-    ``found`` is the result of ``entities`` for ``docs``. Pairs are counted per entity within its context only, so
-    their number follows the number of entities; the occurrences of terms are counted over all documents.
-    """
+    def step(acc: Column, j: Column) -> Column:
+        bound = acc["bound"] * ((n_term - j) / (n_both - j)) * ((n_entity - j) / (n - j))
+        return F.struct(bound.alias("bound"), F.least(acc["least"], bound).alias("least"))
 
-    def seen(kind: str) -> Column:
-        return F.transform(kind, lambda s: F.struct(
-            F.concat(F.lit(kind + ":"), F.lower(s["value"])).alias("entity"),
-            F.concat_ws(" ", s["left"], s["right"]).alias("context"),
-        ))
+    choices = F.sequence(F.lit(0), F.least(n_both, F.lit(_CHOICES)).cast("int") - 1)
+    return F.aggregate(choices, start, step, lambda acc: acc["least"])
 
-    kinds = [seen(k) for k in PATTERNS]
-    some = found.filter(" or ".join(f"size({k}) > 0" for k in PATTERNS))
-    contexts = some.select("doc_id", F.explode(F.concat(*kinds)).alias("c")).select(
-        "doc_id", F.col("c.entity").alias("entity"), F.col("c.context").alias("context")
-    )
-    n_entity = contexts.groupBy("entity").agg(F.countDistinct(F.struct("doc_id")).alias("n_entity"))
-    near = contexts.select("doc_id", "entity", F.xxhash64("context").alias("context"), F.explode(_terms(F.col("context"))).alias("term"))
-    pairs = near.groupBy("entity", "term").agg(
-        F.countDistinct(F.struct("doc_id")).alias("n_both"), F.countDistinct("context").alias("contexts")
-    )
-    pairs = saved(pairs.filter(F.col("contexts") >= least).join(n_entity, "entity"), "pairs")
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, disclose: float = DISCLOSE, chance: float = CHANCE) -> DataFrame:
+    """``term, disclosed``: the terms and the largest share of an entity's information that each gives away.
+
+    ``found`` is the result of ``entities`` for ``docs``. All terms of a document meet all of its entities. As
+    n(term, entity) <= n(entity), a term in more than N^(1 - disclose) n(entity)^disclose documents cannot disclose
+    enough; such pairs are left out before they are made.
+    """
     spark = docs.sparkSession
-    if pairs.isEmpty():
+    kinds = [F.transform(k, lambda s: F.concat(F.lit(k + ":"), F.lower(s["value"]))) for k in PATTERNS]  # noqa: B023
+    some = found.filter(" or ".join(f"size({k}) > 0" for k in PATTERNS))
+    met = saved(some.select("doc_id", F.explode(F.concat(*kinds)).alias("entity")).distinct(), "met")
+    if met.isEmpty():
         return spark.createDataFrame([], "term string, disclosed double")
-    terms = saved(pairs.select("term").distinct(), "terms")
+    n_entity = met.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    met = saved(met.join(n_entity, "entity").withColumnRenamed("doc_id", "id"), "counted")
     words = docs.select("doc_id", F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term"))
     ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
     repeated = saved(ids.filter("rows > 1").select("doc_id"), "repeated")
     # counted by rows, which combine before they are shuffled, less the further rows of an id
     n_rows = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_rows"))
-    again = words.join(small(repeated).withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    same = F.col("doc_id").eqNullSafe(F.col("id"))
+    again = words.join(small(repeated).withColumnRenamed("doc_id", "id"), same, "left_semi")
     further = again.groupBy("doc_id", "term").agg((F.count(F.lit(1)) - 1).alias("n")).groupBy("term").agg(F.sum("n").alias("further"))
-    n_term = n_rows.join(small(terms), "term").join(further, "term", "left").select(
+    n_term = n_rows.join(further, "term", "left").select(
         "term", (F.col("n_rows") - F.coalesce("further", F.lit(0))).alias("n_term")
     )
     n = F.lit(ids.count()).cast("double")
+    few = 1.000001 * F.pow(n, F.lit(1 - disclose))
+    # of each document with entities the terms that one of its entities can be told by
+    tops = saved(met.groupBy("id").agg(F.max("n_entity").alias("top")), "tops")
+    near = docs.join(small(tops), same).select("doc_id", "top", F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term")).distinct()
+    rare = near.join(n_term, "term").filter(F.col("n_term") <= few * F.pow("top", F.lit(disclose))).drop("top")
+    pairs = rare.join(met, same).filter(F.col("n_term") <= few * F.pow("n_entity", F.lit(disclose)))
+    pairs = pairs.groupBy("entity", "term").agg(
+        F.count(F.lit(1)).alias("n_both"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity")
+    )
     pmi = F.log2(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     # an entity in every document holds no information
     share = F.when(F.col("n_entity") < n, pmi / F.log2(n / F.col("n_entity"))).otherwise(F.lit(0.0))
-    told = pairs.join(n_term, "term").groupBy("term").agg(F.max(share).alias("disclosed"))
-    return saved(told.filter(F.col("disclosed") >= disclose), "disclosing")
+    told = pairs.withColumn("disclosed", share).filter(F.col("disclosed") >= disclose)
+    told = told.filter(_chance(n, F.col("n_both"), F.col("n_term"), F.col("n_entity")) <= chance)
+    return saved(told.groupBy("term").agg(F.max("disclosed").alias("disclosed")), "disclosing")
 
 
-def sanitised(docs: DataFrame, disclose: float = DISCLOSE, remove: float = REMOVE, least: int = LEAST_CONTEXTS) -> DataFrame:
+def sanitised(docs: DataFrame, disclose: float = DISCLOSE, remove: float = REMOVE, chance: float = CHANCE) -> DataFrame:
     """Per row of ``docs``: ``doc_id, email, ip, card, phone, term`` (arrays of ``start, end``) and the clean ``text``.
 
     In ``text`` entities are replaced by their kind in brackets, terms by ``[term]`` or, if they disclose ``remove``
@@ -203,7 +204,7 @@ def sanitised(docs: DataFrame, disclose: float = DISCLOSE, remove: float = REMOV
     count as empty; rows of one ``doc_id`` are counted as one document.
     """
     found = entities(docs)
-    told = disclosing_terms(docs, found, disclose, least)
+    told = disclosing_terms(docs, found, disclose, chance)
     ids = docs.select("doc_id", F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term"))
     held = ids.join(small(told), "term").groupBy("doc_id").agg(
         F.collect_set("term").alias("told"),
@@ -215,7 +216,8 @@ def sanitised(docs: DataFrame, disclose: float = DISCLOSE, remove: float = REMOV
     else:
         held = saved(held, "holders")
         rows = held.agg(F.coalesce(F.sum(F.size("told")), F.lit(0))).first()[0]
-        out = found.join(small(held, rows), "doc_id", "left")
+        held = small(held.withColumnRenamed("doc_id", "id"), 4 * rows)
+        out = found.join(held, F.col("doc_id").eqNullSafe(F.col("id")), "left").drop("id")
         none = F.array().cast("array<string>")
         out = out.withColumns({"told": F.coalesce("told", none), "gone": F.coalesce("gone", none)})
     matches, gaps = _found("text", TERM, F.size("told") > 0)
