@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -237,6 +238,38 @@ def test_warc(spark, tmp_path):
     assert got == sorted(expected, key=repr)
 
 
+def test_warc_of_other_writers(spark, tmp_path):
+    def record(kind, block, payload=None, more=(), content="application/http; msgtype=response"):
+        head = [f"WARC-Type: {kind}", f"Content-Type: {content}", f"Content-Length: {len(block)}", *more]
+        if payload is not None:
+            head.append("WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode())
+        return b"WARC/1.0\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    ok, chunks = b"HTTP/1.1 200 OK\r\n", b"4;x=y\r\nsome\r\n5\r\n text\r\n0\r\n\r\n"
+    sent = ok + b"Transfer-Encoding: chunked\r\n\r\n"
+    records = [
+        record("response", ok + b"\r\nno length", b"no length"),
+        record("response", ok + b"Content-Length: 4\r\n\r\nbody", b"body"),
+        record("response", sent + chunks, b"some text"),
+        record("response", sent + chunks, chunks),
+        record("response", sent + b"joined", b"joined"),
+        record("response", ok + b"\r\nany", more=["WARC-Payload-Digest: md5:00"]),
+        record("response", ok + b"Content-Length: 9\r\n\r\npart", more=["WARC-Truncated: length"]),
+        record("conversion", b"plain text", b"plain text", content="text/plain"),
+        record("resource", b"a\r\n\r\nb", b"a\r\n\r\nb", content="text/plain"),
+        record("response", ok + b"\r\nwrong", b"other"),
+        record("response", ok + b"Content-Length: 9\r\n\r\nshort"),
+        record("resource", b"wrong", b"other", content="text/plain"),
+    ]
+    for name, wrap in (("a.warc", bytes), ("b.warc.gz", warc._gzip)):
+        (tmp_path / name).write_bytes(b"".join(map(wrap, records)))
+    rows = warc.read_archives(spark, str(tmp_path)).orderBy("file", "start").collect()
+    want = [b"no length", b"body", b"some text", b"some text", b"joined", b"any", b"part", b"plain text", b"a\r\n\r\nb"]
+    assert [r.payload and bytes(r.payload) for r in rows] == (want + [None] * 3) * 2
+    assert [r.payload_bytes for r in rows] == ([len(w) for w in want] + [None] * 3) * 2
+    assert [r.record_type == "quarantined" for r in rows] == ([False] * 9 + [True] * 3) * 2
+
+
 def test_sharding(docs, empty):
     rows = sharding.assign_shards(docs, 4).collect()
     line = sorted(

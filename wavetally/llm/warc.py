@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from base64 import b32encode
 from collections.abc import Iterator
 from dataclasses import dataclass
-from hashlib import sha256
+from hashlib import sha1, sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ LEAST_REVISIT = 100
 #: At most so many records share one file, so that a reader's task holds a bounded one.
 FILE_RECORDS = 10_000
 _PIECE = 16_384
+_CHUNK_SIZE = re.compile(rb"([0-9A-Fa-f]{1,15})[ \t]*(?:;[^\r\n]*)?\r\n")
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -108,6 +110,16 @@ def write_archives(pages: DataFrame, path: str) -> None:
 # ---- reading
 
 
+def _differs(digest: str, data: bytes) -> bool:
+    """Whether ``algorithm:value``, in hexadecimal or base 32, is not the digest of ``data``; others are not checked."""
+    name, _, value = digest.partition(":")
+    kind = {"sha1": sha1, "sha-1": sha1, "sha256": sha256, "sha-256": sha256}.get(name.lower())
+    if kind is None:
+        return False
+    found = kind(data)
+    return value.lower() != found.hexdigest() and value.upper().rstrip("=") != b32encode(found.digest()).decode().rstrip("=")
+
+
 def _parse(data: bytes, at: int) -> Record | None:
     """The record that begins at ``at``, or None unless its framing and its block digest hold."""
     head = _VERSION_LINE.match(data, at)
@@ -127,8 +139,7 @@ def _parse(data: bytes, at: int) -> Record | None:
     stop = end + 4 + int(length) + 4
     if len(block) < int(length) or data[stop - 4 : stop] != b"\r\n\r\n":
         return None
-    digest = headers.get("warc-block-digest", "")
-    if digest.startswith("sha256:") and digest[7:] != sha256(block).hexdigest():
+    if _differs(headers.get("warc-block-digest", ""), block):
         return None
     return Record(headers, block, at, stop)
 
@@ -216,11 +227,51 @@ READ_SCHEMA = (
 )
 
 
-def _http(block: bytes) -> tuple[int | None, bytes]:
-    """Announced length and body of an HTTP response."""
+def _http(block: bytes) -> tuple[int | None, bool, bytes]:
+    """Announced length of an HTTP message, whether it is sent in chunks, and its body."""
     head, _, body = block.partition(b"\r\n\r\n")
     found = re.search(rb"(?im)^content-length:\s*(\d+)", head)
-    return (int(found[1]) if found else None), body
+    chunked = re.search(rb"(?im)^transfer-encoding:.*\bchunked\b", head) is not None
+    return (int(found[1]) if found and not chunked else None), chunked, body
+
+
+def _joined(body: bytes) -> bytes | None:
+    """The content of a body in chunks, None if it is not one (crawlers may join chunks and keep the header)."""
+    parts, at = [], 0
+    while found := _CHUNK_SIZE.match(body, at):
+        n, at = int(found[1], 16), found.end()
+        if n == 0:
+            return b"".join(parts)
+        parts.append(body[at : at + n])
+        at += n + 2
+        if body[at - 2 : at] != b"\r\n":
+            return None
+    return None
+
+
+def _payload(r: Record) -> tuple[int | None, bytes | None] | None:
+    """Length and bytes of a record's payload; None if the record contradicts what it says of it.
+
+    The payload is the body of an HTTP message without its chunk marks, else the block. A revisit has none, and only
+    its announced length counts. Parts of a payload (truncated or segmented records) are not held against lengths and
+    digests of the whole.
+    """
+    h, kind = r.headers, r.headers.get("warc-type")
+    digest = h.get("warc-payload-digest", "")
+    said = h.get("content-type", "http" if kind in ("response", "revisit") and r.block.startswith(b"HTTP/") else "")
+    http = said.lower().startswith(("application/http", "http")) and kind != "continuation"
+    length, chunked, body = _http(r.block) if http else (None, False, r.block)
+    if kind == "revisit":
+        return length, None
+    joined = _joined(body) if chunked else None
+    payload = body if joined is None else joined
+    if not {"warc-truncated", "warc-segment-number"} & h.keys():
+        if length is not None and length != len(body):
+            return None
+        # writers differ in whether the digest is of the body as it was sent
+        if _differs(digest, payload) and _differs(digest, body):
+            return None
+    return len(payload), payload
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,15 +287,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if isinstance(r, tuple):
                     rows.append((file, *r, "quarantined", None, None, None, None, None, None))
                     continue
-                length, body = _http(r.block)
                 kind, h = r.headers.get("warc-type"), r.headers
-                digest = h.get("warc-payload-digest", "").removeprefix("sha256:")
-                if kind == "response" and (length != len(body) or digest and sha256(body).hexdigest() != digest):
+                found = _payload(r)
+                if found is None:
                     rows.append((file, r.start, r.end, "quarantined", None, None, None, None, None, None))
                     continue
+                digest = h.get("warc-payload-digest", "").removeprefix("sha256:")
                 rows.append((
                     file, r.start, r.end, kind, h.get("warc-record-id"), h.get("warc-target-uri"),
-                    h.get("warc-refers-to"), digest or None, length, body if kind == "response" else None,
+                    h.get("warc-refers-to"), digest or None, *found,
                 ))
                 held += len(r.block)
                 if held > 16 << 20:
@@ -259,7 +310,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     ``file, start, end`` tell where it lay (bytes; in gzip archives the member); ``record_type`` is the record's or
     ``quarantined`` for a gap in which no check passed. ``payload_bytes`` is the full payload's length, also for
-    revisits, whose ``payload`` is null. A task reads one file at a time as a whole; see ``FILE_RECORDS``.
+    revisits that tell it, whose ``payload`` is null. ``payload_digest`` is as written, SHA-256 without its prefix. A task reads one file at a time as a whole; see ``FILE_RECORDS``.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(_read, READ_SCHEMA)
