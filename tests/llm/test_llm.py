@@ -359,3 +359,12 @@ def test_privacy_entities_seen_once(spark):
     assert clean[3] == rows[3][1] and "quuxly" not in clean[None]
     two = table.filter("doc_id in (3, 500)")  # by chance: one document of two
     assert privacy.disclosing_terms(two, privacy.entities(two)).count() == 0
+
+
+def test_line_dedup_short_and_unspaced(spark):
+    han = "版权所有未经许可不得转载本站内容"
+    texts = ["All rights reserved.\nPage 3\none", f"two\nAll rights reserved.\nPage 4\n{han}一二三", f"x\n{han}一九三\nPage 3\n\n"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    text = {r.doc_id: r.text for r in linededup.drop_recurring(table).collect()}
+    assert text == {0: texts[0], 1: f"two\nPage 4\n{han}一二三", 2: "x\n\n"}
+    assert linededup.line_tokens("第3页 ไทย a1".encode()) == [c.encode() for c in ["第", "<*>", "页", "ไ", "ท", "ย", "<*>"]]

@@ -1,10 +1,13 @@
 """Lines that recur from document to document, found as templates in a tree.
 
 The tree has fixed depth: token count, then the leading tokens. Below such a leaf a line belongs to its exact
-sequence of tokens, in which tokens with digits are variable, and, from ``GENERAL_TOKENS`` tokens on, to one template
+sequence of tokens, in which tokens with digits are variable from ``LEAST_TOKENS`` tokens on, and, from ``GENERAL_TOKENS`` tokens on, to one template
 for each of ``FIELDS`` equal stretches of what follows the leading tokens, with that stretch variable. Lines of one
 template differ in the variable fields only. All of a line's templates come from the line alone, so no leaf is ever
 gathered in one place and the order of lines does not matter.
+
+Tokens are cut at white space; in scripts written without it (Chinese, Japanese, Thai, Lao, Burmese, Khmer) each
+character is a token.
 """
 
 from __future__ import annotations
@@ -23,23 +26,30 @@ from wavetally.llm.tables import fresh, saved, small
 #: Leading tokens that are levels of the tree.
 DEPTH = 3
 FIELDS = 4
-#: Shorter lines recur by chance and are left alone.
+#: In shorter lines tokens with digits are not variable, as too little else is left.
 LEAST_TOKENS = 5
 #: Shorter lines have no variable stretch, only variable tokens.
 GENERAL_TOKENS = 10
-_VARIABLE = re.compile(rb"[^\s]*[0-9][^\s]*")
 _DIGIT = re.compile(rb"[0-9]")
+#: One UTF-8 character of a script without spaces: Thai and Lao, Burmese and Khmer, kana and Han.
+_UNSPACED = re.compile(
+    rb"\xe0[\xb8-\xbb][\x80-\xbf]|\xe1[\x80-\x82\x9e\x9f][\x80-\xbf]|[\xe3-\xe9][\x80-\xbf]{2}"
+    rb"|\xef[\xa4-\xab][\x80-\xbf]|\xf0[\xa0-\xbf][\x80-\xbf]{2}"
+)
 
 
 def line_tokens(line: bytes) -> list[bytes]:
-    """The line's tokens; those with digits are ``<*>``."""
-    return (_VARIABLE.sub(b"<*>", line) if _DIGIT.search(line) else line).split()
+    """The line's tokens; those with digits are ``<*>`` unless there are few."""
+    tokens = (line if line.isascii() else _UNSPACED.sub(rb" \g<0> ", line)).split()
+    if len(tokens) < LEAST_TOKENS or not _DIGIT.search(line):
+        return tokens
+    return [b"<*>" if _DIGIT.search(t) else t for t in tokens]
 
 
 def line_templates(tokens: list[bytes]) -> list[bytes]:
-    """The templates of a line as text, exact one first; none if it is too short."""
+    """The templates of a line as text, exact one first; none if it is blank."""
     n = len(tokens)
-    if n < LEAST_TOKENS:
+    if not n:
         return []
     head = b"%d " % n + b" ".join(tokens[:DEPTH])
     rest = tokens[DEPTH:]
