@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from wavetally.llm import decontamination, jaccard, linededup, pieces, quality
 from wavetally.llm.tables import fresh, given, saved
 
+#: The text before lines were dropped, null where none was.
+WHOLE = "text_with_recurring_lines"
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labelled ones, accepts."""
@@ -17,16 +20,24 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier document has; those of which no word is left by that go."""
-    cleaned = linededup.drop_recurring(docs)
+    """Documents without lines that an earlier document has, and ``WHOLE``; those of which no word is left by that go."""
+    cleaned = linededup.drop_recurring(docs.withColumn(WHOLE, F.col("text")))
     dropped = cleaned.columns[-1]
     emptied = (F.col(dropped) > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
-    return cleaned.filter(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
+    kept = cleaned.filter(~F.coalesce(emptied, F.lit(False)))
+    return kept.select(*docs.columns, F.when(F.col(dropped) > 0, F.col(WHOLE)).alias(WHOLE))
 
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: 5-word shingles, similarity from 0.8."""
-    return jaccard.drop_similar(docs)
+    """One document of each group of near copies: 5-word shingles, similarity from 0.8.
+
+    Texts are compared as they were before lines were dropped, as fragments hide copies, and then as they are now.
+    """
+    if WHOLE not in docs.columns:
+        return jaccard.drop_similar(docs)
+    before = docs.withColumns({"text": F.coalesce(WHOLE, "text"), WHOLE: F.col("text")})
+    kept = saved(jaccard.drop_similar(before), "whole")
+    return jaccard.drop_similar(kept.withColumn("text", F.col(WHOLE)).drop(WHOLE))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -368,3 +368,56 @@ def test_line_dedup_short_and_unspaced(spark):
     text = {r.doc_id: r.text for r in linededup.drop_recurring(table).collect()}
     assert text == {0: texts[0], 1: f"two\nPage 4\n{han}一二三", 2: "x\n\n"}
     assert linededup.line_tokens("第3页 ไทย a1".encode()) == [c.encode() for c in ["第", "<*>", "页", "ไ", "ท", "ย", "<*>"]]
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Whole rows of every stage but the classifier, which has no grades here; no copy stays, no clean document goes."""
+    import corpus_pipeline as pipeline
+
+    def lines(key, n):
+        return [" ".join(f"{key}{i}w{k}".translate(str.maketrans("0123456789", "abcdefghij")) for k in range(9)) for i in range(n)]
+
+    base = {k: lines(k, 8) for k in "pqrs"}
+    leak = " ".join(f"leak{c}" for c in "abcdefghijkl")
+    rows = [(i, "\n".join(["Haanth.", *base[k]])) for i, k in enumerate("pqrs")]
+    rows += [(10 + i, rows[i % 4][1]) for i in range(8)]  # exact copies
+    rows += [(30 + i, rows[i % 4][1].replace(base["pqrs"[i % 4]][2], base["pqrs"[i % 4]][2] + f" x{i} new")) for i in range(8)]  # near ones
+    rows += [(50 + i, "\n".join(["Haanth.", *lines(f"clean{'abcdef'[i]}", 4)])) for i in range(6)]
+    rows += [(60, "before " + leak + " after"), (61, "Haanth.")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, leak)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    first = {}
+    for d, text in sorted(rows):
+        for line in text.split("\n"):
+            for t in linededup.line_templates(linededup.line_tokens(line.encode())):
+                first.setdefault(t, d)
+
+    def cleaned(d, text):
+        new = lambda x: all(first[t] == d for t in linededup.line_templates(linededup.line_tokens(x.encode())))
+        return "\n".join(x for x in text.split("\n") if new(x))
+
+    def distinct(given):
+        sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, t in given.items() if (w := t.split())}
+        part = {d: d for d in sets}
+        for a, b in combinations(sorted(sets), 2):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((part[a], part[b]))
+                part = {d: low if p == high else p for d, p in part.items()}
+        return {d for d in given if part.get(d, d) == d}
+
+    whole = dict(rows)
+    after = {d: c for d, t in rows if (c := cleaned(d, t)).strip()}
+    left = distinct({d: whole[d] for d in after})
+    left = distinct({d: after[d] for d in left})
+    want = [whole, after, {d: after[d] for d in left}, {d: after[d] for d in left if leak not in after[d]}]
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for (name, stage), expected in zip(pipeline.STAGES, want):
+        docs = pipeline.saved(stage(spark, docs, str(tmp_path)), name)
+        assert sorted((r.doc_id, r.text) for r in docs.collect()) == sorted(expected.items()), name
+    model = pieces.read_model()
+    tokens = pieces.decode_ids(pipeline.run(spark, str(tmp_path)), model).collect()
+    assert sorted((r.doc_id, r.text) for r in tokens) == sorted(want[-1].items())
+    # one of each group of exact and near copies of the original texts, and every clean document
+    assert set(want[-1]) == {0, 1, 2, 3, *range(50, 56)}
