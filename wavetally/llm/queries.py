@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavetally.llm import decontamination, jaccard, linededup, pieces, privacy, quality, sharding, topk, urls, warc
+from wavetally.llm import (
+    decontamination,
+    fingerprints,
+    jaccard,
+    linededup,
+    pieces,
+    privacy,
+    quality,
+    sharding,
+    topk,
+    urls,
+    variants,
+    warc,
+    whitening,
+)
 from wavetally.llm.tables import given
 from wavetally.session import scratch_dir
 
@@ -145,3 +159,21 @@ def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
 def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
     """SQL has no CRC-32; a test compares with a brute-force version."""
     return sharding.assign_shards(given(spark, sf, "documents"), shards=24)
+
+
+@query("op11_spelling_variants")
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """SQL has no CRC-32; a test compares with all pairs of words."""
+    return variants.variants(given(spark, sf, "documents"))
+
+
+@query("op12_fingerprints")
+def op12_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """SQL draws no lexicons; a test compares with a plain version and measures likeness of copies."""
+    return fingerprints.fingerprints(given(spark, sf, "documents"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """SQL has no eigenvectors; a test compares with a dense solver."""
+    return whitening.whiten(given(spark, sf, "embeddings"))
