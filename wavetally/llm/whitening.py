@@ -161,19 +161,17 @@ def _twisted(diagonal: np.ndarray, above: np.ndarray, value: float) -> Iterator[
 def _vectors(diagonal: np.ndarray, above: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Columns: right singular vectors of the bidiagonal matrix, orthogonal also where values nearly coincide.
 
-    Vectors of well separated values are orthogonal by themselves. Those of close ones are made so against the ones
-    before; where little is left of one, the next best twist is tried.
+    Vectors of well separated values are nearly orthogonal by themselves; what they hold of the ones before is taken
+    out. Where little is left of one, as may be with close values, the next best twist is tried.
     """
     n = len(diagonal)
     out = np.zeros((n, len(values)))
     for j, value in enumerate(values):
-        close = [i for i in range(j) if values[i] - value <= 1e-3 * values[i]]
         units = (np.eye(n)[i] for i in range(n))
         for z in chain(_twisted(diagonal, above, value), units):
             whole = z
             for _ in range(2):
-                for i in close:
-                    whole = whole - out[:, i] * (out[:, i] @ whole)
+                whole = whole - out[:, :j] @ (out[:, :j].T @ whole)
             norm = np.sqrt(whole @ whole)
             if norm > 0.1:
                 out[:, j] = whole / norm
