@@ -65,43 +65,47 @@ def line_templates(tokens: list[bytes]) -> list[bytes]:
 def _lines(kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lines, templates = [], [], []
+            ids, own, lines, templates = [], [], [], []
 
             def rows():
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(ids, kind), pa.array(lines, pa.int32()), pa.array(templates, pa.int64())],
-                    names=["doc_id", "line", "template"],
-                )
+                columns = [pa.array(ids, kind), pa.array(own, pa.int64()), pa.array(lines, pa.int32()), pa.array(templates, pa.int64())]
+                return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "line", "template"])
 
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            hashes = batch.column("text_hash").to_pylist()
+            for doc_id, h, text in zip(batch.column("doc_id").to_pylist(), hashes, batch.column("text")):
                 for i, line in enumerate((text.as_py() or b"").split(b"\n")):
                     for t in line_templates(line_tokens(line)):
                         ids.append(doc_id)
+                        own.append(h)
                         lines.append(i)
                         templates.append(xxh3_64_intdigest(t) - (1 << 63))
                 if len(ids) > 100_000:
                     yield rows()
-                    ids, lines, templates = [], [], []
+                    ids, own, lines, templates = [], [], [], []
             yield rows()
 
     return run
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, lines ARRAY<INT>``: the lines (from 0, cut at newlines) of each document to drop.
+    """``doc_id, text_hash, lines ARRAY<INT>``: the lines (from 0, cut at newlines) of each document's text to drop.
 
     A line goes if one of its templates also occurs in a document of smaller id; the first document with a template
-    keeps it. Documents are told apart by id: rows of one id count as one document, rows without an id have no part.
+    keeps it. Documents are told apart by id, so rows of one id keep what recurs among themselves only; line numbers
+    belong to a text (its ``xxhash64``), as such rows may hold different ones. Rows without an id have no part.
     Templates meet in an aggregate (first and last id of each) and a join on 64-bit hashes, both of which Spark
     splits for hot templates; a document's lines to drop are gathered per document.
     """
     kind = pa.int32() if dict(docs.dtypes)["doc_id"] == "int" else pa.int64()
-    narrow = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text"))
-    rows = narrow.mapInArrow(_lines(kind), f"doc_id {dict(docs.dtypes)['doc_id']}, line int, template bigint")
+    narrow = docs.filter(F.col("doc_id").isNotNull()).select(
+        "doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text")
+    )
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash bigint, line int, template bigint"
+    rows = narrow.mapInArrow(_lines(kind), schema)
     span = rows.groupBy("template").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     shared = span.filter("first < last").select("template", "first")
     again = rows.join(shared, "template").filter("doc_id > first")
-    return again.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    return again.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
 def _without(texts: pd.Series, lines: pd.Series) -> pd.Series:
@@ -119,15 +123,15 @@ def drop_recurring(docs: DataFrame, name: str = "dropped") -> DataFrame:
     """``docs`` without its recurring lines in ``text``, and a last column with their number.
 
     That column is called ``name`` (underscores lead it where that is taken). Null texts stay null; all rows stay,
-    also those of which nothing is left. The lists of lines go to every executor if their number is within a bound,
+    also those of which nothing is left. The lists of lines go to every executor if their size is within a bound,
     else documents and lists meet in a shuffle.
     """
     name = fresh(docs, name)
     lists = saved(recurring_lines(docs), "lines")
-    size = lists.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
-    key = fresh(docs, "of")
-    gone = fresh(docs, "gone")
-    found = lists.select(F.col("doc_id").alias(key), F.col("lines").alias(gone))
-    joined = docs.join(small(found, size), docs["doc_id"] == F.col(key), "left").drop(key)
+    size = lists.agg(F.coalesce(F.sum(24 + 4 * F.size("lines")), F.lit(0))).first()[0]
+    key, own, gone = (fresh(docs, n) for n in ("of", "own", "gone"))
+    found = lists.select(F.col("doc_id").alias(key), F.col("text_hash").alias(own), F.col("lines").alias(gone))
+    same = (docs["doc_id"] == F.col(key)) & (F.xxhash64(docs["text"]) == F.col(own))
+    joined = docs.join(small(found, size), same, "left").drop(key, own)
     without = F.pandas_udf(_without, "string")
     return joined.withColumns({"text": without("text", gone), name: F.coalesce(F.size(gone), F.lit(0)).cast("bigint")}).drop(gone)

@@ -23,8 +23,10 @@ MARKER = "▁"
 _LITERAL = "\ud800"
 #: Words up to this length are segmented together; longer ones, such as text without spaces, one by one.
 SHORT = 48
-#: A worker remembers between one and two times so many words, some 60 to 120 MB.
-REMEMBERED = 300_000
+#: Words of one task are remembered up to so many bytes of words and ids, then all are forgotten.
+REMEMBERED = 20_000_000
+#: What a remembered word takes besides its letters and ids: objects and its place in the dictionary.
+_OVERHEAD = 200
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -35,7 +37,6 @@ class Model:
     byte_ids: list[int]  # of the 256 byte pieces
     text_ids: list[int]  # of pieces that are text
     trie: Trie = field(init=False)
-    encoder: Encoder | None = field(init=False, default=None)
 
     def __post_init__(self):
         self.trie = Trie([(self.pieces[i], i) for i in self.text_ids])
@@ -235,31 +236,36 @@ def _backward(model: Model, words, starts, lens, ids) -> list[bytes]:
 # runs of markers with the text up to the next: no piece crosses such a cut
 _WORD = re.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+")
 #: Characters that are segmented in one go; they bound a worker's memory.
-_PORTION = 250_000
+_PORTION = 50_000
 
 
 class Encoder:
-    """Encodes texts and remembers the words it has met; words not met for a while are forgotten."""
+    """Encodes texts and remembers the words it has met, within a bound of bytes."""
 
     def __init__(self, model: Model):
         self.model = model
         self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def _learn(self, words: Iterable[str]) -> None:
+        def add(todo: list[str]) -> None:
+            ids = segment(self.model, todo)
+            self.known.update(zip(todo, ids))
+            self.held += sum(_OVERHEAD + len(w) + len(i) for w, i in zip(todo, ids))
+
         todo, size = [], 0
         for w in words:
             todo.append(w)
             size += len(w)
             if size > _PORTION:
-                self.known.update(zip(todo, segment(self.model, todo)))
+                add(todo)
                 todo, size = [], 0
         if todo:
-            self.known.update(zip(todo, segment(self.model, todo)))
+            add(todo)
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray | None]:
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
+        if self.held > REMEMBERED:
+            self.known, self.held = {}, 0
         cut: list[list[str] | None] = []
         new: set[str] = set()
         for text in texts:
@@ -271,9 +277,6 @@ class Encoder:
             cut.append(words)
             new.update(words)
         new.difference_update(self.known)
-        again = self.older.keys() & new
-        self.known.update((w, self.older[w]) for w in again)
-        new -= again
         self._learn(w for w in new if len(w) <= SHORT)
         self._learn(w for w in new if len(w) > SHORT)
         get = self.known.__getitem__
@@ -324,8 +327,7 @@ def encode_texts(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        # kept with the broadcast model, and so from task to task of a worker
-        m.encoder = encoder = m.encoder or Encoder(m)
+        encoder = Encoder(m)
         is_byte = np.zeros(len(m.pieces), bool)
         is_byte[m.byte_ids] = True
         for batch in batches:

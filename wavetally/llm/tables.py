@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from wavetally.session import scratch_dir
 
-#: An id list of at most so many rows (16 MB of numbers) may be sent to every executor; longer ones are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: A table of at most so many bytes may be sent to every executor; larger ones are shuffled.
+BROADCAST_BYTES = 16_000_000
 
 
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,13 +26,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(table: DataFrame, rows: int | None = None) -> DataFrame:
-    """A saved ``table`` with a broadcast hint if its rows, counted here unless given, stay below the bound.
+def small(table: DataFrame, size: int | None = None) -> DataFrame:
+    """A saved ``table`` with a broadcast hint if its bytes, measured here as JSON unless given, stay below the bound.
 
     Either way a join gives the same rows; beyond the bound Spark shuffles both sides.
     """
-    n = table.count() if rows is None else rows
-    return F.broadcast(table) if n <= BROADCAST_ROWS else table
+    if size is None:
+        size = table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
 
 
 def fresh(df: DataFrame, name: str) -> str:

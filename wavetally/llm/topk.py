@@ -164,7 +164,7 @@ def _packed(vectors: DataFrame, rows: int, make, name: str) -> tuple[DataFrame,
     order = Window.partitionBy(F.lit(0)).orderBy("no")  # a row for each pack, numbers only
     dense = packs.select("no").withColumn("rank", F.row_number().over(order).cast("int") - 1)
     n = dense.count()
-    return packs.join(small(dense, n), "no").select(F.col("rank").alias("no"), "pack"), n
+    return packs.join(small(dense, 16 * n), "no").select(F.col("rank").alias("no"), "pack"), n
 
 
 def _cell(k: int):
