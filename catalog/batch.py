@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,7 @@ from wavetally.operators.pairing import (
 )
 from wavetally.operators.similarity import sim_r
 from wavetally.plans.batch import ASR_METRICS, Evaluation, score_signals, score_transcripts
+from wavetally.plans.isolation import isolated
 from wavetally.plans.corpus import evaluate_corpus
 from wavetally.plans.sweep import evaluate_sweep, sweep_requests
 
@@ -70,6 +72,25 @@ def pair_status(spark: SparkSession, sf: str) -> DataFrame:
     return pair(refs, preds, "sample_idx")
 
 
+@query(
+    "pair_repeated",
+    """WITH r AS (SELECT l_partkey AS part, l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R'),
+p AS (SELECT l_partkey AS part, l_suppkey FROM lineitem WHERE l_returnflag = 'A'),
+again AS (SELECT part FROM r GROUP BY part HAVING count(*) > 1 UNION SELECT part FROM p GROUP BY part HAVING count(*) > 1)
+SELECT part, l_orderkey, l_linenumber, l_suppkey,
+       CASE WHEN l_suppkey IS NULL THEN 'missing_prediction' WHEN l_orderkey IS NULL THEN 'missing_reference' ELSE 'ok' END AS status
+FROM (SELECT * FROM r ANTI JOIN again USING (part)) FULL JOIN (SELECT * FROM p ANTI JOIN again USING (part)) USING (part)
+UNION ALL SELECT part, l_orderkey, l_linenumber, NULL, 'duplicate_key' FROM r SEMI JOIN again USING (part)
+UNION ALL SELECT part, NULL, NULL, l_suppkey, 'duplicate_key' FROM p SEMI JOIN again USING (part)""",
+)
+def pair_repeated(spark: SparkSession, sf: str) -> DataFrame:
+    """Returned and accepted lines of a part as the two sides: most keys repeat, and their rows do not multiply."""
+    lines = table(spark, sf, "lineitem").withColumnRenamed("l_partkey", "part")
+    refs = lines.where("l_returnflag = 'R'").select("part", "l_orderkey", "l_linenumber")
+    preds = lines.where("l_returnflag = 'A'").select("part", "l_suppkey")
+    return pair(refs, preds, "part", flag_duplicates=True)
+
+
 @query(
     "rejected_samples",
     """SELECT CASE WHEN doc_id IS NULL THEN 'missing_prediction' ELSE 'missing_reference' END AS status, count(*) AS samples
@@ -212,6 +233,35 @@ def batch_eval(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "infer_errors",
+    f"""{BOTH_SQL}
+SELECT c.conv_id, c.turn, CASE WHEN c.conv_id % 5 = 3 THEN NULL ELSE round(cer, 6) END AS cer,
+       CASE WHEN c.conv_id % 5 = 3 THEN NULL ELSE round(wer, 6) END AS wer,
+       CASE WHEN c.conv_id % 5 = 3 THEN 'inference_error' WHEN r.conv_id IS NULL THEN 'missing_prediction' ELSE 'ok' END AS status,
+       CASE WHEN c.conv_id % 5 = 3 THEN 'ValueError: no audio for ' || c.conv_id || '-' || c.turn END AS inference_error
+FROM conversations c LEFT JOIN rates r USING (conv_id, turn)""",
+)
+def infer_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """A job that raises on every fifth conversation; all other turns are scored."""
+
+    def transcribe(requests: pa.Table) -> pa.Table:
+        for conv_id, turn in zip(*(requests.column(c).to_pylist() for c in TURN)):
+            if conv_id % 5 == 3:
+                raise ValueError(f"no audio for {conv_id}-{turn}")
+        return requests
+
+    job = isolated(transcribe, "conv_id bigint, turn bigint, hyp string", TURN)
+
+    def infer(requests: DataFrame) -> DataFrame:
+        # the model's answer to a turn is the next one; where there is none it still sees the turn and may raise
+        heard = requests.select(*TURN).join(turn_preds(spark, sf), TURN, "left")
+        return heard.transform(job).where(F.col("hyp").isNotNull() | F.col("inference_error").isNotNull())
+
+    scores = Evaluation(score_transcripts, infer=infer).batch(turn_samples(spark, sf), key=TURN)
+    return scores.select(*TURN, *[rounded(m).alias(m) for m in ASR_METRICS], "status", "inference_error")
+
+
 @query(
     "tts_scores",
     """WITH s AS (

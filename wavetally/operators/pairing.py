@@ -13,6 +13,8 @@ MISSING_PREDICTION = "missing_prediction"
 MISSING_REFERENCE = "missing_reference"
 RATE_MISMATCH = "rate_mismatch"
 DUPLICATE_KEY = "duplicate_key"
+#: Also the column in which a job reports what it raised on a sample.
+INFERENCE_ERROR = "inference_error"
 
 
 def as_list(cols: str | Sequence[str]) -> list[str]:
@@ -34,44 +36,49 @@ def pair(
 ) -> DataFrame:
     """Join on ``key`` with a ``status`` for each row.
 
-    The key is unique on each side. With ``flag_duplicates``, rows of a key that
-    a side holds more than once are rejected as such; keys are counted apart
-    from their payload. Without ``keep_unmatched`` only pairs remain. How the
+    The key is unique on each side. With ``flag_duplicates``, keys that either
+    side holds more than once are taken out before the join: each of their rows,
+    of both sides, is a rejected row of its own, so that they never multiply.
+    Without ``keep_unmatched`` only pairs (and such rejected rows) remain. How the
     sides meet is Spark's choice: a small one is broadcast, skewed partitions
     of an inner join are split, and tables bucketed by ``key`` are joined as
     they lie. With ``keep_unmatched`` one join covers matched and unmatched keys.
     """
     on = as_list(key)
     refuse_clash([c for c in refs.columns if c not in on], [c for c in preds.columns if c not in on])
-    left, right = refs, preds
     if flag_duplicates:
-        left, right = _mark_repeated(refs, on, "_ref_again"), _mark_repeated(preds, on, "_pred_again")
+        return _pair_unique(refs, preds, on, keep_unmatched)
     if not keep_unmatched:
-        return _flag_repeated(left.join(right, on).withColumn("status", F.lit(OK)))
+        return refs.join(preds, on).withColumn("status", F.lit(OK))
     status = (
         F.when(F.col("_in_preds").isNull(), F.lit(MISSING_PREDICTION))
         .when(F.col("_in_refs").isNull(), F.lit(MISSING_REFERENCE))
         .otherwise(F.lit(OK))
     )
-    joined = (
-        left.withColumn("_in_refs", F.lit(True))
-        .join(right.withColumn("_in_preds", F.lit(True)), on, "full_outer")
+    return (
+        refs.withColumn("_in_refs", F.lit(True))
+        .join(preds.withColumn("_in_preds", F.lit(True)), on, "full_outer")
         .withColumn("status", status)
         .drop("_in_refs", "_in_preds")
     )
-    return _flag_repeated(joined)
 
 
-def _mark_repeated(side: DataFrame, on: Sequence[str], out: str) -> DataFrame:
-    repeated = side.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return side.join(repeated.select(*on, F.lit(True).alias(out)), on, "left")
+def _repeated(side: DataFrame, on: Sequence[str], out: str) -> DataFrame:
+    """Keys that a side holds more than once; only keys are read, and counted before they move."""
+    counts = side.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return counts.select(*on, F.lit(True).alias(out))
 
 
-def _flag_repeated(pairs: DataFrame) -> DataFrame:
-    if "_ref_again" not in pairs.columns:
-        return pairs
+def _pair_unique(refs: DataFrame, preds: DataFrame, on: Sequence[str], keep_unmatched: bool) -> DataFrame:
+    # lists of keys have each once: a hot key's rows are spread by the planner, and all joins are by the key alone
+    lists = _repeated(refs, on, "_ref_again"), _repeated(preds, on, "_pred_again")
+    marked = [side.join(lists[0], on, "left").join(lists[1], on, "left") for side in (refs, preds)]
     again = F.coalesce("_ref_again", "_pred_again", F.lit(False))
-    return flag(pairs, {DUPLICATE_KEY: again}).drop("_ref_again", "_pred_again")
+    once, rejected = ([m.where(c).drop("_ref_again", "_pred_again") for m in marked] for c in (~again, again))
+    pairs = pair(*once, on, keep_unmatched)
+    for side in rejected:
+        pairs = pairs.unionByName(side.withColumn("status", F.lit(DUPLICATE_KEY)), allowMissingColumns=True)
+    return pairs
 
 
 def flag(df: DataFrame, reasons: Mapping[str, Column]) -> DataFrame:

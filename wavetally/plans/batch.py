@@ -11,6 +11,7 @@ from wavetally.operators.error_rates import error_rates
 from wavetally.operators.frames import cepstra, onset_envelope
 from wavetally.operators.memo import build_requests
 from wavetally.operators.pairing import (
+    INFERENCE_ERROR,
     MISSING_PREDICTION,
     MISSING_REFERENCE,
     as_list,
@@ -100,7 +101,10 @@ def evaluate_batch(
     ``request`` column) to (key, prediction...), e.g. a ``mapInPandas`` around a
     model. ``decode`` does the same for samples without a text. ``score`` turns
     pairs into metric columns. A sample with several predictions, or several
-    samples of one key, are rejected as ``duplicate_key``.
+    samples of one key, are rejected as ``duplicate_key``. A job may report in a
+    column ``inference_error`` what went wrong with a sample, as those of
+    :func:`wavetally.plans.isolation.isolated` do; such samples are rejected under that
+    name, and the message stays.
     """
     on = as_list(key)
     if predictions is None:
@@ -114,6 +118,8 @@ def evaluate_batch(
     if differing:
         raise ValueError(f"predictions have other types for {differing}")
     pairs = pair(samples, predictions, on, flag_duplicates=True)
+    if INFERENCE_ERROR in predictions.columns:
+        pairs = flag(pairs, {INFERENCE_ERROR: F.col(INFERENCE_ERROR).isNotNull()})
     return with_batch_metadata(score(pairs), batch_metadata or {})
 
 
