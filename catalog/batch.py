@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 from catalog.registry import query, rounded, table
 from catalog.text import BOTH_SQL, PAIRS_SQL, TURN, turn_preds
 from wavetally.functions.text import run_stamp
-from wavetally.operators.frames import onset_envelope
 from wavetally.operators.memo import HASH, memo_merge, memo_split, with_request_hash
 from wavetally.operators.ordering import index_range, index_within, seeded_sample
 from wavetally.operators.pairing import (
@@ -21,8 +20,7 @@ from wavetally.operators.pairing import (
     with_batch_metadata,
     with_sample_metadata,
 )
-from wavetally.operators.similarity import sim_r
-from wavetally.plans.batch import ASR_METRICS, Evaluation, score_signals, score_transcripts
+from wavetally.plans.batch import ASR_METRICS, Evaluation, frame_metrics, score_signals, score_transcripts
 from wavetally.plans.isolation import isolated
 from wavetally.plans.corpus import evaluate_corpus
 from wavetally.plans.sweep import evaluate_sweep, sweep_requests
@@ -271,23 +269,46 @@ p AS (SELECT a.vec_id, a.i, a.v AS r, b.v AS e FROM u a JOIN u b ON b.vec_id = a
 sdr AS (
   SELECT p.vec_id, 10 * log10(sum(a * r * a * r) / sum((e - a * r) * (e - a * r))) AS si_sdr
   FROM p JOIN (SELECT vec_id, sum(r * e) / sum(r * r) AS a FROM p GROUP BY vec_id) q USING (vec_id) GROUP BY p.vec_id),
-d AS (SELECT vec_id, i, greatest(0, r - lag(r) OVER w) AS r, greatest(0, e - lag(e) OVER w) AS e
-      FROM p WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
-env AS (SELECT vec_id, i, CASE WHEN i = 1 THEN 0.0 ELSE r END AS r, CASE WHEN i = 1 THEN 0.0 ELSE e END AS e FROM d),
-rhythm AS (SELECT vec_id, covar_pop(r, e) / (stddev_pop(r) * stddev_pop(e)) AS sim_r FROM env GROUP BY vec_id)
-SELECT a.vec_id AS sample_idx, CAST(NULL AS DOUBLE) AS pesq, CAST(NULL AS DOUBLE) AS stoi,
+f AS (SELECT vec_id, i - 1 AS frame, b, list_aggregate(x[i:i + b], 'sum') / (b + 1) AS v
+      FROM s, range(1, 62) AS fs(i), range(4) AS bs(b)),
+fp AS (SELECT r.vec_id, r.frame, r.b, r.v AS r, e.v AS e
+       FROM f r JOIN f e ON e.vec_id = r.vec_id + 1 AND e.frame = r.frame AND e.b = r.b),
+rise AS (SELECT vec_id, frame, b, greatest(0, r - lag(r) OVER w) AS r, greatest(0, e - lag(e) OVER w) AS e
+         FROM fp WINDOW w AS (PARTITION BY vec_id, b ORDER BY frame)),
+env AS (SELECT vec_id, frame, CASE WHEN frame = 0 THEN 0.0 ELSE avg(r) END AS r,
+               CASE WHEN frame = 0 THEN 0.0 ELSE avg(e) END AS e FROM rise GROUP BY vec_id, frame),
+rhythm AS (SELECT vec_id, covar_pop(r, e) / (stddev_pop(r) * stddev_pop(e)) AS sim_r FROM env GROUP BY vec_id),
+basis AS (SELECT k, b, sqrt(0.5) * CASE WHEN k = 0 THEN sqrt(0.5) ELSE 1.0 END * cos(pi() * k * (2 * b + 1) / 8) AS w
+          FROM range(4) AS ks(k), range(4) AS bs(b)),
+cep AS (SELECT vec_id, frame, k, sum(v * w) AS c FROM f JOIN basis USING (b) GROUP BY vec_id, frame, k),
+z AS (SELECT vec_id, frame, k, (c - avg(c) OVER (PARTITION BY vec_id)) / (stddev_pop(c) OVER (PARTITION BY vec_id) + 1e-8) AS c
+      FROM cep),
+cosine AS (
+  SELECT r.vec_id, r.frame, sum(r.c * e.c) / (sqrt(sum(r.c * r.c)) * sqrt(sum(e.c * e.c)) + 1e-8) AS v
+  FROM z r JOIN z e ON e.vec_id = r.vec_id + 1 AND e.frame = r.frame AND e.k = r.k GROUP BY r.vec_id, r.frame),
+spectrum AS (SELECT vec_id, avg(v) AS sim_o FROM cosine GROUP BY vec_id),
+seg AS (SELECT l.vec_id, l.b, l.frame AS last, abs(m.r) AS x, abs(m.e) AS y
+        FROM fp l JOIN fp m ON m.vec_id = l.vec_id AND m.b = l.b AND m.frame BETWEEN l.frame - 29 AND l.frame WHERE l.frame >= 29),
+scale AS (SELECT vec_id, b, last, sqrt(sum(x * x)) / sqrt(sum(y * y)) AS a FROM seg GROUP BY vec_id, b, last),
+rho AS (SELECT vec_id, b, last, covar_pop(x, least(a * y, x * (1 + pow(10, 0.75)))) / nullif(
+                 stddev_pop(x) * stddev_pop(least(a * y, x * (1 + pow(10, 0.75)))), 0) AS r
+        FROM seg JOIN scale USING (vec_id, b, last) GROUP BY vec_id, b, last),
+clear AS (SELECT vec_id, avg(r) AS stoi FROM rho GROUP BY vec_id)
+SELECT a.vec_id AS sample_idx, CAST(NULL AS DOUBLE) AS pesq,
+       CASE WHEN a.label % 2 = b.label % 2 THEN round(stoi, 6) + 0.0 END AS stoi,
        CASE WHEN a.label % 2 = b.label % 2 THEN round(si_sdr, 6) + 0.0 END AS si_sdr,
-       CAST(NULL AS DOUBLE) AS sim_o,
+       CASE WHEN a.label % 2 = b.label % 2 THEN round(sim_o, 6) + 0.0 END AS sim_o,
        CASE WHEN a.label % 2 = b.label % 2 THEN round(sim_r, 6) + 0.0 END AS sim_r,
        CASE WHEN b.vec_id IS NULL THEN 'missing_prediction'
             WHEN a.label % 2 <> b.label % 2 THEN 'rate_mismatch' ELSE 'ok' END AS status
-FROM s a LEFT JOIN s b ON b.vec_id = a.vec_id + 1
-         LEFT JOIN sdr ON sdr.vec_id = a.vec_id LEFT JOIN rhythm ON rhythm.vec_id = a.vec_id""",
+FROM s a LEFT JOIN s b ON b.vec_id = a.vec_id + 1 LEFT JOIN sdr ON sdr.vec_id = a.vec_id
+         LEFT JOIN rhythm ON rhythm.vec_id = a.vec_id LEFT JOIN spectrum ON spectrum.vec_id = a.vec_id
+         LEFT JOIN clear ON clear.vec_id = a.vec_id""",
 )
 def tts_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Each vector against the next id; odd labels count as 24 kHz, even ones as 16 kHz.
 
-    Read as an envelope of 64 frames, a vector also has a rhythm.
+    For the frame scores a vector has 61 frames: the means of one, two, three and four values from there on are its bands.
     """
     x = F.col("embedding").cast("array<double>")
     rate = (16000 + 8000 * (F.col("label") % 2)).cast("int")
@@ -300,16 +321,18 @@ def tts_scores(spark: SparkSession, sf: str) -> DataFrame:
     def decode(requests: DataFrame) -> DataFrame:
         return ests.join(requests.select("sample_idx"), "sample_idx", "left_semi")
 
-    def envelope(df: DataFrame, signal: str) -> DataFrame:
-        steps = df.select("sample_idx", F.posexplode(signal).alias("frame", "v"))
-        return onset_envelope(steps.select("sample_idx", "frame", F.array("v").alias("values")), "sample_idx")
+    def bands(signal: str, i) -> list:
+        sums = [F.get(signal, i + b) for b in range(4)]
+        return F.array(*[sum(sums[1 : b + 1], sums[0]) / F.lit(float(b + 1)) for b in range(4)])
 
-    rhythm = sim_r(envelope(samples, "ref"), envelope(ests, "est"), "sample_idx")
-    evaluation = Evaluation(lambda pairs: score_signals(pairs, {"sim_r": rhythm}), decode=decode)
-    scores = evaluation.batch(samples)
-    return scores.select(
-        "sample_idx", "pesq", "stoi", rounded("si_sdr").alias("si_sdr"), "sim_o", rounded("sim_r").alias("sim_r"), "status"
-    )
+    def frames(df: DataFrame, signal: str) -> DataFrame:
+        rows = F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: bands(signal, i))
+        return df.select("sample_idx", F.posexplode(rows).alias("frame", "values"))
+
+    extra = frame_metrics(frames(samples, "ref"), frames(ests, "est"))
+    scores = Evaluation(lambda pairs: score_signals(pairs, extra), decode=decode).batch(samples)
+    metrics = [rounded(m).alias(m) for m in ("stoi", "si_sdr", "sim_o", "sim_r")]
+    return scores.select("sample_idx", "pesq", *metrics, "status")
 
 
 @query(

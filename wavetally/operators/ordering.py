@@ -2,59 +2,92 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.feature import Bucketizer
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wavetally.operators.pairing import as_list
 from wavetally.session import shuffle_partitions
 
 
-MAX_BUCKETS = 4096  # bounds the list of ranges that reaches the driver
+_RUN = ["_part", "_row", "_run"]
 
 
-def _with_key_bucket(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    """Add ``_bucket``: equal-frequency ranges of a numeric key, in key order, null keys first."""
-    ranked = df.withColumn("_rank", F.col(key).cast("double"))
-    inner = (
-        ranked.approxQuantile("_rank", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))
-        if buckets > 1
-        else []
-    )
-    if not inner:
-        return ranked.withColumn("_bucket", F.lit(0)).drop("_rank")
-    splits = [float("-inf"), *sorted(set(inner)), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="_rank", outputCol="_cut", handleInvalid="keep")
-    return cut.transform(ranked).withColumn("_bucket", F.coalesce(F.col("_cut").cast("int"), F.lit(-1))).drop("_rank", "_cut")
+def _numbered(group: Sequence[str]):
+    """Adds the partition, the row's number in it, and that of the first row of its run of equal groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rows, start, last = TaskContext.get().partitionId(), 0, 0, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            own = pa.table([batch.column(g) for g in group], names=list(group))
+            before = own.slice(0, 1) if last is None else last
+            shifted = pa.concat_tables([before, own.slice(0, n - 1)])
+            new = np.zeros(n, bool)
+            for g in group:
+                x, y = own.column(g), shifted.column(g)
+                # unequal, or only one of them null
+                differs = pc.fill_null(pc.not_equal(x, y), False).to_numpy()
+                new |= differs | (x.is_null().to_numpy() != y.is_null().to_numpy())
+            numbers = rows + np.arange(n)
+            starts = np.maximum.accumulate(np.where(new, numbers, start))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(numbers), pa.array(starts)],
+                names=[*batch.schema.names, *_RUN],
+            )
+            rows, start, last = rows + n, int(starts[-1]), own.slice(n - 1)
+
+    return run
 
 
 def index_within(
     df: DataFrame, group: str | Sequence[str], key: str, out: str = "idx", buckets: int | None = None
 ) -> DataFrame:
-    """Zero-based position of each row within its group, ordered by ``key``.
+    """Zero-based position of each row within its group, ordered by ``key``, nulls first.
 
-    ``key`` is numeric and unique within the group. Rows are numbered inside
-    ranges of the key and the sizes of the earlier ranges are added, so a group
-    that holds a large share of the table is sorted by many tasks. Finding the
-    ranges reads the key column once, when the plan is built.
+    ``key`` is unique within the group. Rows are sorted in one range shuffle by
+    group and key, so a large group fills several partitions, and numbered as
+    they pass. Every partition reports its rows, its first and its last run of a
+    group, a single row each; where a group goes on from the partition before, what
+    that held of it is added. Nothing runs when the plan is built.
     """
     on = as_list(group)
-    n = buckets or min(shuffle_partitions(df.sparkSession), MAX_BUCKETS)
-    bucketed = _with_key_bucket(df, key, n)
-    sizes = bucketed.groupBy(*on, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    earlier = Window.partitionBy(*on).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *on, "_bucket", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before")
+    n = buckets or shuffle_partitions(df.sparkSession)
+    ranged = df.repartitionByRange(n, *on, key).sortWithinPartitions(*on, key)
+    schema = T.StructType(
+        [*df.schema, T.StructField("_part", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in _RUN[1:])]
+    )
+    numbered = ranged.mapInArrow(_numbered(on), schema)
+    same = F.struct(*on)
+    parts = numbered.groupBy("_part").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.min_by(same, "_row").alias("_first"),
+        F.max_by(same, "_row").alias("_last"),
+        F.max("_run").alias("_start"),
+    )
+    in_order = Window.partitionBy(F.lit(0)).orderBy("_part")  # a row for each partition
+    ahead = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    goes_on = F.coalesce(F.col("_first").eqNullSafe(F.lag("_last").over(in_order)), F.lit(False))
+    placed = parts.select(
+        "_part", "_start", goes_on.alias("_goes_on"), F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_ahead")
     )
-    local = F.row_number().over(Window.partitionBy(*on, "_bucket").orderBy(key)) - 1
-    return (
-        bucketed.withColumn("_local", local)
-        .join(offsets, [*on, "_bucket"])
-        .withColumn(out, F.col("_before") + F.col("_local"))
-        .drop("_bucket", "_before", "_local")
+    # where, over all rows, the partition's last run began; unknown if it has been going on since an earlier partition
+    began = F.when(~F.col("_goes_on") | (F.col("_start") > 0), F.col("_ahead") + F.col("_start"))
+    carried = placed.withColumn("_began", began).select(
+        F.col("_part").alias("_of"),
+        F.when(F.col("_goes_on"), F.col("_ahead") - F.last("_began", ignorenulls=True).over(ahead)).alias("_earlier"),
     )
+    earlier = F.when(F.col("_run") == 0, F.coalesce("_earlier", F.lit(0))).otherwise(F.lit(0))
+    joined = numbered.join(F.broadcast(carried), numbered["_part"] == F.col("_of"))
+    return joined.withColumn(out, F.col("_row") - F.col("_run") + earlier).select(*df.columns, out)
 
 
 def index_range(df: DataFrame, key: str, lo: int, hi: int) -> DataFrame:
@@ -66,23 +99,29 @@ def sample_order(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
-def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+def sample_keys(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """The ``n`` keys that come first in the order of a seeded hash, from one read of the key column.
+
+    Each task keeps its ``n`` smallest hashes, and so does each of a number of groups of tasks, before the last
+    ones meet: nothing but ``n`` rows of a key and a hash leaves a task or a group.
+    """
+    hashed = df.select(sample_order(key, seed).alias("_h"), key)
+    groups = shuffle_partitions(df.sparkSession)
+    # the hash's end deals tasks' survivors out; Spark cuts each task's group to n rows before it moves
+    place = F.row_number().over(Window.partitionBy("_group").orderBy("_h", key))
+    dealt = hashed.withColumn("_group", F.conv(F.right("_h", F.lit(8)), 16, 10).cast("bigint") % groups)
+    fewer = dealt.withColumn("_place", place).where(F.col("_place") <= n)
+    return fewer.orderBy("_h", key).limit(n).select(key)
+
+
+def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42, fetch: bool = False) -> DataFrame:
     """The ``n`` rows that come first in the order of a seeded hash of ``key``.
 
     The same rows come back for any partitioning, file order or retry; ``key``
-    is unique. Only keys are ranked, and only those of one hash prefix: counts
-    per prefix (at most 65,536 rows) tell in which the n-th hash lies, the limit
-    for the full rows. Wide rows are filtered where they are read and never
-    sorted.
+    is unique. The table is read once, and each task sends its first ``n`` rows
+    at most. Where rows are wide, ``fetch`` ranks keys alone (:func:`sample_keys`)
+    and then reads the rows of the ``n`` keys, which are sent to all tasks.
     """
-    hashed = df.select(key, sample_order(key, seed).alias("_h"))
-    per_prefix = hashed.groupBy(F.left("_h", F.lit(4)).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    needed = per_prefix.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    wanted = needed.where(F.col("_before") < n)
-    last_prefix, before = wanted.agg(F.max("_p")).scalar(), wanted.agg(F.max("_before")).scalar()
-    place = F.row_number().over(Window.partitionBy(F.left("_h", F.lit(4))).orderBy("_h", key))
-    candidates = hashed.where(F.left("_h", F.lit(4)) == last_prefix).withColumn("_place", place)
-    limit = candidates.where(F.col("_place") <= F.lit(n) - before).agg(F.max(F.struct("_h", key)))
-    own = F.struct(sample_order(key, seed).alias("_h"), F.col(key))
-    return df.where(own <= limit.scalar())
+    if fetch:
+        return df.join(F.broadcast(sample_keys(df, key, n, seed)), key, "left_semi")
+    return df.orderBy(sample_order(key, seed), key).limit(n)

@@ -116,7 +116,7 @@ def sim_r(
     return with_status(scored, ref, est, on)
 
 
-def _segment_correlations(x: np.ndarray, y: np.ndarray, length: int, clip: float) -> np.ndarray:
+def segment_correlations(x: np.ndarray, y: np.ndarray, length: int, clip: float) -> np.ndarray:
     """Correlation of every band in every run of ``length`` frames; NaN if a side is constant."""
     xs = np.lib.stride_tricks.sliding_window_view(x, length, axis=0)
     ys = np.lib.stride_tricks.sliding_window_view(y, length, axis=0)
@@ -167,7 +167,7 @@ def band_intelligibility(
             if end - start < segment:
                 continue
             run = rows.iloc[start:end]
-            rho = _segment_correlations(np.stack(run["ref"].to_numpy()), np.stack(run["est"].to_numpy()), segment, clip)
+            rho = segment_correlations(np.stack(run["ref"].to_numpy()), np.stack(run["est"].to_numpy()), segment, clip)
             valid = np.isfinite(rho)
             n, total = n + int(valid.sum()), total + float(rho[valid].sum())
         return pd.DataFrame([[*group[:-1], n, total]], columns=partial_schema.names)

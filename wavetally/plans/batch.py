@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavetally.operators.error_rates import error_rates
-from wavetally.operators.frames import cepstra, onset_envelope
+from wavetally.operators.fused import FRAME_SCORES, frame_scores
 from wavetally.operators.memo import build_requests
 from wavetally.operators.pairing import (
     INFERENCE_ERROR,
@@ -23,7 +23,6 @@ from wavetally.operators.pairing import (
     with_sample_metadata,
 )
 from wavetally.operators.signal import align_pairs, si_sdr
-from wavetally.operators.similarity import band_intelligibility, sim_o, sim_r
 
 Job = Callable[[DataFrame], DataFrame]
 
@@ -38,14 +37,14 @@ def score_transcripts(pairs: DataFrame, ref: str = "text", hyp: str = "hyp", as_
 
 def score_signals(
     pairs: DataFrame,
-    extra: Mapping[str, DataFrame] | None = None,
+    extra: Mapping[str | tuple[str, ...], DataFrame] | None = None,
     key: str | Sequence[str] = "sample_idx",
     max_seconds: float | None = None,
 ) -> DataFrame:
     """Signal metrics of (key, text, ref, ref_sr, est, est_sr, status) rows.
 
-    SI-SDR is computed here. ``extra`` maps a metric name to a table
-    (key, <metric>): frame-based similarities, or scores made elsewhere.
+    SI-SDR is computed here. ``extra`` maps a metric name, or several, to a table
+    (key, <metrics>): frame-based similarities, or scores made elsewhere.
     Metrics nobody supplied are NULL columns, so the schema is fixed; those of
     rejected rows are NULL. Whole signals are scored unless ``max_seconds`` cuts.
     """
@@ -56,9 +55,10 @@ def score_signals(
     # a rejected pair keeps its row but not its signals
     blanked = flagged.withColumns({c: F.when(usable, F.col(c)) for c in ("ref", "est")})
     scored = si_sdr(align_pairs(blanked, rate="ref_sr", max_seconds=max_seconds)).drop("ref", "est", "ref_sr", "est_sr")
-    for metric, table in (extra or {}).items():
-        value = F.when(F.col("status") == "ok", F.col(metric))
-        scored = scored.join(table.select(*on, metric), on, "left").withColumn(metric, value)
+    for names, table in (extra or {}).items():
+        metrics = as_list(names)
+        values = {m: F.when(F.col("status") == "ok", F.col(m)) for m in metrics}
+        scored = scored.join(table.select(*on, *metrics), on, "left").withColumns(values)
     missing = [m for m in TTS_METRICS if m not in scored.columns]
     scored = scored.withColumns({m: F.lit(None).cast("double") for m in missing})
     others = [c for c in scored.columns if c not in [*on, *TTS_METRICS]]
@@ -72,16 +72,9 @@ def frame_metrics(
     frame: str = "frame",
     values: str = "values",
     coefficients: int = 13,
-) -> dict[str, DataFrame]:
-    """``extra`` of :func:`score_signals` from band amplitudes of both sides: stoi, sim_o and sim_r."""
-    on = as_list(key)
-    ref, est = (side.select(*on, frame, values) for side in (ref, est))
-    stoi = band_intelligibility(ref, est, on, frame, values)
-    return {
-        "stoi": stoi.withColumnRenamed("intelligibility", "stoi"),
-        "sim_o": sim_o(cepstra(ref, coefficients, values), cepstra(est, coefficients, values), on, frame, values),
-        "sim_r": sim_r(onset_envelope(ref, on, frame, values), onset_envelope(est, on, frame, values), on, frame),
-    }
+) -> dict[tuple[str, ...], DataFrame]:
+    """``extra`` of :func:`score_signals` from band frames of both sides: stoi, sim_o and sim_r in one pass."""
+    return {FRAME_SCORES: frame_scores(ref, est, key, frame, values, coefficients).drop("status")}
 
 
 def evaluate_batch(

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from wavetally.operators.ordering import seeded_sample
+from wavetally.operators.ordering import sample_keys
 from wavetally.operators.summary import summarise
 from wavetally.plans.batch import Evaluation, enrich
+from wavetally.session import scratch_dir
 
 
 def evaluate_corpus(
@@ -26,11 +28,14 @@ def evaluate_corpus(
 ) -> tuple[DataFrame, DataFrame]:
     """(scores with ids and batch metadata, summary).
 
-    Predictions and metadata are reduced to the sample before anything is
-    shuffled, if its keys are few enough for Spark to broadcast them.
+    The sample's keys are drawn once, when this is called, and written to the
+    shared folder. The corpus, predictions and metadata are reduced to them as
+    they are read; ``n`` keys are sent to all tasks.
     """
-    sample = seeded_sample(corpus, key, n, seed)
-    keys = sample.select(key)
+    path = scratch_dir(corpus.sparkSession, "sample")
+    sample_keys(corpus, key, n, seed).write.parquet(path)
+    keys = F.broadcast(corpus.sparkSession.read.schema(corpus.select(key).schema).parquet(path))
+    sample = corpus.join(keys, key, "left_semi")
     if predictions is not None:
         predictions = predictions.join(keys, key, "left_semi")
     if meta is not None:
