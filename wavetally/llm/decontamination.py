@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavetally.llm.tables import fresh
+from wavetally.llm.tables import fresh, in_small_batches, saved
 from wavetally.llm.words import alnum_words, mix
 
 WIDTH = 10
@@ -71,18 +72,18 @@ class Windows:
         return len(words), sorted(spans), found
 
 
-def _portions(benchmark: DataFrame, pass_words: int) -> list[list[tuple[object, bytes]]]:
-    """Items in portions of bounded size, one in memory for each pass; an item is never split."""
-    portions: list[list[tuple[object, bytes]]] = []
-    size = pass_words
+def _portions(benchmark: DataFrame, pass_words: int) -> Iterator[list[tuple[object, bytes]]]:
+    """Items in portions of bounded size, read from Spark one after the other; an item is never split."""
+    portion: list[tuple[object, bytes]] = []
+    size = 0
     for row in benchmark.select("item_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).toLocalIterator():
         n = len(alnum_words(bytes(row.text)))
-        if size + n > pass_words:
-            portions.append([])
-            size = 0
-        portions[-1].append((row.item_id, bytes(row.text)))
+        if portion and size + n > pass_words:
+            yield portion
+            portion, size = [], 0
+        portion.append((row.item_id, bytes(row.text)))
         size += n
-    return portions
+    yield portion
 
 
 def _scanner(windows: Broadcast, item_type: str):
@@ -107,26 +108,32 @@ def find_windows(
 
     A window is ``width`` consecutive words of an item, or a whole item of fewer. ``words`` counts the document's
     words, ``spans ARRAY<STRUCT<start, end>>`` are word positions of the occurrences (they may overlap), ``items``
-    the item ids that occur. The benchmark's windows go to every executor as a hash set; a benchmark beyond ``pass_words`` words is taken in portions, each scanned against all documents, so memory stays bounded. The scan
-    moves no document. Null texts have no words, items without words no windows, an empty benchmark hits nothing;
-    of repeated item ids each row counts.
+    the item ids that occur. The benchmark's windows go to every executor as a hash set. A benchmark beyond
+    ``pass_words`` words is taken in portions: each is scanned against all documents, which are saved with what was found,
+    and let go before the next is read, so that driver and executors hold one portion at a time. The scan moves no
+    document. Null texts have no words, items without words no windows, an empty benchmark hits nothing; of repeated
+    item ids each row counts.
     """
     spark = docs.sparkSession
     name = fresh(docs, name)
     item_type = dict(benchmark.dtypes)["item_id"]
-    portions = _portions(benchmark, pass_words) or [[]]
     text = F.col("text").cast("binary")
-    parts = [_scanner(spark.sparkContext.broadcast(Windows(p, width)), item_type)(text) for p in portions]
-    if len(parts) == 1:
-        return docs.withColumn(name, parts[0])
-    names = [f"{name}_{i}" for i in range(len(parts))]
-    out = docs.withColumns(dict(zip(names, parts)))
-    merged = F.struct(
-        F.col(names[0])["words"].alias("words"),
-        F.flatten(F.array(*[F.col(n)["spans"] for n in names])).alias("spans"),
-        F.flatten(F.array(*[F.col(n)["items"] for n in names])).alias("items"),
-    )
-    return out.withColumn(name, merged).drop(*names)
+    out, windows = in_small_batches(docs), None
+    for portion in _portions(benchmark, pass_words):
+        if windows is None:
+            windows = spark.sparkContext.broadcast(Windows(portion, width))
+            out = out.withColumn(name, _scanner(windows, item_type)(text))
+            continue
+        out = saved(out, "scanned")
+        windows.destroy()
+        windows = spark.sparkContext.broadcast(Windows(portion, width))
+        more = fresh(out, "more")
+        merged = F.struct(
+            F.col(name)["words"].alias("words"),
+            *[F.concat(F.col(name)[c], F.col(more)[c]).alias(c) for c in ("spans", "items")],
+        )
+        out = out.withColumn(more, _scanner(windows, item_type)(text)).withColumn(name, merged).drop(more)
+    return out
 
 
 def _covered(spans: pd.Series) -> pd.Series:

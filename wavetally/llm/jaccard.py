@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavetally.llm.tables import saved, small
+from wavetally.llm.tables import in_small_batches, saved, small
 from wavetally.llm.words import mix, shingle_hashes, space_words, word_hashes
 
 WORDS = 4
@@ -280,7 +280,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     components is lost, and large groups of near copies cost a comparison each, not one for each pair.
     """
     spark, bands = docs.sparkSession, Bands(percent)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    texts = in_small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     schema = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint"
     own = saved(texts.mapInArrow(_identities(words), schema), "identities")
     key = ["n_shingles", "h1", "h2"]

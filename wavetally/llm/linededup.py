@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from wavetally.llm.tables import fresh, saved, small
+from wavetally.llm.tables import fresh, in_small_batches, saved, small
 
 #: Leading tokens that are levels of the tree.
 DEPTH = 3
@@ -97,7 +97,7 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     splits for hot templates; a document's lines to drop are gathered per document.
     """
     kind = pa.int32() if dict(docs.dtypes)["doc_id"] == "int" else pa.int64()
-    narrow = docs.filter(F.col("doc_id").isNotNull()).select(
+    narrow = in_small_batches(docs).filter(F.col("doc_id").isNotNull()).select(
         "doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text")
     )
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash bigint, line int, template bigint"

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavetally.llm.tables import in_small_batches
+
 MARKER = "▁"
 #: Half a surrogate pair, which no UTF-8 text holds, stands for a marker in the text itself while that is cut.
 _LITERAL = "\ud800"
@@ -350,7 +352,7 @@ def encode_texts(docs: DataFrame, model: Model) -> DataFrame:
                 done += n
 
     schema = f"doc_id {kind}, ids array<int>, n_tokens bigint, n_bytes bigint, round_trip boolean, decoded string"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
 def decode_ids(tokens: DataFrame, model: Model) -> DataFrame:

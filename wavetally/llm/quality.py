@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from wavetally.llm.linear import Rows, fit_ordinal, sigmoid
+from wavetally.llm.tables import in_small_batches
 from wavetally.llm.words import alnum_words
 
 BITS = 18
@@ -84,7 +85,7 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Or
         return pd.Series([features(t or b"").tobytes() for t in texts], dtype=object)
 
     rows = (
-        docs.select("doc_id", "text")
+        in_small_batches(docs).select("doc_id", "text")
         .join(F.broadcast(drawn), "doc_id")
         .select("doc_id", "grade", hashed(F.col("text").cast("binary")).alias("x"))
         .toPandas()
@@ -120,7 +121,7 @@ def graded(
     both = names[0] + "_tail"
     while both in docs.columns:
         both = "_" + both
-    out = docs.withColumn(both, grade(F.col("text").cast("binary")))
+    out = in_small_batches(docs).withColumn(both, grade(F.col("text").cast("binary")))
     tail = F.col(both)["tail"]
     return out.withColumns(dict(zip(names, (F.col(both)["grade"], tail, tail >= keep)))).drop(both)
 

@@ -11,6 +11,20 @@ from wavetally.session import scratch_dir
 BROADCAST_BYTES = 16_000_000
 
 
+#: Rows of an Arrow batch where texts go to Python. A text takes some kilobytes, now and then megabytes, and a batch is
+#: held several times over: by the JVM, as Arrow, and as Python objects.
+TEXT_ROWS = 1000
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df`` itself, whose session from now on sends at most ``TEXT_ROWS`` rows to Python at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= TEXT_ROWS:
+        conf.set(name, TEXT_ROWS)
+    return df
+
+
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
