@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,10 @@ def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Paths of the tables saved so far in this process, names only.
+_written: list[str] = []
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written below the shared folder and read again, so that later jobs do not repeat its work.
 
@@ -37,9 +43,28 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, name)
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The saved result of ``make``; what was saved on the way to it is deleted.
+
+    So are the shuffle files of its jobs, as far as nothing refers to them any more: Spark removes them once the
+    driver's garbage is collected, which is asked for here rather than left to the driver's need of memory.
+    """
+    start = len(_written)
+    out = saved(make(), name)
+    spark = out.sparkSession
+    jvm = spark.sparkContext._jvm
+    for path in _written[start:-1]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _written[start:] = _written[-1:]
+    jvm.System.gc()
+    return out
+
+
 def small(table: DataFrame, size: int | None = None) -> DataFrame:
     """A saved ``table`` with a broadcast hint if its bytes, measured here as JSON unless given, stay below the bound.
 
