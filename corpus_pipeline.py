@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavetally.llm import decontamination, jaccard, linededup, pieces, quality
-from wavetally.llm.tables import fresh, given, saved
+from wavetally.llm.tables import fresh, given, settled
 
-#: The text before lines were dropped, null where none was.
+#: The text before lines were dropped, null where none was; underscores lead it where ``documents`` has such a column.
 WHOLE = "text_with_recurring_lines"
 
 
@@ -21,23 +21,27 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier document has, and ``WHOLE``; those of which no word is left by that go."""
-    cleaned = linededup.drop_recurring(docs.withColumn(WHOLE, F.col("text")))
+    whole = fresh(docs, WHOLE)
+    cleaned = linededup.drop_recurring(docs.withColumn(whole, F.col("text")))
     dropped = cleaned.columns[-1]
     emptied = (F.col(dropped) > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
     kept = cleaned.filter(~F.coalesce(emptied, F.lit(False)))
-    return kept.select(*docs.columns, F.when(F.col(dropped) > 0, F.col(WHOLE)).alias(WHOLE))
+    return kept.select(*docs.columns, F.when(F.col(dropped) > 0, F.col(whole)).alias(whole))
 
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: 5-word shingles, similarity from 0.8.
 
     Texts are compared as they were before lines were dropped, as fragments hide copies, and then as they are now.
+    What ``drop_lines`` added is the last column of the name; a table that has not been through it is compared once.
     """
-    if WHOLE not in docs.columns:
+    added = [c for c in docs.columns if c.lower().lstrip("_") == WHOLE]
+    if not added:
         return jaccard.drop_similar(docs)
-    before = docs.withColumns({"text": F.coalesce(WHOLE, "text"), WHOLE: F.col("text")})
-    kept = saved(jaccard.drop_similar(before), "whole")
-    return jaccard.drop_similar(kept.withColumn("text", F.col(WHOLE)).drop(WHOLE))
+    whole = max(added, key=len)
+    before = docs.withColumns({"text": F.coalesce(whole, "text"), whole: F.col("text")})
+    kept = settled(lambda: jaccard.drop_similar(before), "whole")
+    return jaccard.drop_similar(kept.withColumn("text", F.col(whole)).drop(whole))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,5 +70,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = given(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        docs = settled(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
