@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 
 from wavetally.llm import decontamination, jaccard, linededup, pieces, privacy, quality, sharding, topk, urls, warc
+from wavetally.llm.tables import saved
 from wavetally.llm.words import space_words
 
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(20_000))
@@ -469,7 +470,7 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     want = [whole, after, {d: after[d] for d in left}, {d: after[d] for d in left if leak not in after[d]}]
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for (name, stage), expected in zip(pipeline.STAGES, want):
-        docs = pipeline.saved(stage(spark, docs, str(tmp_path)), name)
+        docs = saved(stage(spark, docs, str(tmp_path)), name)
         assert sorted((r.doc_id, r.text) for r in docs.collect()) == sorted(expected.items()), name
     model = pieces.read_model()
     tokens = pieces.decode_ids(pipeline.run(spark, str(tmp_path)), model).collect()
