@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import random
 import re
+import time
 import zlib
 from itertools import combinations
 
@@ -224,6 +226,68 @@ def test_salvage():
     assert list(warc.salvage(b"")) == [] and list(warc.salvage(b"junk")) == [(0, 4)]
 
 
+def test_salvage_in_linear_time():
+    line, whole = b"WARC/1.1\r\n", warc._record(1, "http://a/1", b"x", hashlib.sha256(b"x").hexdigest(), None)
+    stretches = {
+        "version lines": line * 2_500_000,
+        "version lines in values": b"x: " + (line[:-2] + b"\r\nx: ") * 1_000_000 + b"end\r\n\r\n",
+        "header blocks that fail": (line + b"Content-Length: 9999999999\r\nx: y\r\n\r\n") * 300_000,
+        "version lines before one failing block": line + (b"x: " + line) * 500_000 + b"Content-Length: 3\r\n\r\nabcd\r\n\r\n",
+        "member marks": (warc.MEMBER + line) * 500_000,
+    }
+    for name, stretch in stretches.items():
+        started = time.monotonic()
+        found = list(warc.salvage(stretch + whole))
+        assert time.monotonic() - started < 60, name
+        assert [r for r in found if isinstance(r, warc.Record)][-1].block.endswith(b"x"), name
+        assert [r for r in found if not isinstance(r, warc.Record)] == [(0, len(stretch))], name
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_salvage_against_a_plain_reader(seed):
+    """Random damage to archives whose headers hold version lines, against a reader that looks at each byte anew."""
+    rng = random.Random(seed)
+    text = [b"", b"ab", b"\r\n\r\n", b"WARC/1.1\r\n", b"WARC/1.0\r\nContent-Length: 2\r\n\r\nok\r\n\r\n"]
+
+    def record():
+        block = b"".join(rng.choices(text, k=rng.randrange(4)))
+        said = rng.choice([b"", b"sha1:" + hashlib.sha1(block).hexdigest().encode(), b"sha1:00", b"md4:1"])
+        lines = [b"Content-Length: %d" % len(block), b"x: WARC/1.0", b"WARC-Block-Digest: " + said, b"no header", b"a:"]
+        weights = [9, 2, 4, 0.2, 1]
+        chosen = [b"Content-Length: %d" % len(block)] + rng.choices(lines, weights, k=3)
+        rng.shuffle(chosen)
+        return b"WARC/1.1\r\n" + b"\r\n".join(chosen) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    data = b"".join(record() for _ in range(60))
+    for _ in range(6):
+        cut = rng.randrange(len(data))
+        data = data[:cut] + rng.choice(text) + data[cut + rng.randrange(20) :]
+
+    def plain(at):
+        head = re.compile(rb"WARC/1\.[01]\r\n").match(data, at)
+        blank = data.find(b"\r\n\r\n", at)
+        if not head or blank < head.end():
+            return None
+        lines = [x.partition(b":") for x in data[head.end() : blank].split(b"\r\n")]
+        headers = {n.strip().lower(): v.strip() for n, _, v in lines}
+        length = headers.get(b"content-length", b"")
+        if not all(colon for _, colon, _ in lines) or not length.isdigit():
+            return None
+        block, end = data[blank + 4 :][: int(length)], blank + 8 + int(length)
+        said = headers.get(b"warc-block-digest", b"")
+        if data[end - 4 : end] != b"\r\n\r\n" or (said[:5] == b"sha1:" and said[5:] != hashlib.sha1(block).hexdigest().encode()):
+            return None
+        return at, end, block
+
+    expected, at = [], 0
+    while at < len(data):
+        found = plain(at)
+        expected += [found] if found else []
+        at = found[1] if found else at + 1
+    got = [(r.start, r.end, r.block) for r in warc.salvage(data) if isinstance(r, warc.Record)]
+    assert got == expected and got
+
+
 def test_warc(spark, tmp_path):
     rows = [(3, "http://a\n/", "x" * 200), (1, None, "x" * 200), (2, "u", "short"), (4, "u", "short"), (5, "u", None)]
     rows += [(1, None, "x" * 200), (6, "u", "é" * 100_000)]

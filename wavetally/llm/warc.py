@@ -120,42 +120,78 @@ def _differs(digest: str, data: bytes) -> bool:
     return value.lower() != found.hexdigest() and value.upper().rstrip("=") != b32encode(found.digest()).decode().rstrip("=")
 
 
-def _parse(data: bytes, at: int) -> Record | None:
-    """The record that begins at ``at``, or None unless its framing and its block digest hold."""
-    head = _VERSION_LINE.match(data, at)
-    end = data.find(b"\r\n\r\n", at)
-    if not head or end < 0:
-        return None
-    headers = {}
-    for line in data[head.end() : end].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
-        if not colon:
+class _Scan:
+    """The header lines looked at last. Another version line among them is judged without reading them again."""
+
+    def __init__(self, data: bytes):
+        self.data, self.start, self.stop = data, 0, -1
+
+    def lines(self, at: int) -> Iterator[tuple[int, str, str]]:
+        """Place, name and value of each header line from ``at`` on."""
+        while (stop := self.data.find(b"\r\n", at)) > at:
+            name, _, value = self.data[at:stop].partition(b":")
+            yield at, name.decode("latin-1").strip().lower(), value.decode("utf-8", "replace").strip()
+            at = stop + 2
+
+    def block(self, at: int) -> tuple[int, int] | None:
+        """Start and length of the block of a record with header lines from ``at`` on, None if it does not hold."""
+        if not self.start <= at <= self.stop:
+            self._read(at)
+        # of repeated headers the last counts, which all version lines before it share
+        if self.body is None or self.length_at < at:
             return None
-        headers[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
-    length = headers.get("content-length", "")
-    if not (length.isascii() and length.isdigit()):
-        return None
-    block = data[end + 4 : end + 4 + int(length)]
-    stop = end + 4 + int(length) + 4
-    if len(block) < int(length) or data[stop - 4 : stop] != b"\r\n\r\n":
-        return None
-    if _differs(headers.get("warc-block-digest", ""), block):
+        if self.digest_at >= at:
+            if self.differs is None:
+                self.differs = _differs(self.digest, self.data[self.body : self.body + self.length])
+            if self.differs:
+                return None
+        return self.body, self.length
+
+    def _read(self, at: int) -> None:
+        data, self.start, self.body, self.differs = self.data, at, None, None
+        self.length_at = self.digest_at = -1
+        while (stop := data.find(b"\r\n", at)) > at and data.find(b":", at, stop) >= 0:
+            at = stop + 2
+        self.stop = at
+        if stop != at:  # ended by a line that is no header, or by the end of the data
+            return
+        length = ""
+        for place, name, value in self.lines(self.start):
+            if name == "content-length":
+                self.length_at, length = place, value
+            elif name == "warc-block-digest":
+                self.digest_at, self.digest = place, value
+        if not (length.isascii() and length.isdigit() and len(length) < 19):
+            return
+        self.length = int(length)
+        end = at + 2 + self.length
+        if data[end : end + 4] == b"\r\n\r\n":
+            self.body = at + 2
+
+
+def _parse(scan: _Scan, at: int) -> Record | None:
+    """The record that begins at ``at``, or None unless its framing and its block digest hold."""
+    head = _VERSION_LINE.match(scan.data, at)
+    found = scan.block(head.end()) if head else None
+    if not found:
         return None
-    return Record(headers, block, at, stop)
+    body, length = found
+    headers = {name: value for _, name, value in scan.lines(head.end())}
+    return Record(headers, scan.data[body : body + length], at, body + length + 4)
 
 
 def _plain(data: bytes) -> Iterator[Record | tuple[int, int]]:
     """Records, and (start, end) of byte gaps that hold none."""
-    at = 0
+    at, scan = 0, _Scan(data)
     while at < len(data):
-        record = _parse(data, at)
+        record = _parse(scan, at)
         if record:
             yield record
             at = record.end
             continue
         # resume at the next version line that begins a whole record
         resume = at + 1
-        while (found := _VERSION_LINE.search(data, resume)) and not _parse(data, found.start()):
+        while (found := _VERSION_LINE.search(data, resume)) and not _parse(scan, found.start()):
             resume = found.start() + 1
         end = found.start() if found else len(data)
         yield at, end
@@ -181,16 +217,18 @@ def salvage(data: bytes) -> Iterator[Record | tuple[int, int]]:
 
     Both plain and gzip archives are read. Where a check fails (framing, lengths, member checksum, block digest), the
     search goes on one byte later for the next gzip member or version line that passes them all. The gaps and
-    the records (for gzip their members) cover every byte once.
+    the records (for gzip their members) cover every byte once. Header lines are read once however many version
+    lines lie among them, and a block is hashed once per set of header lines, so a damaged stretch takes time in
+    proportion to its length unless it nests whole records that fail their digests.
     """
     if MEMBER not in data:
         yield from _plain(data)
         return
-    at, bad, version = 0, None, -1
+    at, bad, version, next_member, scan = 0, None, -1, -1, _Scan(data)
     while at < len(data):
         member = _inflate(data, at)
         parsed = list(_plain(member[0])) if member else []
-        plain = None if member else _parse(data, at)
+        plain = None if member else _parse(scan, at)
         if member and all(isinstance(r, Record) for r in parsed):
             if bad is not None:
                 yield bad, at
@@ -212,11 +250,13 @@ def salvage(data: bytes) -> Iterator[Record | tuple[int, int]]:
             at = member[1]
         else:
             bad = at if bad is None else bad
-            next_member = data.find(MEMBER, at + 1)
+            if next_member <= at:
+                found_at = data.find(MEMBER, at + 1)
+                next_member = found_at if found_at >= 0 else len(data)
             if version <= at:
                 found = _VERSION_LINE.search(data, at + 1)
                 version = found.start() if found else len(data)
-            at = min(version, next_member if next_member >= 0 else len(data))
+            at = min(version, next_member)
     if bad is not None:
         yield bad, len(data)
 
