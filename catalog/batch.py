@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalog.registry import query, rounded, table
+from catalog.storage import manifest_corpus
 from catalog.text import BOTH_SQL, PAIRS_SQL, TURN, turn_preds
 from wavetally.functions.text import run_stamp
-from wavetally.operators.memo import HASH, memo_merge, memo_split, with_request_hash
+from wavetally.operators.memo import (
+    HASH,
+    memo_merge,
+    memo_split,
+    memo_todo,
+    stored_memo,
+    update_memo,
+    with_request_hash,
+)
 from wavetally.operators.ordering import index_range, index_within, seeded_sample
 from wavetally.operators.pairing import (
     pair,
@@ -20,10 +31,13 @@ from wavetally.operators.pairing import (
     with_batch_metadata,
     with_sample_metadata,
 )
+from wavetally.operators.summary import summarise
 from wavetally.plans.batch import ASR_METRICS, Evaluation, frame_metrics, score_signals, score_transcripts
 from wavetally.plans.isolation import isolated
-from wavetally.plans.corpus import evaluate_corpus
-from wavetally.plans.sweep import evaluate_sweep, sweep_requests
+from wavetally.plans.corpus import evaluate_corpus, store_corpus
+from wavetally.plans.sweep import evaluate_sweep, resume_sweep, sweep_requests
+from wavetally.session import scratch_dir
+from wavetally.sources.readers import read_hashed_files
 
 # ---- identity, sampling -------------------------------------------------
 
@@ -201,6 +215,48 @@ def merged(spark: SparkSession, sf: str) -> DataFrame:
     return memo_merge(memo, fresh)
 
 
+@query(
+    "memo_two_runs",
+    """WITH hashed AS (SELECT doc_id, md5('1' || lang || chr(1) || '1' || text) AS request_md5, toxic FROM documents JOIN labels USING (doc_id)),
+first AS (SELECT request_md5, 'first_' || min(doc_id) AS result_path FROM hashed WHERE toxic = 0 GROUP BY request_md5),
+second AS (SELECT request_md5, 'second_' || min(doc_id) AS result_path FROM hashed WHERE toxic = 1 GROUP BY request_md5)
+SELECT request_md5, coalesce(f.result_path, s.result_path) AS result_path FROM first f FULL JOIN second s USING (request_md5)""",
+)
+def memo_two_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored memo after two runs; the second, with the few toxic documents, replaces only folders it has results for."""
+    path, payload = scratch_dir(spark, "memo"), "result_path string"
+    labels = table(spark, sf, "labels").select("doc_id", "toxic")
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text").join(labels, "doc_id")
+    hashed = with_request_hash(docs, ["lang", "text"])
+    for toxic, name in ((0, "first_"), (1, "second_")):
+        answer = F.concat(F.lit(name), F.min("doc_id").cast("string")).alias("result_path")
+        update_memo(hashed.where(F.col("toxic") == toxic).groupBy(HASH).agg(answer), path, payload)
+    return stored_memo(spark, path, payload)
+
+
+@query(
+    "file_memo",
+    """WITH files AS (SELECT doc_id, md5(text || chr(10)) AS request_md5 FROM documents),
+known AS (SELECT request_md5 FROM files WHERE doc_id IN (SELECT doc_id FROM labels))
+SELECT min(doc_id) AS doc_id, request_md5 FROM files ANTI JOIN known USING (request_md5) GROUP BY request_md5""",
+)
+def file_memo(spark: SparkSession, sf: str) -> DataFrame:
+    """A file per document, known by the hash of its bytes: those whose content no labelled one has are still to do."""
+    path, memo, payload = scratch_dir(spark, "texts"), scratch_dir(spark, "memo"), "file string"
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs.repartition("doc_id").write.partitionBy("doc_id").text(path)
+    files = read_hashed_files(spark, path, "*.txt").select(
+        F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("bigint").alias("doc_id"), F.col("content_md5").alias(HASH)
+    )
+    listing = scratch_dir(spark, "listing")
+    files.write.parquet(listing)  # bytes are read and hashed once
+    files = spark.read.schema(files.schema).parquet(listing)
+    answered = files.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    name = F.min(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))).alias("file")
+    update_memo(answered.groupBy(HASH).agg(name), memo, payload)
+    return memo_todo(files, stored_memo(spark, memo, payload, files), "doc_id")
+
+
 # ---- batch, corpus, sweep -----------------------------------------------
 
 
@@ -367,6 +423,36 @@ def corpus_eval(spark: SparkSession, sf: str) -> DataFrame:
     return summary.withColumns({c: rounded(c) for c in ("mean", "std")})
 
 
+def _squeezed(column: str) -> str:
+    return f"trim(regexp_replace({column}, '\\s+', ' ', 'g'))"
+
+
+@query(
+    "corpus_end_to_end",
+    f"""{BOTH_SQL.replace("lower(a.text)", f"lower({_squeezed('a.text')})").replace("lower(b.text)", f"lower({_squeezed('b.text')})")},
+picked AS (SELECT conv_id, turn, role FROM conversations
+           ORDER BY md5('7:' || (conv_id * 1000 + turn)), conv_id * 1000 + turn LIMIT 200)
+SELECT p.conv_id * 1000 + p.turn AS sample_idx, round(cer, 6) AS cer, round(wer, 6) AS wer,
+       CASE WHEN r.conv_id IS NULL THEN 'missing_prediction' ELSE 'ok' END AS status, p.role,
+       'conversations' AS dataset, '20250131_235959' AS run_ts
+FROM picked p LEFT JOIN rates r USING (conv_id, turn)""",
+)
+def corpus_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
+    """From transcript files to score files: 200 samples, predicted, scored, joined with their role, stored, read back."""
+    utterances = manifest_corpus(spark, sf)
+    idx = (F.col("speaker_id") * 1000 + F.col("chapter_id")).alias("sample_idx")
+    corpus = utterances.select(idx, "text")
+    preds = corpus.select((F.col("sample_idx") - 1).alias("sample_idx"), F.col("text").alias("hyp"))
+    meta = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sample_idx"), "role")
+    stored, _ = store_corpus(
+        Evaluation(score_transcripts), corpus, "sample_idx", ASR_METRICS, scratch_dir(spark, "runs"),
+        datetime(2025, 1, 31, 23, 59, 59), n=200, seed=7, meta=meta,
+        batch_metadata={"dataset": "conversations"}, predictions=preds,
+    )
+    metrics = [rounded(m).alias(m) for m in ASR_METRICS]
+    return stored.select("sample_idx", *metrics, "status", "role", "dataset", "run_ts")
+
+
 CHECKPOINTS = ["ahead1", "ahead2", "ahead3", "silent"]
 
 SWEEP_SQL = BOTH_SQL.replace(
@@ -379,9 +465,7 @@ turn_pairs AS (
 )
 
 
-@query(
-    "sweep_summary",
-    f"""{SWEEP_SQL},
+SUMMARY_SQL = f"""{SWEEP_SQL},
 total AS (SELECT count(*) AS refs FROM conversations),
 ahead AS (SELECT conv_id, turn - k AS turn, 'ahead' || k AS role FROM conversations, range(1, 4) AS ks(k)),
 unasked AS (SELECT p.role, count(*) AS lost FROM ahead p ANTI JOIN conversations c USING (conv_id, turn) GROUP BY p.role),
@@ -390,24 +474,55 @@ long AS (SELECT role, 'cer' AS metric, cer AS v FROM rates UNION ALL SELECT role
 SELECT role AS checkpoint, metric, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, count(v) AS n,
        CAST(0 AS BIGINT) AS n_nan, count(v) AS n_ok, 
        any_value(refs) - count(v) + coalesce(any_value(lost), 0) AS n_rejected
-FROM long CROSS JOIN total LEFT JOIN unasked USING (role) GROUP BY role, metric""",
-)
-def sweep_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Checkpoints predict the turn one, two or three ahead; one predicts nothing. Some predict turns nobody has."""
-    refs = turn_samples(spark, sf)
+FROM long CROSS JOIN total LEFT JOIN unasked USING (role) GROUP BY role, metric"""
+
+
+def predictions_ahead(spark: SparkSession, sf: str) -> DataFrame:
     ahead = table(spark, sf, "conversations").select(
         "conv_id", "turn", F.col("text").alias("hyp"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k")
     )
-    preds = ahead.select(
+    return ahead.select(
         F.concat(F.lit("ahead"), F.col("k").cast("string")).alias("checkpoint"),
         "conv_id",
         (F.col("turn") - F.col("k")).alias("turn"),
         "hyp",
     )
+
+
+@query(
+    "sweep_summary",
+    SUMMARY_SQL,
+)
+def sweep_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Checkpoints predict the turn one, two or three ahead; one predicts nothing. Some predict turns nobody has."""
+    refs = turn_samples(spark, sf)
+    preds = predictions_ahead(spark, sf)
     _, comparison = evaluate_sweep(refs, preds, score_transcripts, TURN, ASR_METRICS, CHECKPOINTS)
     return comparison.withColumns({c: rounded(c) for c in ("mean", "std")})
 
 
+@query(
+    "sweep_end_to_end",
+    SUMMARY_SQL.replace("UNION ALL SELECT 'silent', 'cer', NULL UNION ALL SELECT 'silent', 'wer', NULL", "")
+    .replace("SELECT role AS checkpoint", "SELECT 'conversations' AS dataset, role AS checkpoint"),
+)
+def sweep_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
+    """Two checkpoints are scored and stored; a third arrives, and only that one is read and scored by the next run."""
+    idx = (F.col("conv_id") * 1000 + F.col("turn")).alias("sample_idx")
+    refs = turn_samples(spark, sf).select(idx, "text")
+    preds = predictions_ahead(spark, sf).select(idx, "hyp", "checkpoint")
+    arrived, stored = scratch_dir(spark, "predictions"), scratch_dir(spark, "sweep")
+    schema = "sample_idx bigint, hyp string, checkpoint string"
+    for there in (["ahead1", "ahead2"], ["ahead3"]):
+        preds.where(F.col("checkpoint").isin(there)).write.mode("append").partitionBy("checkpoint").parquet(arrived)
+        scores, _ = resume_sweep(
+            refs, arrived, stored, score_transcripts, "sample_idx", ASR_METRICS,
+            batch_metadata={"dataset": "conversations"}, schema=schema,
+        )
+    summary = summarise(scores, ASR_METRICS, ["dataset", "checkpoint"])
+    return summary.withColumns({c: rounded(c) for c in ("mean", "std")})
+
+
 @query(
     "sweep_requests",
     """SELECT conv_id, turn, role, checkpoint FROM conversations, unnest(['a', 'b', 'c']) AS t(checkpoint)""",

@@ -105,6 +105,50 @@ def si_sdr_unequal(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select(*PAIR, "samples", rounded("si_sdr").alias("si_sdr"))
 
 
+@query(
+    "si_sdr_turns",
+    """WITH s AS (SELECT conv_id, turn, unnest(range(1, length(text) + 1)) AS i,
+             unnest(list_transform(range(1, length(text) + 1), lambda k: CAST(unicode(substr(text, k, 1)) AS DOUBLE))) AS v
+      FROM conversations),
+p AS (SELECT a.conv_id, a.turn, a.v AS r, b.v AS e
+      FROM s a JOIN s b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND b.i = a.i),
+alpha AS (SELECT conv_id, turn, sum(r * e) / sum(r * r) AS a FROM p GROUP BY conv_id, turn)
+SELECT conv_id, turn, count(*) AS samples,
+       round(10 * log10(sum(a * r * a * r) / sum((e - a * r) * (e - a * r))), 6) + 0.0 AS si_sdr
+FROM p JOIN alpha USING (conv_id, turn) GROUP BY conv_id, turn""",
+)
+def si_sdr_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """The code points of a turn as a signal, the next turn as its estimate: lengths differ as the texts do."""
+    text = F.col("text")
+    points = F.transform(
+        F.sequence(F.lit(1), F.length(text)), lambda i: F.ascii(F.substr(text, i, F.lit(1))).cast("double")
+    )
+    signal = F.when(F.length(text) > 0, points).otherwise(F.array().cast("array<double>"))
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", signal.alias("ref"))
+    ests = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("ref").alias("est"))
+    pairs = align_pairs(pair(turns, ests, ["conv_id", "turn"], keep_unmatched=False))
+    scored = si_sdr(pairs.withColumn("samples", F.size("ref").cast("bigint"))).where("samples > 0")
+    return scored.select("conv_id", "turn", "samples", rounded("si_sdr").alias("si_sdr"))
+
+
+@query(
+    "estimates_without_reference",
+    f"""WITH {FRAMES_SQL},
+p AS (SELECT b.label, b.frame, a.v AS r, b.v AS e
+      FROM fl a JOIN fl b ON b.label = a.label AND b.i = a.i AND a.frame = 0 AND b.frame > 0 AND a.label < 5), {SI_SDR_SQL}
+SELECT f.label, f.frame, round(si_sdr, 6) + 0.0 AS si_sdr,
+       CASE WHEN f.label < 5 THEN 'ok' ELSE 'missing_reference' END AS status
+FROM frames f LEFT JOIN ratio USING (label, frame) WHERE f.frame > 0""",
+)
+def estimates_without_reference(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``one_reference_many_estimates``, but labels from 5 on have no reference."""
+    rows = frames(spark, sf)
+    refs = rows.where("frame = 0 AND label < 5").select("label", F.col("values").alias("ref"))
+    ests = rows.where("frame > 0").select(*PAIR, F.col("values").alias("est"))
+    scored = si_sdr(one_reference_many_estimates(refs, ests, "label", "frame", keep_unmatched=True))
+    return scored.select(*PAIR, rounded("si_sdr").alias("si_sdr"), "status")
+
+
 @query(
     "one_reference_many_estimates",
     f"""WITH {FRAMES_SQL},

@@ -86,6 +86,13 @@ FROM conversations""",
 )
 def manifest(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations written as transcript lines and read as a corpus."""
+    return manifest_corpus(spark, sf).select(
+        "speaker_id", "chapter_id", "utterance_id", "text", "sample_rate",
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("file"),
+    )
+
+
+def manifest_corpus(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_dir(spark, "corpus")
     line = F.concat_ws(
         " ",
@@ -93,11 +100,7 @@ def manifest(spark: SparkSession, sf: str) -> DataFrame:
         F.trim(F.regexp_replace("text", r"\s+", " ")),
     )
     table(spark, sf, "conversations").select(line.alias("value")).write.text(path)
-    utterances = read_manifest(spark, path, glob="*.txt")
-    return utterances.select(
-        "speaker_id", "chapter_id", "utterance_id", "text", "sample_rate",
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("file"),
-    )
+    return read_manifest(spark, path, glob="*.txt")
 
 
 @query(

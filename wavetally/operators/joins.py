@@ -67,8 +67,9 @@ def hot_key_join(
     on: str | Sequence[str],
     spread_by: str | Sequence[str],
     rows_per_copy: int = 1_000_000,
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner join of many rows to the single row of their key.
+    """Join of many rows to the single row of their key; with ``how="left"`` those without one stay.
 
     A key with more than ``rows_per_copy`` rows is split into several sub-keys
     and its partner repeated for each. Keys are counted from the key column
@@ -90,4 +91,4 @@ def hot_key_join(
     repeated = one.join(hot, keys, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), copies - 1))
     )
-    return salted.drop("_copies").join(repeated.drop("_copies"), [*keys, "_salt"]).drop("_salt")
+    return salted.drop("_copies").join(repeated.drop("_copies"), [*keys, "_salt"], how).drop("_salt")

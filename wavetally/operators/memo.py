@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavetally.functions.text import prompt_request, request_hash
 from wavetally.operators.joins import hot_key_join
 from wavetally.operators.pairing import as_list
+from wavetally.sources.readers import read_stored
 
 HASH = "request_md5"
+#: Folder of a stored memo: the first digits of the hash.
+PREFIX = "memo_prefix"
+DIGITS = 2
 
 
 def build_requests(samples: DataFrame, prompt: str, text: str = "text") -> DataFrame:
@@ -69,3 +73,41 @@ def memo_merge(memo: DataFrame, results: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("_new", *payload)).alias("_m"))
         .select(HASH, *[F.col("_m")[c].alias(c) for c in payload])
     )
+
+
+def _prefix():
+    return F.substring(HASH, 1, DIGITS)
+
+
+def _prefixes(hashed: DataFrame) -> list[str]:
+    """The folders that ``hashed`` falls in: at most 16 ** DIGITS short strings, whatever its size."""
+    return [r[0] for r in hashed.select(_prefix().alias(PREFIX)).distinct().collect()]
+
+
+def stored_memo(spark: SparkSession, path: str, payload: str, hashed: DataFrame | None = None) -> DataFrame:
+    """The memo stored below ``path``, with the columns ``payload`` (a schema) next to the hash; empty before the first run.
+
+    With ``hashed``, only the folders that its requests fall in are read.
+    """
+    memo = read_stored(spark, path, f"{HASH} string, {payload}, {PREFIX} string")
+    if hashed is not None:
+        memo = memo.where(F.col(PREFIX).isin(_prefixes(hashed)))
+    return memo.drop(PREFIX)
+
+
+def update_memo(results: DataFrame, path: str, payload: str) -> None:
+    """Store new results; an entry that is already there stays, and folders without a new result are not touched.
+
+    The touched folders are read, merged and replaced when the job has ended. ``results`` are read twice, the first
+    time for their hashes alone. One writer at a time: two would each replace a folder by what they had read.
+    """
+    spark = results.sparkSession
+    merged = memo_merge(stored_memo(spark, path, payload, results), results)
+    (
+        merged.withColumn(PREFIX, _prefix())
+        .hint("rebalance", PREFIX)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(PREFIX)
+        .parquet(path)
+    )

@@ -63,7 +63,7 @@ def pair(
     )
 
 
-def _repeated(side: DataFrame, on: Sequence[str], out: str) -> DataFrame:
+def repeated_keys(side: DataFrame, on: Sequence[str], out: str) -> DataFrame:
     """Keys that a side holds more than once; only keys are read, and counted before they move."""
     counts = side.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     return counts.select(*on, F.lit(True).alias(out))
@@ -71,7 +71,7 @@ def _repeated(side: DataFrame, on: Sequence[str], out: str) -> DataFrame:
 
 def _pair_unique(refs: DataFrame, preds: DataFrame, on: Sequence[str], keep_unmatched: bool) -> DataFrame:
     # lists of keys have each once: a hot key's rows are spread by the planner, and all joins are by the key alone
-    lists = _repeated(refs, on, "_ref_again"), _repeated(preds, on, "_pred_again")
+    lists = repeated_keys(refs, on, "_ref_again"), repeated_keys(preds, on, "_pred_again")
     marked = [side.join(lists[0], on, "left").join(lists[1], on, "left") for side in (refs, preds)]
     again = F.coalesce("_ref_again", "_pred_again", F.lit(False))
     once, rejected = ([m.where(c).drop("_ref_again", "_pred_again") for m in marked] for c in (~again, again))

@@ -44,9 +44,16 @@ def one_reference_many_estimates(
     on: str | Sequence[str],
     est_key: str | Sequence[str],
     rows_per_copy: int = 10_000,
+    keep_unmatched: bool = False,
 ) -> DataFrame:
-    """Pair every estimate with the reference it shares; popular references are split."""
-    return hot_key_join(ests, refs, on, est_key, rows_per_copy)
+    """Pair every estimate with the reference it shares; popular references are split.
+
+    With ``keep_unmatched``, estimates without a reference stay, as ``missing_reference``.
+    """
+    if not keep_unmatched:
+        return hot_key_join(ests, refs, on, est_key, rows_per_copy)
+    paired = hot_key_join(ests, refs.withColumn("_in_refs", F.lit(True)), on, est_key, rows_per_copy, "left")
+    return flag(paired, {MISSING_REFERENCE: F.col("_in_refs").isNull()}).drop("_in_refs")
 
 
 def _segment_energies(df: DataFrame, ref: str, est: str) -> DataFrame:

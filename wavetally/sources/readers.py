@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,3 +95,15 @@ def read_predictions(spark: SparkSession, directory: str, schema: T.StructType |
 def checkpoints(predictions: DataFrame) -> DataFrame:
     """Names of the checkpoints, sorted."""
     return predictions.select("checkpoint").distinct().orderBy("checkpoint")
+
+
+def read_stored(
+    spark: SparkSession, path: str, schema: T.StructType | str, form: str = "parquet", **options: str
+) -> DataFrame:
+    """What jobs stored below ``path``, an empty table where none has yet. Partition columns are part of ``schema``."""
+    try:
+        return spark.read.schema(schema).format(form).options(**options).load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
