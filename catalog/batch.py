@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +33,11 @@ from wavetally.operators.pairing import (
     with_sample_metadata,
 )
 from wavetally.operators.summary import summarise
-from wavetally.plans.batch import ASR_METRICS, Evaluation, frame_metrics, score_signals, score_transcripts
+from wavetally.plans.batch import ASR_METRICS, Evaluation, Job, frame_metrics, score_signals, score_transcripts
 from wavetally.plans.isolation import isolated
 from wavetally.plans.corpus import evaluate_corpus, store_corpus
 from wavetally.plans.sweep import evaluate_sweep, resume_sweep, sweep_requests
-from wavetally.session import scratch_dir
+from wavetally.session import scratch_dir, shuffle_partitions
 from wavetally.sources.readers import read_hashed_files
 
 # ---- identity, sampling -------------------------------------------------
@@ -260,6 +261,11 @@ def file_memo(spark: SparkSession, sf: str) -> DataFrame:
 # ---- batch, corpus, sweep -----------------------------------------------
 
 
+def dealt_score(spark: SparkSession) -> Job:
+    """The transcript score with its pairs dealt out, as all turns lie in one row group."""
+    return partial(score_transcripts, tasks=shuffle_partitions(spark))
+
+
 def turn_samples(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", "text")
 
@@ -277,7 +283,7 @@ def batch_eval(spark: SparkSession, sf: str) -> DataFrame:
     def infer(requests: DataFrame) -> DataFrame:
         return turn_preds(spark, sf).join(requests.select(*TURN), TURN, "left_semi")
 
-    evaluation = Evaluation(score_transcripts)
+    evaluation = Evaluation(dealt_score(spark))
     evaluation.set_infer(infer)
     scores = evaluation.batch(
         turn_samples(spark, sf), key=TURN, batch_metadata={"experiment": "next turn"}
@@ -312,7 +318,7 @@ def infer_errors(spark: SparkSession, sf: str) -> DataFrame:
         heard = requests.select(*TURN).join(turn_preds(spark, sf), TURN, "left")
         return heard.transform(job).where(F.col("hyp").isNotNull() | F.col("inference_error").isNotNull())
 
-    scores = Evaluation(score_transcripts, infer=infer).batch(turn_samples(spark, sf), key=TURN)
+    scores = Evaluation(dealt_score(spark), infer=infer).batch(turn_samples(spark, sf), key=TURN)
     return scores.select(*TURN, *[rounded(m).alias(m) for m in ASR_METRICS], "status", "inference_error")
 
 
@@ -409,7 +415,7 @@ def corpus_eval(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations").withColumn("sample_idx", idx)
     preds = turns.select((F.col("sample_idx") - 1).alias("sample_idx"), F.col("text").alias("hyp"))
     _, summary = evaluate_corpus(
-        Evaluation(score_transcripts),
+        Evaluation(dealt_score(spark)),
         turns.select("sample_idx", "text"),
         "sample_idx",
         ASR_METRICS,
@@ -445,7 +451,7 @@ def corpus_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     preds = corpus.select((F.col("sample_idx") - 1).alias("sample_idx"), F.col("text").alias("hyp"))
     meta = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sample_idx"), "role")
     stored, _ = store_corpus(
-        Evaluation(score_transcripts), corpus, "sample_idx", ASR_METRICS, scratch_dir(spark, "runs"),
+        Evaluation(dealt_score(spark)), corpus, "sample_idx", ASR_METRICS, scratch_dir(spark, "runs"),
         datetime(2025, 1, 31, 23, 59, 59), n=200, seed=7, meta=meta,
         batch_metadata={"dataset": "conversations"}, predictions=preds,
     )
@@ -497,7 +503,7 @@ def sweep_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Checkpoints predict the turn one, two or three ahead; one predicts nothing. Some predict turns nobody has."""
     refs = turn_samples(spark, sf)
     preds = predictions_ahead(spark, sf)
-    _, comparison = evaluate_sweep(refs, preds, score_transcripts, TURN, ASR_METRICS, CHECKPOINTS)
+    _, comparison = evaluate_sweep(refs, preds, dealt_score(spark), TURN, ASR_METRICS, CHECKPOINTS)
     return comparison.withColumns({c: rounded(c) for c in ("mean", "std")})
 
 
@@ -516,7 +522,7 @@ def sweep_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     for there in (["ahead1", "ahead2"], ["ahead3"]):
         preds.where(F.col("checkpoint").isin(there)).write.mode("append").partitionBy("checkpoint").parquet(arrived)
         scores, _ = resume_sweep(
-            refs, arrived, stored, score_transcripts, "sample_idx", ASR_METRICS,
+            refs, arrived, stored, dealt_score(spark), "sample_idx", ASR_METRICS,
             batch_metadata={"dataset": "conversations"}, schema=schema,
         )
     summary = summarise(scores, ASR_METRICS, ["dataset", "checkpoint"])

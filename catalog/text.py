@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query, rounded, table
 from wavetally.functions.text import normalise
-from wavetally.operators.error_rates import cer, corpus_error_rate, error_rates, wer
+from wavetally.operators.error_rates import cer, corpus_error_rate, error_rates, spread, wer
 from wavetally.operators.memo import build_requests
 from wavetally.operators.pairing import fill_sentinels, pair
 from wavetally.operators.summary import summarise
@@ -89,7 +89,7 @@ SELECT conv_id, turn, char_edits, ref_chars,
        round(char_edits / CAST(ref_chars AS DOUBLE), 6) AS cer FROM char_edits""",
 )
 def cer_turns(spark: SparkSession, sf: str) -> DataFrame:
-    scored = cer(matched_turns(spark, sf))
+    scored = cer(spread(matched_turns(spark, sf)))
     return scored.select(*TURN, "char_edits", "ref_chars", rounded("cer").alias("cer"))
 
 
@@ -100,7 +100,7 @@ SELECT conv_id, turn, word_edits, ref_words,
        round(word_edits / CAST(ref_words AS DOUBLE), 6) AS wer FROM word_edits""",
 )
 def wer_turns(spark: SparkSession, sf: str) -> DataFrame:
-    scored = wer(matched_turns(spark, sf))
+    scored = wer(spread(matched_turns(spark, sf)))
     return scored.select(*TURN, "word_edits", "ref_words", rounded("wer").alias("wer"))
 
 
@@ -115,7 +115,7 @@ SELECT role, count(*) AS samples,
 FROM rates GROUP BY role""",
 )
 def corpus_rate(spark: SparkSession, sf: str) -> DataFrame:
-    pooled = corpus_error_rate(error_rates(matched_turns(spark, sf)), "role")
+    pooled = corpus_error_rate(error_rates(spread(matched_turns(spark, sf))), "role")
     return pooled.withColumns({m: rounded(m) for m in ("cer", "wer")})
 
 
@@ -138,7 +138,7 @@ SELECT NULL, metric, NULL, NULL, 0, 0, 0, n_rejected FROM first_turns, (VALUES (
 )
 def wer_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Turns without a successor are rejected samples of their role, first turns are predictions without a reference."""
-    summary = summarise(error_rates(all_turn_pairs(spark, sf)), ["cer", "wer"], "role")
+    summary = summarise(error_rates(spread(all_turn_pairs(spark, sf))), ["cer", "wer"], "role")
     return summary.withColumns({c: rounded(c) for c in ("mean", "std")})
 
 
@@ -154,7 +154,7 @@ SELECT conv_id, turn - 1, -1.0, 'missing_reference' FROM conversations a
 WHERE NOT EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn = a.turn - 1)""",
 )
 def sentinel_scores(spark: SparkSession, sf: str) -> DataFrame:
-    filled = fill_sentinels(wer(all_turn_pairs(spark, sf)), ["wer"])
+    filled = fill_sentinels(wer(spread(all_turn_pairs(spark, sf))), ["wer"])
     return filled.select(*TURN, rounded("wer").alias("wer"), "status")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from wavetally.functions.edits import long_edit_distance
 from wavetally.functions.text import normalise, words
 from wavetally.operators.pairing import MISSING_PREDICTION, MISSING_REFERENCE, OK, as_list, flag
+from wavetally.session import shuffle_partitions
 
 EMPTY_REFERENCE = "empty_reference"
 # table cells up to which the built-in distance is the faster one
@@ -19,6 +20,16 @@ SHORT_WORD_CELLS = 250_000
 COUNTS = ["char_edits", "ref_chars", "word_edits", "ref_words"]
 
 
+def spread(pairs: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The pairs dealt out evenly to ``tasks``, by default the session's shuffle partitions.
+
+    Distances cost the product of both lengths: up to a millisecond for a pair that takes microseconds to move. So
+    before scoring a shuffle pays where the input has few splits (one row group is read by one task, and a broadcast
+    join adds none), or where long texts lie together. Input of many even splits needs none.
+    """
+    return pairs.repartition(tasks or shuffle_partitions(pairs.sparkSession))
+
+
 def _one_character_per_word(word_array: str, common: str) -> Column:
     """Each word becomes one character, so text functions count words.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavetally.operators.error_rates import error_rates
+from wavetally.operators.error_rates import error_rates, spread
 from wavetally.operators.fused import FRAME_SCORES, frame_scores
 from wavetally.operators.memo import build_requests
 from wavetally.operators.pairing import (
@@ -30,9 +30,16 @@ TTS_METRICS = ["pesq", "stoi", "si_sdr", "sim_o", "sim_r"]
 ASR_METRICS = ["cer", "wer"]
 
 
-def score_transcripts(pairs: DataFrame, ref: str = "text", hyp: str = "hyp", as_percent: bool = False) -> DataFrame:
-    """CER and WER with their counts; the texts themselves are not carried on."""
-    return error_rates(pairs, ref, hyp, as_percent=as_percent).drop(ref, hyp)
+def score_transcripts(
+    pairs: DataFrame, ref: str = "text", hyp: str = "hyp", as_percent: bool = False, tasks: int | None = None
+) -> DataFrame:
+    """CER and WER with their counts; the texts themselves are not carried on.
+
+    With ``tasks`` the pairs are dealt out evenly to so many before they are scored, see
+    :func:`wavetally.operators.error_rates.spread`.
+    """
+    dealt = pairs if tasks is None else spread(pairs, tasks)
+    return error_rates(dealt, ref, hyp, as_percent=as_percent).drop(ref, hyp)
 
 
 def score_signals(
