@@ -12,7 +12,7 @@ from catalog.signals import PAIRED_SQL, si_sdr_pairs
 from wavetally.functions import vectors as V
 from wavetally.session import scratch_dir
 from wavetally.sinks.writers import write_pairs, write_scores, write_sweep
-from wavetally.sources.readers import read_hashed_files, read_manifest, read_predictions
+from wavetally.sources.readers import read_file_identities, read_hashed_files, read_manifest, read_predictions
 
 
 @query("scores_readback", f"SELECT *, '20250131_235959' AS run_ts FROM ({PAIRED_SQL})")
@@ -118,3 +118,20 @@ def hashed_files(spark: SparkSession, sf: str) -> DataFrame:
     line = F.concat_ws(" ", "source", F.col("n").cast("string"), F.col("chars").cast("string"))
     per_source.select(line.alias("value"), "source").write.partitionBy("source").text(path)
     return read_hashed_files(spark, path, "*.txt").select("length", "content_md5")
+
+
+@query(
+    "file_identities",
+    """WITH f AS (SELECT page_id, encode(coalesce(html, '')) AS content FROM pages),
+n AS (SELECT page_id, octet_length(content) + 1 AS length, md5(coalesce(html, '') || chr(10)) AS h
+      FROM f JOIN pages USING (page_id))
+SELECT page_id, CAST(length AS BIGINT) AS length,
+       CASE WHEN count(*) OVER (PARTITION BY length) > 1 THEN h END AS content_md5 FROM n""",
+)
+def file_identities(spark: SparkSession, sf: str) -> DataFrame:
+    """A file per page; only files whose length another one has are read and hashed."""
+    path = scratch_dir(spark, "pages")
+    pages = table(spark, sf, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("value"))
+    pages.repartition("page_id").write.partitionBy("page_id").text(path)
+    page = F.regexp_extract("path", r"page_id=(\d+)", 1).cast("bigint").alias("page_id")
+    return read_file_identities(spark, path, "*.txt").select(page, "length", "content_md5")

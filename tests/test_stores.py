@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import hashlib
 import os
 from datetime import datetime
 
@@ -13,6 +14,7 @@ from wavetally.operators.signal import one_reference_many_estimates, si_sdr
 from wavetally.plans.batch import Evaluation, score_transcripts
 from wavetally.plans.corpus import evaluate_corpus, store_corpus
 from wavetally.plans.sweep import evaluate_sweep, pair_sweep, resume_sweep
+from wavetally.sources.readers import checkpoint_folders, read_file_identities
 
 
 def hashed(spark, ids):
@@ -145,3 +147,50 @@ def test_estimates_without_reference_stay(spark):
     scored = si_sdr(one_reference_many_estimates(refs, ests, "ref_id", "est_id", 1, keep_unmatched=True)).collect()
     status = {r["est_id"]: (r["status"], r["si_sdr"] is None) for r in scored}
     assert status == {0: ("ok", False), 1: ("ok", False), 2: ("missing_reference", True), 3: ("missing_reference", True)}
+
+
+def test_sweep_takes_names_from_folders(spark, tmp_path):
+    arrived, stored = str(tmp_path / "predictions"), str(tmp_path / "scores")
+    sweep_files(spark, arrived, ["0010"])
+    spark.range(3).select(F.col("id").alias("k"), F.lit("x").alias("hyp"), F.lit("a=b/c").alias("checkpoint")).write.mode(
+        "append"
+    ).partitionBy("checkpoint").parquet(arrived)
+    spark.range(0).select(F.col("id").alias("k"), F.lit("x").alias("hyp")).write.parquet(f"{arrived}/checkpoint=empty")
+    os.makedirs(f"{arrived}/checkpoint=nothing")
+    assert checkpoint_folders(spark, arrived) == ["0010", "a=b/c", "empty"]
+    assert checkpoint_folders(spark, stored) == []
+    refs = spark.range(3).select(F.col("id").alias("k"), F.lit("x").alias("text"))
+    _, summary = resume_sweep(refs, arrived, stored, score_transcripts, "k", ["cer"])
+    counts = {r["checkpoint"]: (r["n_ok"], r["n_rejected"]) for r in summary.collect()}
+    assert counts == {"0010": (3, 37), "a=b/c": (3, 0), "empty": (0, 3)}
+    assert checkpoint_folders(spark, stored) == ["0010", "a=b/c", "empty"]
+
+
+def test_only_files_of_equal_length_are_hashed(spark, tmp_path):
+    texts = {"a": "one", "b": "two", "c": "three", "d": "one", "e": "x" * 5000, "f": "", "g": "seven more"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.bin").write_text(text)
+
+    def identities(**options):
+        rows = read_file_identities(spark, str(tmp_path), "*.bin", **options).collect()
+        return {r["path"][-5]: (r["length"], r["content_md5"]) for r in rows}
+
+    expected = {
+        n: (len(t), hashlib.md5(t.encode()).hexdigest() if len(t) == 3 else None) for n, t in texts.items() if t
+    }
+    assert identities() == expected
+    known = spark.createDataFrame([(10,), (77,), (None,)], "length bigint")
+    expected["g"] = (10, hashlib.md5(b"seven more").hexdigest())
+    assert identities(known=known) == expected
+    plan = read_file_identities(spark, str(tmp_path), "*.bin")._jdf.queryExecution().executedPlan().toString()
+    reads = [line for line in plan.splitlines() if "FileScan binaryFile" in line]
+    with_bytes = [line for line in reads if "content" in line]
+    assert len(with_bytes) == 1 and "GreaterThanOrEqual(length,3), LessThanOrEqual(length,3)" in with_bytes[0].replace(" ", "").replace(",L", ", L"), plan
+
+
+def test_dealt_pairs_give_the_same_scores(spark):
+    pairs = spark.createDataFrame([(i, "a b c"[: i % 6], "a c") for i in range(50)], "k int, text string, hyp string")
+    pairs = pairs.withColumn("status", F.lit("ok")).coalesce(1)
+    dealt = score_transcripts(pairs, tasks=7)
+    assert dealt.rdd.getNumPartitions() == 7
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, score_transcripts(pairs).collect()))

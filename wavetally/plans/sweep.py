@@ -20,8 +20,7 @@ from wavetally.operators.summary import compare_checkpoints
 from wavetally.plans.batch import Job
 from wavetally.plans.corpus import drawn_keys
 from wavetally.sinks.writers import write_sweep
-from wavetally.sources.readers import checkpoints as names_of
-from wavetally.sources.readers import read_predictions, read_stored
+from wavetally.sources.readers import checkpoint_folders, read_predictions, read_stored
 
 
 def sweep_requests(samples: DataFrame, checkpoints: Sequence[str]) -> DataFrame:
@@ -106,9 +105,9 @@ def resume_sweep(
     """(stored scores of all checkpoints, their comparison), after scoring the new ones.
 
     Folders ``checkpoint=<name>`` below ``predictions`` that ``directory`` lacks are read, scored on the same samples
-    (a seeded ``n`` of ``refs``, or all) and stored below ``directory``; the others' predictions are not read. Only
-    the names of folders reach the driver. A checkpoint whose writing was cut short is not there and is scored again
-    by the next call. The comparison is taken from the stored rows, so nothing is scored twice.
+    (a seeded ``n`` of ``refs``, or all) and stored below ``directory``; the others' predictions are not read. Which
+    those are is told by the folders of both sides, without reading rows. A checkpoint whose writing was cut short is
+    not there and is scored again by the next call; one without predictions is stored as missing. The comparison is taken from the stored rows, so nothing is scored twice.
     """
     spark, on = refs.sparkSession, as_list(key)
     preds = read_predictions(spark, predictions, schema)
@@ -123,9 +122,8 @@ def resume_sweep(
     def stored() -> DataFrame:
         return read_stored(spark, directory, scored([]).schema, "csv", header="true")
 
-    there = {r["checkpoint"] for r in names_of(stored()).collect()}
-    new = [r["checkpoint"] for r in names_of(read_predictions(spark, predictions, schema)).collect()]
-    todo = [c for c in new if c is not None and c not in there]
+    there = set(checkpoint_folders(spark, directory))
+    todo = [c for c in checkpoint_folders(spark, predictions) if c not in there]
     if todo:
         write_sweep(scored(todo), directory)
     scores = stored()

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Spark's folder of rows without a value.
+NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 UTTERANCE_LINE = r"^(\d+)-(\d+)-(\d+)\s+(.*)$"  # fixed format: speaker-chapter-utterance text
 
 
@@ -61,15 +65,47 @@ def rejected_lines(spark: SparkSession, directory: str, glob: str = "*.trans.txt
     return lines.where(kept).select(F.col("_file").alias("file"), F.col("value").alias("line"))
 
 
+def _files(spark: SparkSession, directory: str, glob: str) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    return reader.option("pathGlobFilter", glob).load(directory)
+
+
 def read_hashed_files(spark: SparkSession, directory: str, glob: str = "*") -> DataFrame:
     """Path, length and md5 of each file's bytes. Spark's scan passes over empty files."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .load(directory)
-        .select("path", "length", F.md5("content").alias("content_md5"))
-    )
+    return _files(spark, directory, glob).select("path", "length", F.md5("content").alias("content_md5"))
+
+
+#: Colliding lengths are told to the scan as ranges: at most so many for each doubling of the length, some 500 in all.
+RANGES_PER_DOUBLING = 8
+
+
+def read_file_identities(
+    spark: SparkSession, directory: str, glob: str = "*", known: DataFrame | None = None
+) -> DataFrame:
+    """Path, length and md5 of files, the md5 only where another file has the same length, else NULL.
+
+    Files of different lengths differ, so bytes are read for lengths that at least two files share, or that
+    ``known`` (a column ``length``, of files hashed before) has. Lengths come from the listing. The scan skips files
+    by ranges of lengths, so that a few more may be read than collide; what it tells of them is NULL all the same. Only
+    the bounds of the ranges reach the driver. Empty files are not listed.
+    """
+    files = _files(spark, directory, glob)
+    listed = files.select("path", "length")
+    again = listed.groupBy("length").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("length")
+    if known is not None:
+        before = known.select(F.col("length").cast("bigint").alias("length"))
+        again = again.unionByName(listed.select("length").join(before, "length", "left_semi"))
+    again = again.distinct()
+    step = F.floor(F.log2(F.col("length").cast("double")) * RANGES_PER_DOUBLING)
+    spans = again.groupBy(step).agg(F.min("length").alias("low"), F.max("length").alias("high")).collect()
+    wanted = F.lit(False)
+    for span in spans:
+        wanted |= (F.col("length") >= span["low"]) & (F.col("length") <= span["high"])
+    # hashed before the join: bytes are never shuffled
+    hashed = files.where(wanted).select("path", "length", F.md5("content").alias("content_md5"))
+    alone = listed.join(again, "length", "left_anti").withColumn("content_md5", F.lit(None).cast("string"))
+    names = ["path", "length", "content_md5"]
+    return hashed.join(again, "length", "left_semi").select(names).unionByName(alone.select(names))
 
 
 def read_predictions(spark: SparkSession, directory: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -97,6 +133,27 @@ def checkpoints(predictions: DataFrame) -> DataFrame:
     return predictions.select("checkpoint").distinct().orderBy("checkpoint")
 
 
+def checkpoint_folders(spark: SparkSession, directory: str) -> list[str]:
+    """Names of the checkpoints that have a file in ``checkpoint=<name>/`` below ``directory``, sorted.
+
+    Folders are listed and no rows are read, so a checkpoint whose files hold no row is found too. None where
+    ``directory`` does not exist. A sweep has as many names as folders, few enough for the driver.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(directory)
+    fs = at.getFileSystem(conf)
+    if not fs.exists(at):
+        return []
+    names = []
+    for folder in fs.listStatus(at):
+        column, _, name = folder.getPath().getName().partition("=")
+        if column != "checkpoint" or not folder.isDirectory() or name == NULL_FOLDER:
+            continue
+        if any(not f.getPath().getName().startswith(("_", ".")) for f in fs.listStatus(folder.getPath())):
+            names.append(unquote(name))
+    return sorted(names)
+
+
 def read_stored(
     spark: SparkSession, path: str, schema: T.StructType | str, form: str = "parquet", **options: str
 ) -> DataFrame:
