@@ -24,7 +24,11 @@ CELL_SHARDS, CELL_BLOCKS = 8, 16
 
 
 def scaled(vector: str | Column, factor: int = 256) -> Column:
-    """``floor(factor * x)`` of every component, null if the vector or one of its components is null or not finite."""
+    """``floor(factor * x)`` of every component, null if the vector or one of its components is null or not finite.
+
+    Components beyond 2**63 / ``factor`` count as the largest long, and scores beyond 64 bits wrap around: no long
+    could hold them.
+    """
     v = F.col(vector) if isinstance(vector, str) else vector
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     return F.when(good, F.transform(v, lambda x: F.floor(x.cast("double") * factor)))
