@@ -128,11 +128,6 @@ def read_predictions(spark: SparkSession, directory: str, schema: T.StructType |
     return spark.read.schema(text).parquet(directory)
 
 
-def checkpoints(predictions: DataFrame) -> DataFrame:
-    """Names of the checkpoints, sorted."""
-    return predictions.select("checkpoint").distinct().orderBy("checkpoint")
-
-
 def checkpoint_folders(spark: SparkSession, directory: str) -> list[str]:
     """Names of the checkpoints that have a file in ``checkpoint=<name>/`` below ``directory``, sorted.
 
