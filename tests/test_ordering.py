@@ -54,6 +54,14 @@ def test_positions_across_partitions(spark, buckets):
     assert got == want
 
 
+def test_positions_below_a_union(spark, stored):
+    """A union runs its sides in one stage, where tasks of the second side have higher numbers."""
+    rows = index_within(stored, "g", "id")
+    even, odd = (rows.where(F.col("id") % 2 == i).select("g", "id", "idx") for i in (0, 1))
+    want = sorted(map(str, rows.select("g", "id", "idx").collect()))
+    assert len(want) == 5000 and sorted(map(str, even.unionByName(odd).collect())) == want
+
+
 def test_sample_reads_once_and_lazily(spark, stored):
     assert jobs(spark, lambda: seeded_sample(stored, "id", 50)) == 0
     assert final_plan(seeded_sample(stored, "id", 50)).count("FileScan") == 1

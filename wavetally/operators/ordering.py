@@ -7,7 +7,6 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,14 +15,14 @@ from wavetally.operators.pairing import as_list
 from wavetally.session import shuffle_partitions
 
 
-_RUN = ["_part", "_row", "_run"]
+_RUN = ["_row", "_run"]
 
 
 def _numbered(group: Sequence[str]):
-    """Adds the partition, the row's number in it, and that of the first row of its run of equal groups."""
+    """Adds the row's number in its partition, and that of the first row of its run of equal groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, rows, start, last = TaskContext.get().partitionId(), 0, 0, None
+        rows, start, last = 0, 0, None
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -40,7 +39,7 @@ def _numbered(group: Sequence[str]):
             numbers = rows + np.arange(n)
             starts = np.maximum.accumulate(np.where(new, numbers, start))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(numbers), pa.array(starts)],
+                [*batch.columns, pa.array(numbers), pa.array(starts)],
                 names=[*batch.schema.names, *_RUN],
             )
             rows, start, last = rows + n, int(starts[-1]), own.slice(n - 1)
@@ -62,9 +61,9 @@ def index_within(
     on = as_list(group)
     n = buckets or shuffle_partitions(df.sparkSession)
     ranged = df.repartitionByRange(n, *on, key).sortWithinPartitions(*on, key)
-    schema = T.StructType(
-        [*df.schema, T.StructField("_part", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in _RUN[1:])]
-    )
+    # the number in this shuffle; that of the task is another one where a union runs both its sides in one stage
+    ranged = ranged.withColumn("_part", F.spark_partition_id())
+    schema = T.StructType([*ranged.schema, *(T.StructField(c, T.LongType()) for c in _RUN)])
     numbered = ranged.mapInArrow(_numbered(on), schema)
     same = F.struct(*on)
     parts = numbered.groupBy("_part").agg(
