@@ -38,6 +38,7 @@ from wavetally.plans.isolation import isolated
 from wavetally.plans.corpus import evaluate_corpus, store_corpus
 from wavetally.plans.sweep import evaluate_sweep, resume_sweep, sweep_requests
 from wavetally.session import scratch_dir, shuffle_partitions
+from wavetally.sinks.writers import key_of_path, write_texts
 from wavetally.sources.readers import read_hashed_files
 
 # ---- identity, sampling -------------------------------------------------
@@ -245,10 +246,8 @@ def file_memo(spark: SparkSession, sf: str) -> DataFrame:
     """A file per document, known by the hash of its bytes: those whose content no labelled one has are still to do."""
     path, memo, payload = scratch_dir(spark, "texts"), scratch_dir(spark, "memo"), "file string"
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    docs.repartition("doc_id").write.partitionBy("doc_id").text(path)
-    files = read_hashed_files(spark, path, "*.txt").select(
-        F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("bigint").alias("doc_id"), F.col("content_md5").alias(HASH)
-    )
+    write_texts(docs, path, "doc_id", "text")
+    files = read_hashed_files(spark, path, "*.txt").select(key_of_path("doc_id"), F.col("content_md5").alias(HASH))
     listing = scratch_dir(spark, "listing")
     files.write.parquet(listing)  # bytes are read and hashed once
     files = spark.read.schema(files.schema).parquet(listing)

@@ -11,7 +11,7 @@ from catalog.registry import query, rounded, table
 from catalog.signals import PAIRED_SQL, si_sdr_pairs
 from wavetally.functions import vectors as V
 from wavetally.session import scratch_dir
-from wavetally.sinks.writers import write_pairs, write_scores, write_sweep
+from wavetally.sinks.writers import key_of_path, write_pairs, write_scores, write_sweep, write_texts
 from wavetally.sources.readers import read_file_identities, read_hashed_files, read_manifest, read_predictions
 
 
@@ -132,6 +132,5 @@ def file_identities(spark: SparkSession, sf: str) -> DataFrame:
     """A file per page; only files whose length another one has are read and hashed."""
     path = scratch_dir(spark, "pages")
     pages = table(spark, sf, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("value"))
-    pages.repartition("page_id").write.partitionBy("page_id").text(path)
-    page = F.regexp_extract("path", r"page_id=(\d+)", 1).cast("bigint").alias("page_id")
-    return read_file_identities(spark, path, "*.txt").select(page, "length", "content_md5")
+    write_texts(pages, path, "page_id", "value")
+    return read_file_identities(spark, path, "*.txt").select(key_of_path("page_id"), "length", "content_md5")

@@ -9,12 +9,15 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+import catalog
 from wavetally.operators.memo import DIGITS, HASH, memo_todo, stored_memo, update_memo
 from wavetally.operators.signal import one_reference_many_estimates, si_sdr
 from wavetally.plans.batch import Evaluation, score_transcripts
 from wavetally.plans.corpus import evaluate_corpus, store_corpus
 from wavetally.plans.sweep import evaluate_sweep, pair_sweep, resume_sweep
-from wavetally.sources.readers import checkpoint_folders, read_file_identities
+from wavetally.session import scratch_dir
+from wavetally.sinks.writers import key_of_path, write_texts
+from wavetally.sources.readers import checkpoint_folders, read_file_identities, read_hashed_files
 
 
 def hashed(spark, ids):
@@ -188,6 +191,44 @@ def test_only_files_of_equal_length_are_hashed(spark, tmp_path):
     assert len(with_bytes) == 1 and "GreaterThanOrEqual(length,3), LessThanOrEqual(length,3)" in with_bytes[0].replace(" ", "").replace(",L", ", L"), plan
 
 
+def test_texts_have_a_file_each_in_few_folders(spark, tmp_path):
+    rows = [(i, f"text {i}") for i in range(300)] + [(7, "more"), (-3, None), (None, "x"), (1000, "")]
+    df = spark.createDataFrame(rows, "k bigint, text string").repartition(3)
+    where = str(tmp_path / "texts")
+    assert write_texts(df, f"file:{where}", "k", "text") == 303
+    assert len(os.listdir(where)) <= 4 and not glob.glob(f"{where}/*/.*")
+    got = {r["k"]: r["content_md5"] for r in read_hashed_files(spark, where, "*.txt").select(key_of_path("k"), "content_md5").collect()}
+    want = {i: {f"text {i}\n"} for i in range(300)} | {-3: {"\n"}, None: {"x\n"}, 1000: {"\n"}}
+    want[7] = {"text 7\nmore\n", "more\ntext 7\n"}
+    assert got.keys() == want.keys() and all(got[k] in {hashlib.md5(t.encode()).hexdigest() for t in want[k]} for k in want)
+
+
+def test_files_are_listed_once(spark, tmp_path):
+    for name in "abc":
+        (tmp_path / f"{name}.bin").write_text("one" if name < "c" else "three")
+    plan = read_file_identities(spark, str(tmp_path), "*.bin")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan binaryFile") == 1  # of the bytes; before, four more for the lengths
+
+
+def test_queries_on_files_make_no_folder_for_each_row(spark, tmp_path, monkeypatch):
+    made = []
+
+    def spy(session, name):
+        made.append(scratch_dir(session, name))
+        return made[-1]
+
+    monkeypatch.setattr("catalog.storage.scratch_dir", spy)
+    monkeypatch.setattr("catalog.batch.scratch_dir", spy)
+    tables = str(tmp_path)
+    spark.range(200).selectExpr("id doc_id", "string(id) text").write.parquet(f"{tables}/documents.parquet")
+    spark.range(0, 200, 2).selectExpr("id doc_id").write.parquet(f"{tables}/labels.parquet")
+    spark.range(200).selectExpr("id page_id", "string(id) html").write.parquet(f"{tables}/pages.parquet")
+    assert sorted(r["doc_id"] for r in catalog.QUERIES["file_memo"](spark, tables).collect()) == list(range(1, 200, 2))
+    assert catalog.QUERIES["file_identities"](spark, tables).where("content_md5 is not null").count() == 200
+    folders = [len(os.listdir(p)) for p in made if "/texts-" in p or "/pages-" in p]
+    assert len(folders) == 2 and max(folders) <= 4
+
+
 def test_dealt_pairs_give_the_same_scores(spark):
     pairs = spark.createDataFrame([(i, "a b c"[: i % 6], "a c") for i in range(50)], "k int, text string, hyp string")
     pairs = pairs.withColumn("status", F.lit("ok")).coalesce(1)

@@ -1,10 +1,17 @@
-"""Scores, sweeps and signal pairs as partitioned files."""
+"""Scores, sweeps and signal pairs as partitioned files, texts as a file for each key."""
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
 from datetime import datetime
+from itertools import groupby
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -77,3 +84,47 @@ def write_pairs(
         .partitionBy("side")
         .parquet(directory)
     )
+
+
+def _filesystem(directory: str) -> tuple[pafs.FileSystem, str]:
+    if directory.startswith("file:"):
+        directory = "/" + directory.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(directory if ":/" in directory else os.path.abspath(directory))
+
+
+def _write_each(directory: str, suffix: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = _filesystem(directory)
+        folder = f"{top}/part-{TaskContext.get().partitionId():05d}"
+        rows = (r for b in batches for r in zip(b.column("name").to_pylist(), b.column("content")))
+        n = 0
+        for name, texts in groupby(rows, key=lambda r: r[0]):
+            if not n:
+                fs.create_dir(folder)
+            # readers pass over names with a dot before; a name appears once its file is whole, also on a second attempt
+            begun = f"{folder}/.{uuid.uuid4().hex}"
+            with fs.open_output_stream(begun) as out:
+                for _, text in texts:
+                    out.write((text.as_py() or b"") + b"\n")
+            fs.move(begun, f"{folder}/{name}{suffix}")
+            n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return run
+
+
+def write_texts(df: DataFrame, directory: str, key: str, text: str, suffix: str = ".txt") -> int:
+    """A file ``<key>=<value>.txt`` for each value of a number ``key``, below a folder for each task; their number.
+
+    A row is a line, a null text an empty one; rows of one key share its file, rows without a key the file ``<key>=null``.
+    Spark's own writer makes a folder for each value, and three processes or more for each folder on a local disk.
+    """
+    name = F.concat(F.lit(f"{key}="), F.coalesce(F.col(key).cast("string"), F.lit("null"))).alias("name")
+    sorted_ = df.select(key, F.col(text).cast("binary").alias("content")).repartition(key).sortWithinPartitions(key)
+    written = sorted_.select(name, "content").mapInArrow(_write_each(directory, suffix), "n bigint")
+    return written.agg(F.sum("n")).first()[0] or 0
+
+
+def key_of_path(key: str, path: str = "path") -> Column:
+    """The key that :func:`write_texts` put into the name of a file, null for rows without one."""
+    return F.nullif(F.regexp_extract(path, rf"{key}=(-?\d+)\.[^/]*$", 1), F.lit("")).cast("bigint").alias(key)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wavetally.session import scratch_dir
+
 #: Spark's folder of rows without a value.
 NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 UTTERANCE_LINE = r"^(\d+)-(\d+)-(\d+)\s+(.*)$"  # fixed format: speaker-chapter-utterance text
@@ -85,12 +87,14 @@ def read_file_identities(
     """Path, length and md5 of files, the md5 only where another file has the same length, else NULL.
 
     Files of different lengths differ, so bytes are read for lengths that at least two files share, or that
-    ``known`` (a column ``length``, of files hashed before) has. Lengths come from the listing. The scan skips files
-    by ranges of lengths, so that a few more may be read than collide; what it tells of them is NULL all the same. Only
+    ``known`` (a column ``length``, of files hashed before) has. Lengths come from the listing, which is saved below the
+    shared folder, as a scan of very many files has very many tasks. The scan skips files by ranges of lengths, so that a few more may be read than collide; what it tells of them is NULL all the same. Only
     the bounds of the ranges reach the driver. Empty files are not listed.
     """
     files = _files(spark, directory, glob)
-    listed = files.select("path", "length")
+    listing = scratch_dir(spark, "listing")
+    files.select("path", "length").write.parquet(listing)
+    listed = spark.read.schema("path string, length bigint").parquet(listing)
     again = listed.groupBy("length").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("length")
     if known is not None:
         before = known.select(F.col("length").cast("bigint").alias("length"))
