@@ -9,9 +9,13 @@ one half of the two, of each part.
 Halves that are empty in both sets agree as well but say nothing. Bands have some parts to spare for them; a set with
 more empty halves than that has, besides, a signature for each element of its prefix, which any two such sets share.
 
-A signature may be shared by many sets that are not similar, as passages recur. So sets that meet in a bucket of more
-than ``HOT`` do not meet there, but by the elements of their prefixes in order of frequency: of similar sets those
-prefixes have an element in common, and it is a rare one unless the sets hold little else than what is frequent.
+A signature may be shared by many sets that are not similar, as passages recur. Each bucket is compared with one of
+its sets first, which settles groups of near copies. Sets in buckets of which more than ``HOT`` are left then do not
+meet there, but by the elements of their prefixes in order of frequency: of similar sets those prefixes have an element
+in common, and it is a rare one unless the sets hold little else than what is frequent.
+
+Sets travel for a comparison only if sketches of ``SKETCH`` bits, whether the number of elements with a hash is odd,
+allow it: two sets differ in at least as many elements as their sketches in bits.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from math import ceil, exp, sqrt
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavetally.llm.tables import in_small_batches, saved, small
@@ -35,6 +39,8 @@ PERCENT = 85
 GROWTH = 1.3
 #: The largest bucket in which sets meet by their signature alone.
 HOT = 16
+#: Bits of a sketch.
+SKETCH = 512
 #: So many elements at most, the most frequent, count as frequent; they go to every worker (4 MB).
 FREQUENT = 250_000
 
@@ -163,14 +169,25 @@ def _signature_rows(words: int, bands: Bands):
     return run
 
 
+_BITS = [f"bits{i}" for i in range(SKETCH // 64)]
+
+
+def sketch(elements: np.ndarray) -> list[int]:
+    """Whether the number of elements with a hash is odd, for ``SKETCH`` hashes, as 64-bit numbers."""
+    odd = np.bincount((mix(elements) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, text in _texts(batch):
-                s = _signed(shingle_set(text, words))
+                s = shingle_set(text, words)
+                lists = pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), pa.array(_signed(s)))
+                bits = [pa.array([b], pa.int64()) for b in sketch(s)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc_id], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), pa.array(s))],
-                    names=["id", "elements"],
+                    [pa.array([doc_id], pa.int64()), lists, pa.array([len(s)], pa.int64()), *bits],
+                    names=["id", "elements", "size", *_BITS],
                 )
 
     return run
@@ -226,6 +243,40 @@ def _shared(rows: DataFrame) -> DataFrame:
     return held.filter("first < last").select("sig", "n")
 
 
+def _labelled(buckets: DataFrame, found: DataFrame | None) -> DataFrame:
+    if found is None:
+        return buckets.withColumn("component", F.col("id"))
+    names = found.select("id", F.col("component").alias("root"))
+    return buckets.join(names, "id", "left").select(*buckets.columns, F.coalesce("root", "id").alias("component"))
+
+
+def _still_open(buckets: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Rows of buckets that hold sets of more than one component."""
+    labelled = _labelled(buckets, found)
+    ends = labelled.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    left = labelled.join(ends.filter("low < high").select("sig"), "sig", "left_semi").select(*buckets.columns)
+    return saved(left, "open")
+
+
+def _by_rare_elements(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Buckets ``sig, id, size, place`` in which sets of large buckets meet by their prefixes instead, and the other ones."""
+    names = ["sig", "id", "size", "place"]
+    large = saved(left.groupBy("sig").count().filter(F.col("count") > HOT).select("sig"), "large")
+    if large.isEmpty():
+        return left.select(*names)
+    hot = saved(left.join(small(large), "sig", "left_semi").select("id").distinct(), "hot")
+    hot_sets = sets.join(small(hot), "id", "left_semi").select("id", "elements")
+    parts = hot_sets.select("elements").mapInArrow(_element_counts, "e bigint, n bigint")
+    often = parts.groupBy("e").agg(F.sum("n").alias("count")).filter(F.col("count") > HOT)
+    often = often.orderBy(F.desc("count"), "e").limit(FREQUENT).toPandas().sort_values("e")
+    frequent = left.sparkSession.sparkContext.broadcast((often["e"].to_numpy(np.int64), often["count"].to_numpy(np.int64)))
+    schema = "sig bigint, id bigint, size bigint, place bigint"
+    rare = saved(hot_sets.mapInArrow(_prefixes(percent, frequent), schema), "rare")
+    rare = rare.join(_shared(rare).select("sig"), "sig", "left_semi")
+    rest = left.join(small(large), "sig", "left_anti").select(*names)
+    return saved(rest.unionByName(rare.select(*names)), "buckets")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``id, component`` for every id on an edge ``a, b``: the smallest id that edges lead to.
 
@@ -257,7 +308,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets are similar. The set of ``b`` joins first, as ``a`` may be in very many pairs."""
+    """The pairs ``a, b`` whose sets are similar. The set of ``b`` joins first, as ``a`` may be in very many pairs.
+
+    Pairs whose sketches differ in too many bits go before their sets are fetched.
+    """
+    sides = [sets.select(F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("size", *_BITS))) for s in "ba"]
+    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _BITS), F.lit(0))
+    near = pairs.join(sides[0], "b").join(sides[1], "a")
+    pairs = near.filter((100 + percent) * differ <= (100 - percent) * (F.col("size_a") + F.col("size_b"))).select("a", "b")
     right = sets.select(F.col("id").alias("b"), F.col("elements").alias("eb"))
     left = sets.select(F.col("id").alias("a"), F.col("elements").alias("ea"))
     both = pairs.join(right, "b").join(left, "a")
@@ -293,42 +351,28 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     distinct = texts.filter("doc_id is not null").join(small(copies), "doc_id", "left_anti")
 
     rows = distinct.mapInArrow(_signature_rows(words, bands), "sig bigint, id bigint")
-    buckets = saved(rows.join(_shared(rows), "sig").select("sig", "id", "n").distinct(), "buckets")
+    # signatures are made and moved once
+    in_bucket = Window.partitionBy("sig")
+    held = rows.withColumns({"first": F.min("id").over(in_bucket), "last": F.max("id").over(in_bucket)})
+    buckets = saved(held.filter("first < last").select("sig", "id").distinct(), "buckets")
     sizes = members.filter("doc_id = rep").select(F.col("rep").alias("id"), "n_shingles").distinct()
     ids = saved(buckets.select("id").distinct().join(sizes, "id"), "candidates")
+    schema = ", ".join(["id bigint", "elements array<bigint>", "size bigint", *(f"{b} bigint" for b in _BITS)])
     wanted = ids.select(F.col("id").alias("doc_id")).distinct()
     sets = saved(
-        distinct.join(small(wanted), "doc_id", "left_semi").mapInArrow(_sets(words), "id bigint, elements array<bigint>"),
+        distinct.join(small(wanted), "doc_id", "left_semi").mapInArrow(_sets(words), schema),
         "sets",
     )
 
-    hot = saved(buckets.filter(F.col("n") > HOT).select("id").distinct(), "hot")
-    buckets = (
-        buckets.filter(F.col("n") <= HOT)
-        .join(small(ids), "id")
-        .select("sig", "id", F.col("n_shingles").alias("size"), F.lit(0).cast("bigint").alias("place"))
+    buckets = buckets.join(small(ids), "id").select(
+        "sig", "id", F.col("n_shingles").alias("size"), F.lit(0).cast("bigint").alias("place")
     )
-    if not hot.isEmpty():
-        hot_sets = sets.join(small(hot), "id", "left_semi")
-        parts = hot_sets.select("elements").mapInArrow(_element_counts, "e bigint, n bigint")
-        often = parts.groupBy("e").agg(F.sum("n").alias("count")).filter(F.col("count") > HOT)
-        often = often.orderBy(F.desc("count"), "e").limit(FREQUENT).toPandas().sort_values("e")
-        frequent = spark.sparkContext.broadcast((often["e"].to_numpy(np.int64), often["count"].to_numpy(np.int64)))
-        schema = "sig bigint, id bigint, size bigint, place bigint"
-        rare = saved(hot_sets.mapInArrow(_prefixes(percent, frequent), schema), "rare")
-        rare = rare.join(_shared(rare).select("sig"), "sig", "left_semi")
-        buckets = saved(buckets.unionByName(rare), "buckets")
 
     found = None  # id, component of ids that have links
     tested = None
     hubs_per_bucket = 1
     while True:
-        labelled = buckets.withColumn("component", F.col("id"))
-        if found is not None:
-            names = found.select("id", F.col("component").alias("root"))
-            labelled = buckets.join(names, "id", "left").select(
-                *buckets.columns, F.coalesce("root", "id").alias("component")
-            )
+        labelled = _labelled(buckets, found)
         open_ = labelled.groupBy("sig").agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.min("size").alias("least")
         )
@@ -363,6 +407,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         buckets = left.drop("component").join(
             hubs.select("sig", F.col("hub.id").alias("id")), ["sig", "id"], "left_anti"
         )
+        if hubs_per_bucket == 1:
+            buckets = _by_rare_elements(_still_open(buckets, found), sets, percent)
         hubs_per_bucket *= 4
 
     component = F.col("rep")
