@@ -40,7 +40,7 @@ def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         return jaccard.drop_similar(docs)
     whole = max(added, key=len)
     before = docs.withColumns({"text": F.coalesce(whole, "text"), whole: F.col("text")})
-    kept = settled(lambda: jaccard.drop_similar(before), "whole")
+    kept = jaccard.drop_similar(before)
     return jaccard.drop_similar(kept.withColumn("text", F.col(whole)).drop(whole))
 
 

@@ -1,12 +1,18 @@
-"""Signatures are made once, groups of near copies need no element counts, sketches never hide a link."""
+"""Signatures are made once, groups of near copies need no element counts, sketches never hide a link.
+
+Sets that no pair needs stay where they are, and what a comparison wrote goes when it has ended.
+"""
 
 from __future__ import annotations
 
+import os
 import random
 
 import numpy as np
 
+import corpus_pipeline
 from wavetally.llm import jaccard
+from wavetally.llm.tables import saved
 
 
 def spied(monkeypatch):
@@ -73,3 +79,44 @@ def test_sketches_differ_in_no_more_bits_than_sets():
         b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 2**63, n).astype(np.uint64)]))
         bits = sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(jaccard.sketch(np.unique(a)), jaccard.sketch(b)))
         assert bits <= len(set(a.tolist()) ^ set(b.tolist())) and bits > 0
+
+
+def set_table(spark, texts):
+    rows = []
+    for i, text in enumerate(texts):
+        s = jaccard.shingle_set(text.encode())
+        rows.append((i, s.view(np.int64).tolist(), len(s), *jaccard.sketch(s)))
+    bits = ", ".join(f"{b} bigint" for b in jaccard._BITS)
+    return saved(spark.createDataFrame(rows, f"id bigint, elements array<bigint>, size bigint, {bits}"), "sets")
+
+
+def test_only_sets_of_near_pairs_move(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(100)) for _ in range(6)]
+    texts.append(texts[0] + " end")
+    sets = set_table(spark, texts)
+
+    def verified(pairs):
+        links = jaccard._verified(spark.createDataFrame(pairs, "a bigint, b bigint"), sets, 85)
+        return sorted(map(tuple, links.collect())), links._jdf.queryExecution().optimizedPlan().toString()
+
+    links, plan = verified([(0, 1), (0, 6), (2, 3), (4, 5)])
+    assert links == [(0, 6)] and plan.count("LeftSemi") == 2
+    links, plan = verified([(0, 1), (2, 3), (4, 5)])
+    assert links == [] and "elements" not in plan
+
+
+def test_similar_stage_leaves_ids_only(spark, tmp_path):
+    """Neither sets nor texts stay in the shared folder for the stages that follow."""
+    rng, base = random.Random(5), spark.conf.get("spark.checkpoint.dir")
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) for _ in range(40)]
+    whole = [None] * 30 + [t + " x" for t in texts[:10]]
+    rows = [(i, t, w) for i, (t, w) in enumerate(zip([*texts[:30], *texts[30:]], whole))]
+    rows += [(40, texts[0] + " y", None), (7, texts[7], None)]
+    docs = spark.createDataFrame(rows, f"doc_id bigint, text string, {corpus_pipeline.WHOLE} string")
+    before = set(os.listdir(base))
+    kept = corpus_pipeline.drop_similar(spark, saved(docs, "given"), str(tmp_path))
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(base)) - before}
+    assert left <= {"given", "components", "gone", "repeated", "once"}
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(30))
+    assert kept.columns == ["doc_id", "text"]

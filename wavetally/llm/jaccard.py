@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavetally.llm.tables import in_small_batches, saved, small
+from wavetally.llm.tables import in_small_batches, saved, settled, shuffles_freed, small
 from wavetally.llm.words import mix, shingle_hashes, space_words, word_hashes
 
 WORDS = 4
@@ -274,7 +274,7 @@ def _by_rare_elements(left: DataFrame, sets: DataFrame, percent: int) -> DataFra
     rare = saved(hot_sets.mapInArrow(_prefixes(percent, frequent), schema), "rare")
     rare = rare.join(_shared(rare).select("sig"), "sig", "left_semi")
     rest = left.join(small(large), "sig", "left_anti").select(*names)
-    return saved(rest.unionByName(rare.select(*names)), "buckets")
+    return rest.unionByName(rare.select(*names))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -310,15 +310,20 @@ def components(edges: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose sets are similar. The set of ``b`` joins first, as ``a`` may be in very many pairs.
 
-    Pairs whose sketches differ in too many bits go before their sets are fetched.
+    Pairs whose sketches differ in too many bits go before their sets are fetched, and only sets of the others move.
     """
     sides = [sets.select(F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("size", *_BITS))) for s in "ba"]
     differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _BITS), F.lit(0))
     near = pairs.join(sides[0], "b").join(sides[1], "a")
-    pairs = near.filter((100 + percent) * differ <= (100 - percent) * (F.col("size_a") + F.col("size_b"))).select("a", "b")
-    right = sets.select(F.col("id").alias("b"), F.col("elements").alias("eb"))
-    left = sets.select(F.col("id").alias("a"), F.col("elements").alias("ea"))
-    both = pairs.join(right, "b").join(left, "a")
+    near = near.filter((100 + percent) * differ <= (100 - percent) * (F.col("size_a") + F.col("size_b"))).select("a", "b")
+    near = saved(near, "near")
+    if near.isEmpty():
+        return near
+    wanted = saved(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    wanted_sets = sets.join(small(wanted), "id", "left_semi")
+    right = wanted_sets.select(F.col("id").alias("b"), F.col("elements").alias("eb"))
+    left = wanted_sets.select(F.col("id").alias("a"), F.col("elements").alias("ea"))
+    both = near.join(right, "b").join(left, "a")
     shared = F.size(F.array_intersect("ea", "eb"))
     return both.filter(100 * shared >= percent * (F.size("ea") + F.size("eb") - shared)).select("a", "b").distinct()
 
@@ -355,6 +360,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     in_bucket = Window.partitionBy("sig")
     held = rows.withColumns({"first": F.min("id").over(in_bucket), "last": F.max("id").over(in_bucket)})
     buckets = saved(held.filter("first < last").select("sig", "id").distinct(), "buckets")
+    shuffles_freed(spark)
     sizes = members.filter("doc_id = rep").select(F.col("rep").alias("id"), "n_shingles").distinct()
     ids = saved(buckets.select("id").distinct().join(sizes, "id"), "candidates")
     schema = ", ".join(["id bigint", "elements array<bigint>", "size bigint", *(f"{b} bigint" for b in _BITS)])
@@ -398,17 +404,18 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")
-        links = saved(_verified(pairs, sets, percent), "links")
+        links = settled(lambda pairs=pairs: _verified(pairs, sets, percent), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not links.isEmpty():
             if found is not None:  # what is known already, and new links between its components
                 links = links.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b")))
-            found = components(links)
+            found = settled(lambda links=links: components(links), "found")
         buckets = left.drop("component").join(
             hubs.select("sig", F.col("hub.id").alias("id")), ["sig", "id"], "left_anti"
         )
         if hubs_per_bucket == 1:
-            buckets = _by_rare_elements(_still_open(buckets, found), sets, percent)
+            still = _still_open(buckets, found)
+            buckets = settled(lambda: _by_rare_elements(still, sets, percent), "buckets")
         hubs_per_bucket *= 4
 
     component = F.col("rep")
@@ -422,9 +429,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 def drop_similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, the one of smallest id, with all columns; documents without words all stay.
 
-    Of rows that repeat an id one stays. Rows without an id stay.
+    Of rows that repeat an id one stays. Rows without an id stay. What the comparison wrote is deleted, but for ids.
     """
-    result = jaccard_components(docs, words, percent)
+    result = settled(lambda: jaccard_components(docs, words, percent), "components")
     gone = saved(result.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
     kind = dict(docs.dtypes)["doc_id"]
     kept = docs.join(small(gone.select(F.col("doc_id").cast(kind).alias("doc_id"))), "doc_id", "left_anti")
@@ -434,6 +441,6 @@ def drop_similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
         return kept
     again = repeated.select(F.col("doc_id").cast(kind).alias("doc_id"))
     single = kept.join(small(again), "doc_id", "left_anti").select(*docs.columns)
-    return single.unionByName(
-        kept.join(small(again), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    )
+    # saved, as another run might choose other rows
+    once = kept.join(small(again), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return single.unionByName(saved(once, "once"))

@@ -47,11 +47,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffles_freed(spark: SparkSession) -> None:
+    """Shuffle files that nothing refers to any more are deleted.
+
+    Spark removes them once the driver's garbage is collected, which is asked for here rather than left to the driver's
+    need of memory.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
     """The saved result of ``make``; what was saved on the way to it is deleted.
 
-    So are the shuffle files of its jobs, as far as nothing refers to them any more: Spark removes them once the
-    driver's garbage is collected, which is asked for here rather than left to the driver's need of memory.
+    So are the shuffle files of its jobs, as far as nothing refers to them any more.
     """
     start = len(_written)
     out = saved(make(), name)
@@ -61,7 +69,7 @@ def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
     _written[start:] = _written[-1:]
-    jvm.System.gc()
+    shuffles_freed(spark)
     return out
 
 
