@@ -85,9 +85,10 @@ def set_table(spark, texts):
     rows = []
     for i, text in enumerate(texts):
         s = jaccard.shingle_set(text.encode())
-        rows.append((i, s.view(np.int64).tolist(), len(s), *jaccard.sketch(s)))
+        fine = jaccard.sketch(s, jaccard.FINE) if len(s) > jaccard.SKETCH else None
+        rows.append((i, s.view(np.int64).tolist(), len(s), *jaccard.sketch(s), fine))
     bits = ", ".join(f"{b} bigint" for b in jaccard._BITS)
-    return saved(spark.createDataFrame(rows, f"id bigint, elements array<bigint>, size bigint, {bits}"), "sets")
+    return saved(spark.createDataFrame(rows, f"id bigint, elements array<bigint>, size bigint, {bits}, fine array<bigint>"), "sets")
 
 
 def test_only_sets_of_near_pairs_move(spark):
@@ -106,6 +107,19 @@ def test_only_sets_of_near_pairs_move(spark):
     assert links == [] and "elements" not in plan
 
 
+def test_large_sets_that_are_not_alike_do_not_move(spark):
+    """Sketches of 512 bits allow all pairs of sets this large; the finer ones refuse those that are not alike."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    other = [f"w{rng.randrange(10**6)}" for _ in range(1500)]
+    texts = [" ".join(t) for t in (base, base[:1500] + other, [f"v{w}" for w in base], base[:2950])]
+    sets = set_table(spark, texts)
+    links = jaccard._verified(spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "a bigint, b bigint"), sets, 85)
+    assert links.count() == 0 and "elements" not in links._jdf.queryExecution().optimizedPlan().toString()
+    links = jaccard._verified(spark.createDataFrame([(0, 1), (0, 3), (2, 3)], "a bigint, b bigint"), sets, 85)
+    assert sorted(map(tuple, links.collect())) == [(0, 3)]
+
+
 def test_similar_stage_leaves_ids_only(spark, tmp_path):
     """Neither sets nor texts stay in the shared folder for the stages that follow."""
     rng, base = random.Random(5), spark.conf.get("spark.checkpoint.dir")

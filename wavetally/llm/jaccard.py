@@ -15,7 +15,9 @@ meet there, but by the elements of their prefixes in order of frequency: of simi
 in common, and it is a rare one unless the sets hold little else than what is frequent.
 
 Sets travel for a comparison only if sketches of ``SKETCH`` bits, whether the number of elements with a hash is odd,
-allow it: two sets differ in at least as many elements as their sketches in bits.
+allow it: two sets differ in at least as many elements as their sketches in bits. Those of large sets are full and allow
+everything, so sets of more than ``SKETCH`` elements have a second sketch of ``FINE`` bits, which travels for pairs that
+the first one allows.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ GROWTH = 1.3
 HOT = 16
 #: Bits of a sketch.
 SKETCH = 512
+#: Bits of the second sketch of a large set; as bytes an eighth of that, where an element takes 8.
+FINE = 8192
 #: So many elements at most, the most frequent, count as frequent; they go to every worker (4 MB).
 FREQUENT = 250_000
 
@@ -172,9 +176,9 @@ def _signature_rows(words: int, bands: Bands):
 _BITS = [f"bits{i}" for i in range(SKETCH // 64)]
 
 
-def sketch(elements: np.ndarray) -> list[int]:
-    """Whether the number of elements with a hash is odd, for ``SKETCH`` hashes, as 64-bit numbers."""
-    odd = np.bincount((mix(elements) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+def sketch(elements: np.ndarray, bits: int = SKETCH) -> list[int]:
+    """Whether the number of elements with a hash is odd, for ``bits`` hashes, as 64-bit numbers."""
+    odd = np.bincount((mix(elements) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
@@ -185,9 +189,10 @@ def _sets(words: int):
                 s = shingle_set(text, words)
                 lists = pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), pa.array(_signed(s)))
                 bits = [pa.array([b], pa.int64()) for b in sketch(s)]
+                fine = pa.array([sketch(s, FINE) if len(s) > SKETCH else None], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc_id], pa.int64()), lists, pa.array([len(s)], pa.int64()), *bits],
-                    names=["id", "elements", "size", *_BITS],
+                    [pa.array([doc_id], pa.int64()), lists, pa.array([len(s)], pa.int64()), *bits, fine],
+                    names=["id", "elements", "size", *_BITS, "fine"],
                 )
 
     return run
@@ -307,25 +312,39 @@ def components(edges: DataFrame) -> DataFrame:
         edges = saved(small_star, "edges")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets are similar. The set of ``b`` joins first, as ``a`` may be in very many pairs.
+def _beside(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """The saved ``pairs`` with columns of their sets, as ``<column>_a`` and ``<column>_b``; no other sets move.
 
-    Pairs whose sketches differ in too many bits go before their sets are fetched, and only sets of the others move.
+    The set of ``b`` joins first, as ``a`` may be in very many pairs.
     """
+    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    held = sets.join(small(wanted), "id", "left_semi")
+    for side in "ba":
+        pairs = pairs.join(held.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
+    return pairs
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose sets are similar. Pairs whose sketches differ in too many bits go before their sets are fetched."""
+
+    def allowed(differ):
+        return (100 + percent) * differ <= (100 - percent) * (F.col("size_a") + F.col("size_b"))
+
     sides = [sets.select(F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("size", *_BITS))) for s in "ba"]
     differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _BITS), F.lit(0))
-    near = pairs.join(sides[0], "b").join(sides[1], "a")
-    near = near.filter((100 + percent) * differ <= (100 - percent) * (F.col("size_a") + F.col("size_b"))).select("a", "b")
-    near = saved(near, "near")
+    near = saved(pairs.join(sides[0], "b").join(sides[1], "a").filter(allowed(differ)).select("a", "b"), "near")
+    if near.isEmpty():
+        return near
+    bits = F.zip_with("fine_a", "fine_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    finely = allowed(F.aggregate(bits, F.lit(0), lambda n, m: n + m))
+    near = _beside(near, sets, "size", "fine").filter(F.coalesce(finely, F.lit(True)))
+    near = saved(near.select("a", "b"), "nearer")
     if near.isEmpty():
         return near
-    wanted = saved(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-    wanted_sets = sets.join(small(wanted), "id", "left_semi")
-    right = wanted_sets.select(F.col("id").alias("b"), F.col("elements").alias("eb"))
-    left = wanted_sets.select(F.col("id").alias("a"), F.col("elements").alias("ea"))
-    both = near.join(right, "b").join(left, "a")
-    shared = F.size(F.array_intersect("ea", "eb"))
-    return both.filter(100 * shared >= percent * (F.size("ea") + F.size("eb") - shared)).select("a", "b").distinct()
+    both = _beside(near, sets, "elements")
+    shared = F.size(F.array_intersect("elements_a", "elements_b"))
+    union = F.size("elements_a") + F.size("elements_b") - shared
+    return both.filter(100 * shared >= percent * union).select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -363,7 +382,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     shuffles_freed(spark)
     sizes = members.filter("doc_id = rep").select(F.col("rep").alias("id"), "n_shingles").distinct()
     ids = saved(buckets.select("id").distinct().join(sizes, "id"), "candidates")
-    schema = ", ".join(["id bigint", "elements array<bigint>", "size bigint", *(f"{b} bigint" for b in _BITS)])
+    schema = ", ".join(["id bigint", "elements array<bigint>", "size bigint", *(f"{b} bigint" for b in _BITS), "fine array<bigint>"])
     wanted = ids.select(F.col("id").alias("doc_id")).distinct()
     sets = saved(
         distinct.join(small(wanted), "doc_id", "left_semi").mapInArrow(_sets(words), schema),
@@ -404,6 +423,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")
+        shuffles_freed(spark)
         links = settled(lambda pairs=pairs: _verified(pairs, sets, percent), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not links.isEmpty():
