@@ -379,9 +379,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     in_bucket = Window.partitionBy("sig")
     held = rows.withColumns({"first": F.min("id").over(in_bucket), "last": F.max("id").over(in_bucket)})
     buckets = saved(held.filter("first < last").select("sig", "id").distinct(), "buckets")
-    shuffles_freed(spark)
     sizes = members.filter("doc_id = rep").select(F.col("rep").alias("id"), "n_shingles").distinct()
     ids = saved(buckets.select("id").distinct().join(sizes, "id"), "candidates")
+    shuffles_freed(spark)  # those of the signatures
     schema = ", ".join(["id bigint", "elements array<bigint>", "size bigint", *(f"{b} bigint" for b in _BITS), "fine array<bigint>"])
     wanted = ids.select(F.col("id").alias("doc_id")).distinct()
     sets = saved(
