@@ -133,5 +133,6 @@ def drop_recurring(docs: DataFrame, name: str = "dropped") -> DataFrame:
     found = lists.select(F.col("doc_id").alias(key), F.col("text_hash").alias(own), F.col("lines").alias(gone))
     same = (docs["doc_id"] == F.col(key)) & (F.xxhash64(docs["text"]) == F.col(own))
     joined = docs.join(small(found, size), same, "left").drop(key, own)
-    without = F.pandas_udf(_without, "string")
+    # else a filter on the new text runs it once more below, in a second Python worker of the same task
+    without = F.pandas_udf(_without, "string").asNondeterministic()
     return joined.withColumns({"text": without("text", gone), name: F.coalesce(F.size(gone), F.lit(0)).cast("bigint")}).drop(gone)
