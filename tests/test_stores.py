@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import glob
+import gzip
 import hashlib
 import os
 from datetime import datetime
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 import catalog
@@ -15,7 +18,7 @@ from wavetally.operators.signal import one_reference_many_estimates, si_sdr
 from wavetally.plans.batch import Evaluation, score_transcripts
 from wavetally.plans.corpus import evaluate_corpus, store_corpus
 from wavetally.plans.sweep import evaluate_sweep, pair_sweep, resume_sweep
-from wavetally.session import scratch_dir
+from wavetally.session import scratch_dir, shuffle_partitions
 from wavetally.sinks.writers import key_of_path, write_texts
 from wavetally.sources.readers import checkpoint_folders, read_file_identities, read_hashed_files
 
@@ -210,6 +213,60 @@ def test_files_are_listed_once(spark, tmp_path):
     assert plan.count("FileScan binaryFile") == 1  # of the bytes; before, four more for the lengths
 
 
+def odd_tree(top):
+    names = ["a.txt", "b.bin", "x,y.txt", ".hidden.txt", "_tmp.txt", "_k=v.txt", "_metadata.txt", "c.txt._COPYING_",
+             "in the/deep er/50%25 #1?.txt", "k=1/zip.txt.gz", "k=1/k=2/d.txt", ".dot/e.txt", "_under/f.txt",
+             "_k=3/g.txt", "_metadata/h.txt"]
+    for i, name in enumerate(names):
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_bytes(gzip.compress(b"x") if name.endswith("gz") else b"\x00\xff%d\n" % i)
+    (top / "empty.txt").touch()
+    (top / "k=1" / "none").mkdir()
+    (top / "long.txt").write_bytes(b"0123456789" * 300_000)
+    (top / "link").symlink_to(top / "k=1")
+    (top / "linked.txt").symlink_to(top / "a.txt")
+    (top / "gone.txt").symlink_to(top / "nowhere")
+
+
+def spark_scan(spark, path, pattern):
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    return sorted(scan.load(path).select("path", "length", F.md5("content").alias("content_md5")).collect())
+
+
+def test_tasks_list_the_files_that_sparks_scan_lists(spark, tmp_path):
+    top = tmp_path / "a tree%20"
+    odd_tree(top)
+    for pattern in ("*", "*.txt", "*.{bin,gz}", "[!a-c]*.txt", "?.txt", "x,y.*", "a\\.txt", "*.t?t*", "nothing"):
+        files = read_hashed_files(spark, str(top), pattern)
+        assert files.schema == spark.createDataFrame([], "path string, length bigint, content_md5 string").schema
+        assert sorted(files.collect()) == spark_scan(spark, str(top), pattern), pattern
+    assert len(read_hashed_files(spark, str(top)).collect()) == 13
+    for where in (f"file:{top}", f"file://{top}/", f"{top}/k=*", f"{top}/a.txt", f"{top}/*.txt", f"{top}/k=1/none"):
+        assert sorted(read_hashed_files(spark, where).collect()) == spark_scan(spark, where, "*"), where
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        read_hashed_files(spark, f"{top}/nowhere")
+
+
+def test_driver_and_tasks_do_not_grow_with_the_files(spark, tmp_path):
+    for i in range(200):
+        (tmp_path / f"{i}.bin").write_text(f"text {i}")
+    files = read_hashed_files(spark, str(tmp_path), "*.bin")
+    assert not files.inputFiles()  # before, the driver held all 200
+    assert files.rdd.getNumPartitions() == shuffle_partitions(spark)
+    assert files.select("path", "content_md5").distinct().count() == 200
+
+
+def test_stores_that_python_cannot_open_are_scanned_by_spark(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.bin").write_text("one")
+
+    def refuse(directory):
+        raise OSError("no library for this store")
+
+    monkeypatch.setattr("wavetally.sources.readers.filesystem", refuse)
+    files = read_hashed_files(spark, str(tmp_path))
+    assert len(files.inputFiles()) == 1 and [r["length"] for r in files.collect()] == [3]
+
+
 def test_queries_on_files_make_no_folder_for_each_row(spark, tmp_path, monkeypatch):
     made = []
 

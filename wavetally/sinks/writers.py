@@ -86,7 +86,8 @@ def write_pairs(
     )
 
 
-def _filesystem(directory: str) -> tuple[pafs.FileSystem, str]:
+def filesystem(directory: str) -> tuple[pafs.FileSystem, str]:
+    """The store of a folder as Python opens it, and the folder's path there."""
     if directory.startswith("file:"):
         directory = "/" + directory.removeprefix("file:").lstrip("/")
     return pafs.FileSystem.from_uri(directory if ":/" in directory else os.path.abspath(directory))
@@ -94,7 +95,7 @@ def _filesystem(directory: str) -> tuple[pafs.FileSystem, str]:
 
 def _write_each(directory: str, suffix: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, top = _filesystem(directory)
+        fs, top = filesystem(directory)
         folder = f"{top}/part-{TaskContext.get().partitionId():05d}"
         rows = (r for b in batches for r in zip(b.column("name").to_pylist(), b.column("content")))
         n = 0

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import re
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
+from itertools import islice
 from urllib.parse import unquote
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavetally.session import scratch_dir
+from wavetally.session import scratch_dir, shuffle_partitions
+from wavetally.sinks.writers import filesystem
 
 #: Spark's folder of rows without a value.
 NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
@@ -72,9 +81,118 @@ def _files(spark: SparkSession, directory: str, glob: str) -> DataFrame:
     return reader.option("pathGlobFilter", glob).load(directory)
 
 
+#: A name below a folder that was asked for; whether it is a folder too, whose names are still to be listed.
+FOUND = "root string, name string, folder boolean"
+LISTED_AT_ONCE = 10_000
+READ_AT_ONCE = 1 << 16
+
+
+def _folders(spark: SparkSession, directory: str) -> list[str]:
+    """The folders that ``directory`` names, which may be a pattern; none where it names a file, or a store that Python cannot open."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(directory)
+    found = list(at.getFileSystem(conf).globStatus(at) or [])
+    if not all(f.isDirectory() for f in found):
+        return []
+    folders = [f.getPath().toString().rstrip("/") for f in found]
+    try:
+        for folder in folders:
+            filesystem(folder)
+    except (pa.ArrowException, OSError):
+        return []
+    return folders
+
+
+def _passed_over(name: str, folder: bool) -> bool:
+    """Names that Spark's scan leaves out."""
+    if folder and name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+
+
+def _names(fs: pafs.FileSystem, folder: str) -> Iterator[tuple[str, bool]]:
+    """Names in a folder and whether they are folders: on a disk one at a time, elsewhere the folder's at once."""
+    if isinstance(fs, pafs.LocalFileSystem):
+        with os.scandir(folder or "/") as entries:
+            for e in entries:
+                if e.is_dir() or e.is_file():
+                    yield e.name, e.is_dir()
+    else:
+        for info in fs.get_file_info(pafs.FileSelector(folder)):
+            if info.type in (pafs.FileType.File, pafs.FileType.Directory):
+                yield info.base_name, info.type == pafs.FileType.Directory
+
+
+def _listing(pattern: str, deep: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Puts what lies in a folder in its place, with ``deep`` all files below it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, opened = re.compile(pattern, re.DOTALL).fullmatch, cache(filesystem)
+
+        def below(fs: pafs.FileSystem, top: str, root: str, at: str) -> Iterator[tuple[str, str, bool]]:
+            for name, folder in _names(fs, f"{top}/{at}" if at else top):
+                path = f"{at}/{name}" if at else name
+                if _passed_over(name, folder):
+                    continue
+                if folder and deep:
+                    yield from below(fs, top, root, path)
+                elif folder or wanted(name):
+                    yield root, path, folder
+
+        def found() -> Iterator[tuple[str, str, bool]]:
+            for b in batches:
+                for root, name, folder in zip(*(c.to_pylist() for c in b.columns)):
+                    if folder:
+                        yield from below(*opened(root), root, name)
+                    else:
+                        yield root, name, folder
+
+        rows = found()
+        while some := list(islice(rows, LISTED_AT_ONCE)):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*some)], names=["root", "name", "folder"])
+
+    return run
+
+
+def _hash_each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Path, length and md5 of listed files, read in blocks."""
+    opened = cache(filesystem)
+    for b in batches:
+        paths, lengths, digests = [], [], []
+        for root, name in zip(b.column("root").to_pylist(), b.column("name").to_pylist()):
+            fs, top = opened(root)
+            digest, length = hashlib.md5(usedforsecurity=False), 0
+            # not unpacked, whatever the name ends in
+            with fs.open_input_stream(f"{top}/{name}", compression=None) as file:
+                while block := file.read(READ_AT_ONCE):
+                    digest.update(block)
+                    length += len(block)
+            if length:
+                paths.append(f"{root}/{name}")
+                lengths.append(length)
+                digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(paths, pa.string()), pa.array(lengths, pa.int64()), pa.array(digests, pa.string())],
+            names=["path", "length", "content_md5"],
+        )
+
+
 def read_hashed_files(spark: SparkSession, directory: str, glob: str = "*") -> DataFrame:
-    """Path, length and md5 of each file's bytes. Spark's scan passes over empty files."""
-    return _files(spark, directory, glob).select("path", "length", F.md5("content").alias("content_md5"))
+    """Path, length and md5 of each file's bytes. Empty files are not listed, nor names that Spark's scan passes over.
+
+    Tasks list folders and read files, each as many: one the folder itself, others what lies below its folders. So the
+    driver holds no file, and the number of tasks does not grow with theirs. Where Python cannot open the store, and
+    for paths of single files, Spark's scan does it, with every file in the driver's memory and a task for some.
+    """
+    folders = _folders(spark, directory)
+    if not folders:
+        return _files(spark, directory, glob).select("path", "length", F.md5("content").alias("content_md5"))
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.GlobPattern(glob).compiled().pattern()
+    n = shuffle_partitions(spark)
+    asked = spark.createDataFrame([(f, "", True) for f in folders], FOUND)
+    first = asked.mapInArrow(_listing(pattern, deep=False), FOUND).repartition(n, "root", "name")
+    found = first.mapInArrow(_listing(pattern, deep=True), FOUND).repartition(n, "root", "name")
+    return found.mapInArrow(_hash_each, "path string, length bigint, content_md5 string")
 
 
 #: Colliding lengths are told to the scan as ranges: at most so many for each doubling of the length, some 500 in all.
