@@ -19,7 +19,7 @@ from wavetally.plans.batch import Evaluation, score_transcripts
 from wavetally.plans.corpus import evaluate_corpus, store_corpus
 from wavetally.plans.sweep import evaluate_sweep, pair_sweep, resume_sweep
 from wavetally.session import scratch_dir, shuffle_partitions
-from wavetally.sinks.writers import key_of_path, write_texts
+from wavetally.sinks.writers import _merge_each, key_of_path, write_texts
 from wavetally.sources.readers import checkpoint_folders, read_file_identities, read_hashed_files
 
 
@@ -206,6 +206,45 @@ def test_texts_have_a_file_each_in_few_folders(spark, tmp_path):
     assert got.keys() == want.keys() and all(got[k] in {hashlib.md5(t.encode()).hexdigest() for t in want[k]} for k in want)
 
 
+def contents(where):
+    return {os.path.basename(f): open(f).read() for f in glob.glob(f"{where}/*/*")}
+
+
+def test_tasks_write_the_texts_they_have(spark, tmp_path):
+    where = str(tmp_path / "texts")
+    df = spark.range(600).selectExpr("id k", "'text ' || id text").repartition(6)
+    assert write_texts(df, where, "k", "text") == 600
+    assert sorted(os.listdir(where)) == [f"part-{i:05d}" for i in range(6)]  # before, texts were shuffled to others
+    assert contents(where) == {f"k={i}.txt": f"text {i}\n" for i in range(600)}
+    assert write_texts(df.limit(0), str(tmp_path / "none"), "k", "text") == 0
+
+
+def test_texts_of_a_key_in_several_tasks_share_a_file(spark, tmp_path):
+    where = str(tmp_path / "texts")
+    rows = spark.range(4000, numPartitions=8).selectExpr("if(id % 100 = 99, null, id % 100) k", "string(id) text")
+    alone = spark.range(5000, 5050, numPartitions=2).selectExpr("id k", "string(id) text")
+    assert write_texts(rows.unionByName(alone), where, "k", "text") == 150
+    lines = {name: sorted(text.splitlines()) for name, text in contents(where).items()}
+    want = {f"k={i if i < 99 else 'null'}.txt": sorted(str(j) for j in range(i, 4000, 100)) for i in range(100)}
+    assert lines == want | {f"k={i}.txt": [str(i)] for i in range(5000, 5050)}
+    assert len(glob.glob(f"{where}/*/*")) == 150 and not glob.glob(f"{where}/*/.*")
+
+
+def test_merging_may_be_tried_again(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"part-{i}").mkdir()
+        (tmp_path / f"part-{i}" / "k=1.txt").write_text(f"{i}\n")
+    found = spark.createDataFrame([("k=1", ["part-0", "part-1", "part-2"])], "name string, folders array<string>").coalesce(1)
+
+    def merge():
+        return found.mapInArrow(_merge_each(str(tmp_path), ".txt"), "n bigint").agg(F.sum("n")).first()[0]
+
+    assert merge() == 2 and contents(tmp_path) == {"k=1.txt": "0\n1\n2\n"}
+    (tmp_path / "part-2" / "k=1.txt").write_text("2\n")  # as if the first attempt had ended before
+    assert merge() == 2 and glob.glob(f"{tmp_path}/part-*/*") == []
+    assert contents(tmp_path) == {"k=1.txt": "0\n1\n2\n"}
+
+
 def test_files_are_listed_once(spark, tmp_path):
     for name in "abc":
         (tmp_path / f"{name}.bin").write_text("one" if name < "c" else "three")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import datetime
-from itertools import groupby
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -14,6 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavetally.session import scratch_dir
+
 
 def write_scores(scores: DataFrame, directory: str, run_ts: datetime) -> None:
     """CSV below ``run_ts=<yyyyMMdd_HHmmss>``; an empty table leaves no folder.
@@ -93,23 +95,66 @@ def filesystem(directory: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(directory if ":/" in directory else os.path.abspath(directory))
 
 
+WRITTEN = "name string, folder string"
+NAMES_AT_ONCE = 10_000
+
+
+def _write_whole(fs: pafs.FileSystem, folder: str, name: str, pieces: Iterable[bytes]) -> None:
+    """A file that appears once it is whole, also on a second attempt: readers pass over names with a dot before."""
+    begun = f"{folder}/.{uuid.uuid4().hex}"
+    with fs.open_output_stream(begun, compression=None) as out:
+        for piece in pieces:
+            out.write(piece)
+    fs.move(begun, f"{folder}/{name}")
+
+
 def _write_each(directory: str, suffix: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A file for each run of rows with one name, in a folder of the task; names and folder."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = filesystem(directory)
-        folder = f"{top}/part-{TaskContext.get().partitionId():05d}"
+        folder = f"part-{TaskContext.get().partitionId():05d}"
         rows = (r for b in batches for r in zip(b.column("name").to_pylist(), b.column("content")))
-        n = 0
-        for name, texts in groupby(rows, key=lambda r: r[0]):
-            if not n:
-                fs.create_dir(folder)
-            # readers pass over names with a dot before; a name appears once its file is whole, also on a second attempt
-            begun = f"{folder}/.{uuid.uuid4().hex}"
-            with fs.open_output_stream(begun) as out:
-                for _, text in texts:
-                    out.write((text.as_py() or b"") + b"\n")
-            fs.move(begun, f"{folder}/{name}{suffix}")
-            n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+        def names() -> Iterator[str]:
+            for i, (name, texts) in enumerate(groupby(rows, key=lambda r: r[0])):
+                if not i:
+                    fs.create_dir(f"{top}/{folder}")
+                _write_whole(fs, f"{top}/{folder}", f"{name}{suffix}", ((t.as_py() or b"") + b"\n" for _, t in texts))
+                yield name
+
+        done = names()
+        while some := list(islice(done, NAMES_AT_ONCE)):
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([folder] * len(some))], names=["name", "folder"])
+
+    return run
+
+
+def _merge_each(directory: str, suffix: str):
+    """One file in place of those of a name in several folders; how many fewer they are."""
+
+    def pieces(fs: pafs.FileSystem, paths: list[str]) -> Iterator[bytes]:
+        for path in paths:
+            with fs.open_input_stream(path, compression=None) as part:
+                while block := part.read(1 << 16):
+                    yield block
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = filesystem(directory)
+        merged = f"{top}/merged-{TaskContext.get().partitionId():05d}"
+        for b in batches:
+            fewer = 0
+            for name, folders in zip(b.column("name").to_pylist(), b.column("folders").to_pylist()):
+                file, parts = f"{name}{suffix}", [f"{top}/{f}/{name}{suffix}" for f in folders]
+                fs.create_dir(merged)
+                # parts go once the merged file is whole: where it is there, an attempt before this one has made it
+                if fs.get_file_info(f"{merged}/{file}").type == pafs.FileType.NotFound:
+                    _write_whole(fs, merged, file, pieces(fs, parts))
+                for part in fs.get_file_info(parts):
+                    if part.type != pafs.FileType.NotFound:
+                        fs.delete_file(part.path)
+                fewer += len(parts) - 1
+            yield pa.RecordBatch.from_arrays([pa.array([fewer], pa.int64())], names=["n"])
 
     return run
 
@@ -118,12 +163,19 @@ def write_texts(df: DataFrame, directory: str, key: str, text: str, suffix: str
     """A file ``<key>=<value>.txt`` for each value of a number ``key``, below a folder for each task; their number.
 
     A row is a line, a null text an empty one; rows of one key share its file, rows without a key the file ``<key>=null``.
-    Spark's own writer makes a folder for each value, and three processes or more for each folder on a local disk.
+    Tasks write the rows they have, so that no text is shuffled; only names are, to find those of several tasks, whose
+    files are merged. Spark's own writer makes a folder for each value, and three processes or more for each folder on a
+    local disk.
     """
+    spark = df.sparkSession
     name = F.concat(F.lit(f"{key}="), F.coalesce(F.col(key).cast("string"), F.lit("null"))).alias("name")
-    sorted_ = df.select(key, F.col(text).cast("binary").alias("content")).repartition(key).sortWithinPartitions(key)
-    written = sorted_.select(name, "content").mapInArrow(_write_each(directory, suffix), "n bigint")
-    return written.agg(F.sum("n")).first()[0] or 0
+    sorted_ = df.select(key, F.col(text).cast("binary").alias("content")).sortWithinPartitions(key)
+    names = scratch_dir(spark, "names")
+    sorted_.select(name, "content").mapInArrow(_write_each(directory, suffix), WRITTEN).write.parquet(names)
+    written = spark.read.schema(WRITTEN).parquet(names)
+    folders = written.groupBy("name").agg(F.sort_array(F.collect_list("folder")).alias("folders"))
+    merged = folders.where(F.size("folders") > 1).mapInArrow(_merge_each(directory, suffix), "n bigint")
+    return written.count() - (merged.agg(F.sum("n")).first()[0] or 0)
 
 
 def key_of_path(key: str, path: str = "path") -> Column:

@@ -181,7 +181,7 @@ def read_hashed_files(spark: SparkSession, directory: str, glob: str = "*") -> D
     """Path, length and md5 of each file's bytes. Empty files are not listed, nor names that Spark's scan passes over.
 
     Tasks list folders and read files, each as many: one the folder itself, others what lies below its folders. So the
-    driver holds no file, and the number of tasks does not grow with theirs. Where Python cannot open the store, and
+    driver holds no file, and the number of tasks does not grow with theirs. Files are those there when a job runs. Where Python cannot open the store, and
     for paths of single files, Spark's scan does it, with every file in the driver's memory and a task for some.
     """
     folders = _folders(spark, directory)
