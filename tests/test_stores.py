@@ -8,6 +8,7 @@ import hashlib
 import os
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -219,6 +220,21 @@ def test_tasks_write_the_texts_they_have(spark, tmp_path):
     assert write_texts(df.limit(0), str(tmp_path / "none"), "k", "text") == 0
 
 
+def test_texts_go_to_python_in_small_batches(spark, tmp_path, monkeypatch):
+    def count(directory, suffix):
+        return lambda batches: (
+            pa.RecordBatch.from_arrays([pa.array([str(b.num_rows)]), pa.array(["x"])], names=["name", "folder"]) for b in batches
+        )
+
+    seen, before = [], spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr("wavetally.sinks.writers._write_each", count)
+    monkeypatch.setattr("wavetally.sinks.writers.scratch_dir", lambda s, name: seen.append(scratch_dir(s, name)) or seen[-1])
+    monkeypatch.setattr("wavetally.sinks.writers._merge_each", lambda *_: lambda b: iter(()))
+    write_texts(spark.range(2500, numPartitions=1).selectExpr("id k", "'x' text"), str(tmp_path), "k", "text")
+    assert sorted(int(r["name"]) for r in spark.read.parquet(seen[0]).collect()) == [500, 1000, 1000]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_texts_of_a_key_in_several_tasks_share_a_file(spark, tmp_path):
     where = str(tmp_path / "texts")
     rows = spark.range(4000, numPartitions=8).selectExpr("if(id % 100 = 99, null, id % 100) k", "string(id) text")

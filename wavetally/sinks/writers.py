@@ -97,6 +97,9 @@ def filesystem(directory: str) -> tuple[pafs.FileSystem, str]:
 
 WRITTEN = "name string, folder string"
 NAMES_AT_ONCE = 10_000
+#: Rows of an Arrow batch of texts, which is held several times over: by the JVM, as Arrow, and as Python objects.
+TEXTS_AT_ONCE = 1000
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _write_whole(fs: pafs.FileSystem, folder: str, name: str, pieces: Iterable[bytes]) -> None:
@@ -170,8 +173,13 @@ def write_texts(df: DataFrame, directory: str, key: str, text: str, suffix: str
     spark = df.sparkSession
     name = F.concat(F.lit(f"{key}="), F.coalesce(F.col(key).cast("string"), F.lit("null"))).alias("name")
     sorted_ = df.select(key, F.col(text).cast("binary").alias("content")).sortWithinPartitions(key)
-    names = scratch_dir(spark, "names")
-    sorted_.select(name, "content").mapInArrow(_write_each(directory, suffix), WRITTEN).write.parquet(names)
+    names, batch = scratch_dir(spark, "names"), spark.conf.get(BATCH)
+    if not 0 < int(batch) <= TEXTS_AT_ONCE:
+        spark.conf.set(BATCH, TEXTS_AT_ONCE)
+    try:
+        sorted_.select(name, "content").mapInArrow(_write_each(directory, suffix), WRITTEN).write.parquet(names)
+    finally:
+        spark.conf.set(BATCH, batch)
     written = spark.read.schema(WRITTEN).parquet(names)
     folders = written.groupBy("name").agg(F.sort_array(F.collect_list("folder")).alias("folders"))
     merged = folders.where(F.size("folders") > 1).mapInArrow(_merge_each(directory, suffix), "n bigint")
